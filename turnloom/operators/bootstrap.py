@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from turnloom import fixed
 from turnloom.functions.hashing import DRAWS_PER_DIGEST, digest, draw
 from turnloom.operators.ordered import digest_rank
-from turnloom.session import checkpoint_dir
+from turnloom.session import settle
 
 BROADCAST_ROWS = 500_000
 EXACT_ROWS = 1_000_000
@@ -42,12 +42,6 @@ def _digests_needed(slots: Column) -> Column:
     return F.ceil(slots / DRAWS_PER_DIGEST)
 
 
-def settle(totals: DataFrame) -> DataFrame:
-    """Write small aggregates to the shared checkpoint folder before they are read often."""
-    checkpoint_dir(totals.sparkSession)
-    return totals.checkpoint()
-
-
 def lookup_side(settled: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a settled frame for broadcast only after counting that it is small."""
     return F.broadcast(settled) if settled.limit(limit + 1).count() <= limit else settled

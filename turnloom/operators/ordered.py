@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions.arrays import suffix
 from turnloom.functions.hashing import seeded_key
+from turnloom.session import settle
 
 BLOCK = 4096
 _PREFIX_HEX = 4  # 16**4 ranges of a uniformly spread digest
@@ -167,12 +168,14 @@ def weighted_positions(counts: DataFrame, keys: Sequence[str], value: str, count
     cut into ranges at approximate quantiles, which only balance the work; the
     positions are exact wherever the cuts fall.
     """
+    counts = settle(counts)
     cuts = counts.groupBy(*keys).agg(
         F.array_distinct(F.percentile_approx(
             value, [i / (_SPLITS + 1) for i in range(1, _SPLITS + 1)], 1000)).alias("_cuts"))
     ranged = counts.join(cuts, list(keys)) if keys else counts.withColumn("_cuts", cuts.scalar())
     ranged = ranged.withColumn(
-        "_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+        "_range", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0))
+    ).drop("_cuts")
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(
         Window.unboundedPreceding, -1)

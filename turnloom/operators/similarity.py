@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from turnloom import fixed
 from turnloom.functions import arrays, text
 from turnloom.operators.ordered import weighted_positions
+from turnloom.session import settle
 
 _SMALLEST_NORM = 1e-12
 
@@ -96,8 +97,8 @@ def correlations(rows: DataFrame, x: Column, y: Column) -> DataFrame:
     rows weighs in as one row. Ranks come from the value histograms; doubled
     ranks are integers, which keeps the rank sums exact.
     """
-    cells = rows.select(x.alias("x"), y.alias("y")).groupBy("x", "y").agg(
-        F.count(F.lit(1)).alias("w"))
+    cells = settle(rows.select(x.alias("x"), y.alias("y")).groupBy("x", "y").agg(
+        F.count(F.lit(1)).alias("w")))
 
     def doubled_ranks(axis: str) -> DataFrame:
         counts = cells.groupBy(axis).agg(F.sum("w").alias("_n"))

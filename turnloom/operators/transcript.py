@@ -109,6 +109,6 @@ def explode_scenes(
     return (
         cut.select(*keys, F.inline(pieces))
         .select(*keys, "scene", "_start", F.posexplode("_part").alias("_at", "text"))
-        .filter(~is_header(F.col("text")))
+        .filter("scene = 0 OR _at > 0")  # later pieces open with their header
         .select(*keys, "scene", (F.col("_start") + F.col("_at")).alias("line"), "text")
     )

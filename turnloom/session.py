@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+SMALL_PER_CORE = 128 << 20
 
 
 def build_session(app: str = "turnloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -40,3 +42,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="turnloom-"))
     return context.getCheckpointDir()
+
+
+def settle(rows: DataFrame) -> DataFrame:
+    """Write an aggregate to the shared checkpoint folder before it is read several times.
+
+    Later reads neither repeat the aggregation nor lose it with an executor.
+    """
+    checkpoint_dir(rows.sparkSession)
+    return rows.checkpoint()
+
+
+def spread_small(rows: DataFrame) -> DataFrame:
+    """Use every core on inputs smaller than one wave of scan tasks.
+
+    Page parsing costs far more than moving a page, and a small table may sit in
+    one row group. Inputs above the checked size already fill the cluster and
+    are not shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(cores) if size < cores * SMALL_PER_CORE else rows

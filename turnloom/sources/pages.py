@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from turnloom import fixed
+from turnloom.session import spread_small
 
 # --- fixed values: elements without an end tag, and elements whose text is not prose ---
 VOID = frozenset((
@@ -162,7 +163,7 @@ def _extract(
                         rows, size = [], 0
             yield pd.DataFrame(rows, columns=names)
 
-    return inputs.mapInPandas(read, schema)
+    return spread_small(inputs).mapInPandas(read, schema)
 
 
 def paragraphs(pages: DataFrame, keys: Sequence[str], html: str = "html") -> DataFrame:
