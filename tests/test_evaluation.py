@@ -284,3 +284,16 @@ def test_model_plug_in_batches(spark):
 def test_dialogue_totals(spark):
     lines = spark.createDataFrame([(1, "Sheldon"), (1, "Beta"), (2, "sheldon")], "episode_id long, speaker string")
     assert profile.dialogue_totals(lines).first().asDict() == {"episodes": 2, "lines": 3, "target_lines": 2}
+
+
+def test_context_window_rules(spark):
+    frame = spark.createDataFrame([([1, 2, 3],)], "t array<int>").select(
+        similarity.fits_context(F.col("t"), 4, 7), similarity.fits_context(F.col("t"), 5, 7),
+        similarity.shorter_than_context(F.col("t"), 4), similarity.shorter_than_context(F.col("t"), 3))
+    assert tuple(frame.first()) == (True, False, True, False)
+
+
+def test_generation_struct(spark):
+    frame = spark.createDataFrame([([5, 7, 2], " \n hi  there\n")], "t array<int>, s string")
+    made = frame.select(similarity.generation(F.col("t"), F.col("s"), (2,), 3).alias("g")).first()["g"]
+    assert made.asDict() == {"text": "hi  there", "tokens": 2, "hit_token_limit": False}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from turnloom import schemas
 from turnloom.operators import choice, pairs, resume
-from turnloom.plans import dialogue, training
+from turnloom.plans import dialogue, evaluation, training
 from turnloom.session import checkpoint_dir
 from turnloom.sources import files, sinks
 from turnloom.streaming.resume import append_stream
@@ -67,6 +67,26 @@ def test_choice_documents(spark, tmp_path):
         files.require_digest(found, "0" * 64)
 
 
+def test_choice_data_is_frozen_once(spark, tmp_path):
+    q = lambda t: {"question": t, "choices": list("abcd"), "answer": 1}
+    document = {"dataset": "d", "revision": "r", "subjects": [
+        {"subject": s, "dev": [q(f"{s} d{i}") for i in range(6)], "test": [q(f"{s} t{i}") for i in range(n)]}
+        for s, n in (("s", 2), ("t", 3))]}
+    data, manifest = tmp_path / "data.json", tmp_path / "manifest.json"
+    data.write_text(json.dumps(document))
+    items, frozen = evaluation.prepare_choice_data(spark, str(data), str(manifest), ["s", "t"])
+    assert choice.few_shot_examples(items, frozen, ["s", "t"]).count() == 5
+    saved = json.loads(manifest.read_text())
+    assert saved["subjects"]["t"] == {"dev_indices": [0, 1, 2, 3, 4], "test_indices": [0, 1, 2]}
+    assert saved["data_sha256"] == hashlib.sha256(data.read_bytes()).hexdigest()
+    evaluation.prepare_choice_data(spark, str(data), str(manifest), ["s", "t"])
+    with pytest.raises(ValueError, match="Expected the subjects"):
+        evaluation.prepare_choice_data(spark, str(data), str(manifest), ["s"])
+    data.write_text(json.dumps(document) + " ")
+    with pytest.raises(ValueError, match="frozen"):
+        evaluation.prepare_choice_data(spark, str(data), str(manifest), ["s", "t"])
+
+
 # --- writers ---
 
 def test_json_document_is_replaced_in_one_step(spark, tmp_path):

@@ -26,6 +26,11 @@ def test_clean_folds_every_python_space(spark, raw):
     assert value(spark, text.clean(F.col("s")), s=raw) == " ".join(raw.split()) == "a b"
 
 
+@pytest.mark.parametrize("raw", ["", " \n", f"{NBSP}a  b\x1f\n", "a", "\ta \n b"])
+def test_strip_keeps_the_inside(spark, raw):
+    assert value(spark, text.strip(F.col("s")), s=raw) == raw.strip()
+
+
 @pytest.mark.parametrize("raw", ["", "   ", "  x y ", f"x{NBSP}y\x1dz", "\tone"])
 def test_word_count(spark, raw):
     assert value(spark, text.word_count(F.col("s")), s=raw) == len(raw.split())

@@ -19,7 +19,7 @@ def sha256(value: Column) -> Column:
 
 def text_key(text: Column) -> Column:
     """Fixed-width stand-in for a lower-cased text, so shuffles carry no second copy of it."""
-    return sha256(F.lower(text))
+    return F.unhex(sha256(F.lower(text)))
 
 
 def seeded_key(seed: int, value: Column) -> Column:

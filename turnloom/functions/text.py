@@ -15,6 +15,11 @@ def clean(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"(?U){fixed.SPACE}+", " "))
 
 
+def strip(text: Column) -> Column:
+    """Remove whitespace of any kind from both ends only."""
+    return F.regexp_replace(text, rf"(?U)\A{fixed.SPACE}+|{fixed.SPACE}+\z", "")
+
+
 def normalize(text: Column) -> Column:
     """Straighten typographic punctuation, then clean."""
     plain = F.translate(text, fixed.PUNCT_FROM, fixed.PUNCT_TO)

@@ -184,22 +184,27 @@ def mark_correct(rows: DataFrame, answer: Column, base: Column, sft: Column) ->
 def accuracy_by_subject(rows: DataFrame, subject: str = "subject", masses: bool = False) -> DataFrame:
     """Questions, correct counts and accuracies per subject and overall.
 
-    One pass of grouping sets; the overall row weighs every question the same.
+    Rows are summed per subject first, so the grouping sets expand one row per
+    subject instead of every row. The overall row weighs every question the same.
     """
-    extra = [
-        F.avg(f"{m}_mass").alias(f"{m}_mean_answer_letter_probability_mass") for m in fixed.MODELS
-    ] if masses else []
-    n = F.count(F.lit(1))
-    return rows.groupingSets([[subject], []], subject).agg(
-        F.when(F.grouping(subject) == 1, "overall").otherwise(F.col(subject)).alias("scope"),
-        n.alias("questions"),
+    mass_names = [f"{m}_mass" for m in fixed.MODELS] if masses else []
+    summed = rows.groupBy(subject).agg(
+        F.count(F.lit(1)).alias("questions"),
         F.sum("base_right").alias("base_correct"), F.sum("sft_right").alias("sft_correct"),
-        (F.sum("base_right") / n).alias("base_accuracy"),
-        (F.sum("sft_right") / n).alias("sft_accuracy"),
-        (F.sum("sft_right") / n - F.sum("base_right") / n).alias("accuracy_difference"),
         F.count_if(F.col("difference") == -1).alias("base_correct_sft_wrong"),
         F.count_if(F.col("difference") == 1).alias("base_wrong_sft_correct"),
-        *extra,
+        *[F.sum(name).alias(name) for name in mass_names],
+    )
+    counts = ["questions", "base_correct", "sft_correct", "base_correct_sft_wrong", "base_wrong_sft_correct"]
+    n = F.sum("questions")
+    return summed.groupingSets([[subject], []], subject).agg(
+        F.when(F.grouping(subject) == 1, "overall").otherwise(F.col(subject)).alias("scope"),
+        *[F.sum(name).alias(name) for name in counts],
+        (F.sum("base_correct") / n).alias("base_accuracy"),
+        (F.sum("sft_correct") / n).alias("sft_accuracy"),
+        (F.sum("sft_correct") / n - F.sum("base_correct") / n).alias("accuracy_difference"),
+        *[(F.sum(f"{m}_mass") / n).alias(f"{m}_mean_answer_letter_probability_mass")
+          for m in fixed.MODELS if masses],
     ).drop(subject)
 
 

@@ -56,12 +56,8 @@ def attach_context(lines: DataFrame, rules: PairRules) -> DataFrame:
         F.coalesce(F.lower("speaker") == rules.target, F.lit(False)).alias("is_target"),
         text.clean(F.coalesce(F.col("text"), F.lit(""))).alias("text"),
     ).withColumn("words", text.words_of_clean(F.col("text")))
-    judged = cleaned.withColumns({
-        "rejected": F.when(F.col("is_target"), reject_target(rules)),
-        "reply_key": F.when(F.col("is_target"), text_key(F.col("text"))),
-    })
     return look_back(
-        judged, ["episode_id"], "line",
+        judge_replies(cleaned, rules), ["episode_id"], "line",
         {"context_flags": F.struct("is_target", "words", "scene"), "context_text": F.col("text")},
         rules.context_turns,
     )
@@ -83,14 +79,15 @@ def attach_context_nested(episodes: DataFrame, rules: PairRules) -> DataFrame:
         l.alias("own"),
         F.slice("_lines", F.greatest(i - n, F.lit(0)) + 1, F.least(i, F.lit(n))).alias("context"),
     ))
-    return (
+    exploded = (
         episodes.withColumn("_lines", cleaned)
         .withColumn("_lines", counted)
         .select("episode_id", "title", F.posexplode(windowed).alias("line", "_row"))
         .select("episode_id", "title", "line", "_row.own.*", "_row.context")
+    )
+    return (
+        judge_replies(exploded, rules)
         .withColumns({
-            "rejected": F.when(F.col("is_target"), reject_target(rules)),
-            "reply_key": F.when(F.col("is_target"), text_key(F.col("text"))),
             "context_flags": F.transform("context", lambda c: F.struct(
                 c.is_target.alias("is_target"), c.words.alias("words"), c.scene.alias("scene"))),
             "context_text": F.transform("context", lambda c: c.text),
@@ -101,6 +98,14 @@ def attach_context_nested(episodes: DataFrame, rules: PairRules) -> DataFrame:
 
 # --- rejection ---
 
+def judge_replies(lines: DataFrame, rules: PairRules) -> DataFrame:
+    """Add the reply's own drop reason, and the duplicate key of replies without one."""
+    usable = F.col("is_target") & F.col("rejected").isNull()
+    return lines.withColumn(
+        "rejected", F.when(F.col("is_target"), reject_target(rules))
+    ).withColumn("reply_key", F.when(usable, text_key(F.col("text"))))
+
+
 def reject_target(rules: PairRules) -> Column:
     """First reason the reply itself is unusable; null to go on."""
     words, reply = F.col("words"), F.col("text")

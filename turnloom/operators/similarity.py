@@ -22,7 +22,7 @@ _SMALLEST_NORM = 1e-12
 def generation(tokens: Column, reply: Column, stops: Sequence[int], cap: int) -> Column:
     """Generation struct of raw output tokens and their decoded text."""
     return F.struct(
-        text.clean(reply).alias("text"),
+        text.strip(reply).alias("text"),
         arrays.stop_position(tokens, stops).alias("tokens"),
         arrays.hit_token_limit(tokens, stops, cap).alias("hit_token_limit"),
     )
@@ -32,6 +32,11 @@ def fits_context(prompt_tokens: Column, cap: int, window: int) -> Column:
     return F.size(prompt_tokens) + cap <= window
 
 
+def shorter_than_context(prompt_tokens: Column, window: int) -> Column:
+    """The scoring rule: room for at least the next token."""
+    return F.size(prompt_tokens) < window
+
+
 def safe_cosine(left: Column, right: Column) -> Column:
     """Product of L2-normalised vectors; a zero vector scores zero."""
     scale = F.greatest(arrays.norm(left), F.lit(_SMALLEST_NORM)) * F.greatest(

@@ -106,24 +106,23 @@ def turn_errors(
     """The same rules over one row per message, without collecting a chat into a row.
 
     Message rules are row-local. Chat rules need one aggregate per chat, which
-    combines on the map side. Only opening messages must ask whether their chat
-    is too short, so that join has one row per chat on both sides.
+    combines on the map side. Only an opening message must ask whether its chat
+    is too short, so the position is part of the join key and a long chat's
+    errors stay spread.
     """
     local = turns.select(
-        F.col(key), F.col(position).alias("_at"),
+        F.col(key), F.col(position).cast("long").alias("_at"),
         _message_errors(F.col(position), F.col(role), F.col(content), cast).cast(_ERROR).alias("_found"),
     ).filter(F.size("_found") > 0)
     chats = turns.groupBy(key).agg(
         F.count(F.lit(1)).alias("_count"), F.max_by(role, position).alias("_ending"))
-    short = chats.filter(F.col("_count") < 2)
+    short = chats.filter(F.col("_count") < 2).select(key, F.lit(0).cast("long").alias("_at"))
     chat_level = chats.select(key, F.inline(
         F.when(F.col("_count") < 2, F.array(_too_few(F.col("_count"))))
         .when(~F.col("_ending").eqNullSafe(F.lit("assistant")), F.array(_wrong_end(F.col("_ending"))))
         .otherwise(F.array().cast(_ERROR))))
-    opening = local.filter("_at = 0").join(short, key, "left_anti")
-    later = local.filter("_at > 0")
-    return chat_level.unionByName(
-        opening.unionByName(later).select(key, F.inline("_found")))
+    judged = local.join(short, [key, "_at"], "left_anti")
+    return chat_level.unionByName(judged.select(key, F.inline("_found")))
 
 
 def error_report(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from turnloom.functions import text
 from turnloom.operators import choice, pairs, similarity
 from turnloom.operators.ordered import look_back
+from turnloom.session import settle
 
 CONST_SCENE = "0"
 SHORT_SCENES = "turn div 3"
@@ -49,6 +50,11 @@ def conversation_pairs(spark: SparkSession, sf_dir: str, scene: str = CONST_SCEN
     return pairs.drop_duplicates(pairs.build_pairs(judged_lines(spark, sf_dir, scene)))
 
 
+def settled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs, stored once: splitting reads them for the episode order and for the rows."""
+    return settle(conversation_pairs(spark, sf_dir).select("episode_id", "line", "episode", "target_words"))
+
+
 def shown(messages: str | Column) -> Column:
     """Messages as one comparable string."""
     return F.concat_ws("\n", F.transform(messages, lambda m: F.concat_ws(": ", m.role, m.content)))

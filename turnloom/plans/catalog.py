@@ -162,6 +162,22 @@ def line_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
         documents, ["doc_id"], F.split("text", "\n"), lambda line: text.word_count(line) < 4)
 
 
+@query("""
+SELECT conv_id, turn, sum((role = 'user')::INTEGER) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS scene
+FROM conversations""")
+def scene_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = b.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    return ordered.running_total(
+        turns, ["conv_id"], "turn", (F.col("role") == "user").cast("int"), "scene").drop("role")
+
+
+@query("""
+SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS line FROM documents""")
+def line_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = b.table(spark, sf_dir, "documents").select("source", "doc_id")
+    return ordered.dense_position(documents, ["source"], "doc_id", "line")
+
+
 # --- pairs ---
 
 @query("""
@@ -241,7 +257,7 @@ def dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {sql.kept('0')}, {sql.split_of('kept', 'conv_id::VARCHAR')}
 SELECT k.conv_id, k.turn, g.split FROM kept k JOIN groups g ON g.episode = k.conv_id::VARCHAR""")
 def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split.split_pairs(b.conversation_pairs(spark, sf_dir)).select(
+    return split.split_pairs(b.settled_pairs(spark, sf_dir)).select(
         F.col("episode_id").alias("conv_id"), F.col("line").alias("turn"), "split")
 
 
@@ -252,7 +268,7 @@ SELECT CASE WHEN grouping(split) = 1 THEN 'all' ELSE split END AS scope, count(*
        count(DISTINCT conv_id) AS episodes, round(avg(words), 6) AS mean_target_words
 FROM s GROUP BY GROUPING SETS ((split), ())""")
 def split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split.split_summary(split.split_pairs(b.conversation_pairs(spark, sf_dir))).withColumns(
+    return split.split_summary(split.split_pairs(b.settled_pairs(spark, sf_dir))).withColumns(
         _rounded("mean_target_words"))
 
 

@@ -5,12 +5,46 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom import fixed
+from turnloom import fixed, schemas
 from turnloom.operators import bootstrap, choice, similarity
 from turnloom.session import settle
+from turnloom.sources import files, sinks
+
+MANIFEST_ITEMS = 1_000_000
+
+
+def prepare_choice_data(
+    spark: SparkSession, data_path: str, manifest_path: str,
+    subjects: Sequence[str] = fixed.SUBJECTS, shots: int = fixed.SHOTS,
+) -> tuple[DataFrame, DataFrame]:
+    """Item and manifest frames of a landed data file, frozen on first use.
+
+    Without a manifest one is written; with one, the file must have its digest.
+    """
+    digests = files.file_digests(spark, data_path)
+    data = files.read_json_document(spark, data_path, schemas.CHOICE_DATA)
+    items = choice.explode_items(data)
+    if files.read_settings(spark, manifest_path) is None:
+        source = data.select("dataset", "revision").first()
+        sizes = {r["subject"]: r["n"] for r in items.filter(
+            (F.col("split") == choice.TEST) & F.col("subject").isin(*subjects)
+        ).groupBy("subject").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if sum(sizes.values()) > MANIFEST_ITEMS:
+            raise ValueError("too many items for one document: keep the frame of freeze_manifest")
+        sinks.write_json_document(spark, manifest_path, {
+            "dataset": source["dataset"], "revision": source["revision"], "split": choice.TEST, "shots": shots,
+            "subjects": {s: {"dev_indices": list(range(shots)), "test_indices": list(range(sizes[s]))}
+                         for s in subjects},
+            "data_sha256": digests.first()["sha256"],
+        })
+    document = files.read_json_document(spark, manifest_path, schemas.CHOICE_MANIFEST)
+    files.require_digest(digests, document.first()["data_sha256"])
+    manifest = choice.explode_manifest(document)
+    choice.check_manifest(manifest, subjects, shots)
+    return items, manifest
 
 
 def apply_model(
