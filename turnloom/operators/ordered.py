@@ -8,8 +8,10 @@ per-block totals between blocks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ from turnloom.session import settle
 
 BLOCK = 4096
 _PREFIX_HEX = 4  # 16**4 ranges of a uniformly spread digest
-_SPLITS = 255
+_FEWEST_RANGES, _MOST_RANGES = 64, 4096
 
 
 # --- consecutive positions ---
@@ -162,21 +164,16 @@ def digest_rank(values: DataFrame, column: str, seed: int) -> DataFrame:
 def weighted_positions(counts: DataFrame, keys: Sequence[str], value: str, count: str) -> DataFrame:
     """Add ``before``: how many counted rows of the group sort below each distinct value.
 
-    ``counts`` holds one row per group and distinct value. Distinct values are
-    cut into ranges at approximate quantiles, which only balance the work; the
+    ``counts`` holds one row per group and distinct numeric value. Values are cut
+    into ranges at approximate quantiles, which only balance the work; the
     positions are exact wherever the cuts fall.
     """
     counts = settle(counts)
-    cuts = counts.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx(
-            value, [i / (_SPLITS + 1) for i in range(1, _SPLITS + 1)], 1000)).alias("_cuts"))
-    ranged = counts.join(cuts, list(keys)) if keys else counts.withColumn("_cuts", cuts.scalar())
-    ranged = ranged.withColumn(
-        "_range", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0))
-    ).drop("_cuts")
+    ranged = _value_ranges(counts, value)
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(
         Window.unboundedPreceding, -1)
+    # One row per group and range: without keys, at most _MOST_RANGES rows meet in one task.
     offsets = (
         ranged.groupBy(*keys, "_range").agg(F.sum(count).alias("_count"))
         .withColumn("_offset", F.coalesce(F.sum("_count").over(earlier), F.lit(0)))
@@ -188,3 +185,17 @@ def weighted_positions(counts: DataFrame, keys: Sequence[str], value: str, count
         .withColumn("before", F.col("_inside") + F.col("_offset"))
         .drop("_range", "_inside", "_offset")
     )
+
+
+def _value_ranges(counts: DataFrame, value: str) -> DataFrame:
+    """Add ``_range``, which grows with ``value`` and splits the rows about evenly."""
+    wanted = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(_FEWEST_RANGES, min(wanted, _MOST_RANGES))
+    numbers = counts.withColumn("_number", F.col(value).cast("double"))
+    cuts = numbers.approxQuantile("_number", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))
+    edges = sorted(set(cuts))
+    if not edges:
+        return counts.withColumn("_range", F.lit(0))
+    cutter = Bucketizer(
+        splits=[-math.inf, *edges, math.inf], inputCol="_number", outputCol="_range", handleInvalid="keep")
+    return cutter.transform(numbers).withColumn("_range", F.col("_range").cast("int")).drop("_number")
