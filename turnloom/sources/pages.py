@@ -32,13 +32,13 @@ _CHUNK_CHARS = 4_000_000
 
 
 class _Element:
-    __slots__ = ("href", "inside", "full", "plain", "italics", "hidden")
+    """A slice of the page's text pieces, and how deep its start tag was nested."""
 
-    def __init__(self, href: str | None, inside: bool):
-        self.href, self.inside = href, inside
-        self.full: list[str] = []
-        self.plain: list[str] = []
-        self.italics = self.hidden = 0  # such ancestors within this element
+    __slots__ = ("href", "inside", "start", "end", "hidden", "italics")
+
+    def __init__(self, href: str | None, inside: bool, start: int, hidden: int, italics: int):
+        self.href, self.inside, self.start, self.end = href, inside, start, None
+        self.hidden, self.italics = hidden, italics
 
 
 class ElementTexts(HTMLParser):
@@ -52,12 +52,12 @@ class ElementTexts(HTMLParser):
         super().__init__(convert_charrefs=False)
         self.wanted = wanted
         self.found: list[_Element] = []
+        self.has_container = False
+        self._pieces: list[tuple[str, int, int]] = []  # text, hidden depth, italics depth
         self._open: list[tuple[str, _Element | None]] = []
         self._open_names: Counter[str] = Counter()
-        self._live: list[_Element] = []
-        self._hidden = 0
+        self._hidden = self._italics = 0
         self._container_at: int | None = None
-        self._has_container = False
 
     def read(self, html: str) -> list[_Element]:
         self.feed(html)
@@ -66,21 +66,33 @@ class ElementTexts(HTMLParser):
 
     def in_container(self) -> list[_Element]:
         """Elements inside the first content container, or all without one."""
-        return [e for e in self.found if e.inside] if self._has_container else self.found
+        return [e for e in self.found if e.inside] if self.has_container else self.found
+
+    def full(self, element: _Element) -> str:
+        pieces = self._pieces[element.start:element.end]
+        return "".join([text for text, hidden, _ in pieces if not hidden])
+
+    def plain(self, element: _Element) -> str:
+        """Text outside italics and scripts that open within the element."""
+        pieces = self._pieces[element.start:element.end]
+        return "".join([
+            text for text, hidden, italics in pieces
+            if hidden == element.hidden and italics == element.italics])
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID:
             return
         attributes = {name: value or "" for name, value in attrs}
-        if tag == "div" and not self._has_container and any(
+        if tag == "div" and not self.has_container and any(
                 c in attributes.get("class", "") for c in fixed.CONTAINER_CLASSES):
-            self._has_container, self._container_at = True, len(self._open)
+            self.has_container, self._container_at = True, len(self._open)
         self._shift(tag, 1)
         element = None
         if tag == self.wanted:
-            element = _Element(attributes.get("href"), self._container_at is not None)
+            element = _Element(
+                attributes.get("href"), self._container_at is not None, len(self._pieces),
+                self._hidden, self._italics)
             self.found.append(element)
-            self._live.append(element)
         self._open.append((tag, element))
         self._open_names[tag] += 1
 
@@ -89,7 +101,7 @@ class ElementTexts(HTMLParser):
             name, element = self._open.pop()
             self._open_names[name] -= 1
             if element is not None:
-                self._live.pop()
+                element.end = len(self._pieces)
             self._shift(name, -1)
             if self._container_at == len(self._open):
                 self._container_at = None
@@ -102,11 +114,7 @@ class ElementTexts(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_data(self, data: str) -> None:
-        for element in self._live:
-            if not self._hidden:
-                element.full.append(data)
-            if not element.hidden and not element.italics:
-                element.plain.append(data)
+        self._pieces.append((data, self._hidden, self._italics))
 
     def handle_entityref(self, name: str) -> None:
         self.handle_data(html5.get(f"{name};", f"&{name}"))
@@ -125,13 +133,8 @@ class ElementTexts(HTMLParser):
             self.handle_data(data[len("CDATA["):])
 
     def _shift(self, tag: str, by: int) -> None:
-        if tag in ITALICS:
-            for element in self._live:
-                element.italics += by
-        elif tag in NOT_PROSE:
-            self._hidden += by
-            for element in self._live:
-                element.hidden += by
+        self._italics += by if tag in ITALICS else 0
+        self._hidden += by if tag in NOT_PROSE else 0
 
 
 def _extract(
@@ -146,6 +149,8 @@ def _extract(
         + [T.StructField(name, T.StringType()) for name in columns.values()])
     names = schema.names
     fields = list(columns)
+    read_field = {
+        "href": lambda parser, element: element.href, "full": ElementTexts.full, "plain": ElementTexts.plain}
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -154,10 +159,9 @@ def _extract(
                 parser = ElementTexts(wanted)
                 elements = parser.read(page[-1] or "")
                 for place, element in enumerate(parser.in_container() if only_container else elements):
-                    values = {"href": element.href, "full": "".join(element.full),
-                              "plain": "".join(element.plain)}
-                    rows.append((*page[:-1], place, *[values[f] for f in fields]))
-                    size += len(values["full"])
+                    values = [read_field[f](parser, element) for f in fields]
+                    rows.append((*page[:-1], place, *values))
+                    size += sum(len(v) for v in values if v)
                     if size > _CHUNK_CHARS:
                         yield pd.DataFrame(rows, columns=names)
                         rows, size = [], 0
