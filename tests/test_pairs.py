@@ -72,6 +72,15 @@ def test_no_context_turns_drops_every_long_enough_candidate(spark):
     assert reasons["no_context"] == past_the_reply_rules == 8 and "kept" not in reasons
 
 
+def test_filler_replies_are_reached_only_below_their_length(spark):
+    rows = [(1, "t", 0, "Beta", "is this a question", 0), (1, "t", 1, "Alpha", "Thank you!", 0)]
+    frame = spark.createDataFrame(rows, "episode_id long, title string, line int, speaker string, text string, scene int")
+    for shortest, reason in ((2, "target_junk"), (3, "target_too_short")):
+        rules = pairs.PairRules(target="alpha", min_target_words=shortest)
+        judged = pairs.candidates(pairs.attach_context(frame, rules), rules)
+        assert [r["reason"] for r in judged.collect()] == [reason]
+
+
 @pytest.mark.parametrize("n, block", [(1, 2), (3, 4), (3, 5), (5, 3), (2, 64)])
 def test_look_back_across_blocks_equals_a_plain_window(spark, n, block):
     sizes = {"hot": 97, "cold": 6, "one": 1}

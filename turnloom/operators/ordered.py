@@ -32,6 +32,7 @@ def look_back(
 ) -> DataFrame:
     """Add, per row, arrays over up to ``n`` rows right before it, oldest first.
 
+    A null value leaves a gap in its array; wrap it in a struct to keep its place.
     ``position`` must be dense per group (0, 1, 2, ...), as a list index is; see
     :func:`dense_position` otherwise. Rows are windowed per block, and the last
     ``n`` rows of a block are also sent to the next block, so the result equals
