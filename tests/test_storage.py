@@ -173,6 +173,11 @@ def test_build_and_validate(spark, tmp_path, exact):
     assert summary == {"all": (180, 30), "train": (162, 27), "heldout": (18, 3)}
     checked = dialogue.validate_dataset(spark, str(tmp_path))
     assert {r["split"]: r["rows"] for r in checked["lengths"].collect()} == {"train": 162, "heldout": 18}
+    assert {(r["split"], r["messages"], r["rows"]) for r in checked["turns"].collect() if r["split"] == "heldout"} <= {
+        ("heldout", n, k) for n in (2, 4) for k in range(19)}
+    assert checked["phrases"].isEmpty()
+    assert {(r["split"], r["hits"], r["percent"]) for r in checked["phrase_summary"].collect()} == {
+        ("train", 0, 0.0), ("heldout", 0, 0.0)}
     parts = sorted((tmp_path / "splits" / "split=train").glob("part-*"))
     written = [json.loads(l)["meta"]["episode"] for p in parts for l in p.read_text().splitlines()]
     assert written == sorted(written) and len(written) == 162
@@ -208,6 +213,33 @@ def test_empty_split_is_refused(spark, tmp_path, empty):
         dialogue.validate_dataset(spark, str(tmp_path))
 
 
+def test_steps_resume_after_a_failure(spark, tmp_path):
+    inputs = spark.range(0, 11, 1, 3).withColumnRenamed("id", "index")
+    calls = str(tmp_path / "calls")
+
+    def load(broken_at):
+        def model(batch):
+            with open(calls, "a") as log:
+                log.write("".join(f"{i}\n" for i in batch["index"]))
+            if broken_at in set(batch["index"]):
+                raise RuntimeError("model crashed")
+            return batch.assign(text="t" + batch["index"].astype(str))
+        return lambda: model
+
+    run = lambda broken, seed=0: evaluation.run_in_steps(
+        inputs, str(tmp_path / "run"), {"seed": seed}, load(broken), "index long, text string", 2, 4)
+    with pytest.raises(Exception, match="model crashed"):
+        run(5)
+    before = open(calls).read().split()
+    assert sorted(r["index"] for r in run(None).collect()) == list(range(11))
+    after = open(calls).read().split()[len(before):]
+    assert sorted(map(int, after)) == list(range(4, 11))
+    run(None)
+    assert len(open(calls).read().split()) == len(before) + len(after)
+    with pytest.raises(ValueError, match="settings changed"):
+        run(None, seed=1)
+
+
 def test_training_argument_rules():
     good = dict.fromkeys(training.POSITIVE, 1)
     assert training.argument_errors(good, True, True, None, True) == []

@@ -44,25 +44,29 @@ def message_counts(rows: DataFrame, keys: Sequence[str], messages: str = "messag
         F.count(F.lit(1)).alias("rows"))
 
 
-def phrase_hits(rows: DataFrame, reply: Column, phrases: Sequence[str] = fixed.CATCHPHRASES) -> DataFrame:
+def phrase_hits(
+    rows: DataFrame, reply: Column, phrases: Sequence[str] = fixed.CATCHPHRASES, keys: Sequence[str] = (),
+) -> DataFrame:
     """Rows per phrase (once per row); phrases without a hit are left out.
 
     One pass: every phrase is a counter of the same aggregate.
     """
     return (
-        rows.agg(*[F.count_if(text.has_phrase(reply, p)).alias(p) for p in phrases])
-        .unpivot([], [F.col(f"`{p}`") for p in phrases], "phrase", "rows")
+        rows.groupBy(*keys).agg(*[F.count_if(text.has_phrase(reply, p)).alias(p) for p in phrases])
+        .unpivot(list(keys), [F.col(f"`{p}`") for p in phrases], "phrase", "rows")
         .filter("rows > 0")
     )
 
 
-def phrase_summary(rows: DataFrame, reply: Column, phrases: Sequence[str] = fixed.CATCHPHRASES) -> DataFrame:
-    """One row: all hits, rows with any hit, rows, and their percentage."""
+def phrase_summary(
+    rows: DataFrame, reply: Column, phrases: Sequence[str] = fixed.CATCHPHRASES, keys: Sequence[str] = (),
+) -> DataFrame:
+    """All hits, rows with any hit, rows, and their percentage; one row per group."""
     hits = F.lit(0)
     for phrase in phrases:
         hits = hits + text.has_phrase(reply, phrase).cast("int")
     return (
-        rows.select(hits.alias("_hits"))
+        rows.select(*keys, hits.alias("_hits")).groupBy(*keys)
         .agg(F.sum("_hits").alias("hits"), F.count_if(F.col("_hits") > 0).alias("rows_with_hit"),
              F.count(F.lit(1)).alias("rows"))
         .withColumn("percent", F.lit(100.0) * F.col("rows_with_hit") / F.col("rows"))

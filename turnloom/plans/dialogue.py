@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom import fixed, schemas
-from turnloom.functions import arrays
+from turnloom.functions import arrays, text
 from turnloom.operators import pairs, profile, split, transcript, validate
 from turnloom.session import settle
 from turnloom.sources import files, sinks
@@ -64,7 +64,7 @@ def validate_dataset(spark: SparkSession, out: str) -> dict[str, DataFrame]:
     rows = read_splits(spark, out)
     flat = rows.select(
         "split", F.col("meta.episode").alias("episode"),
-        arrays.last(F.col("messages")).content.alias("target"), F.size("messages").alias("messages"))
+        arrays.last(F.col("messages")).content.alias("target"))
     isolation = settle(validate.isolation_report(flat))
     shared = validate.shared_episodes(flat).orderBy("episode").limit(3)
     location = F.concat_ws(":", "split", "source_file", F.col("source_row").cast("string"))
@@ -80,6 +80,8 @@ def validate_dataset(spark: SparkSession, out: str) -> dict[str, DataFrame]:
     return {
         "isolation": isolation,
         "lengths": profile.truncated_index_profile(
-            flat, ["split"], profile.text.word_count(F.col("target"))),
-        "turns": flat.groupBy("split", "messages").count(),
+            flat, ["split"], text.word_count(F.col("target"))),
+        "turns": profile.message_counts(rows, ["split"]),
+        "phrases": profile.phrase_hits(flat, F.col("target"), keys=["split"]),
+        "phrase_summary": profile.phrase_summary(flat, F.col("target"), keys=["split"]),
     }

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom import fixed, schemas
-from turnloom.operators import bootstrap, choice, similarity
+from turnloom.operators import bootstrap, choice, resume, similarity
 from turnloom.session import settle
 from turnloom.sources import files, sinks
 
@@ -69,6 +69,29 @@ def apply_model(
     return rows.mapInPandas(run, schema)
 
 
+def run_in_steps(
+    inputs: DataFrame, out: str, settings: dict, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]],
+    schema: str, batch_size: int, rows_per_step: int,
+) -> DataFrame:
+    """Run a model over inputs with a dense ``index``, resuming where an earlier run stopped.
+
+    A run with other settings is refused. Each step appends one index range as
+    one job, so saved results are always the first of the inputs; a finished
+    run loads no model.
+    """
+    spark = inputs.sparkSession
+    settings_path, results_path = f"{out}/run.json", f"{out}/results"
+    resume.require_same_settings(files.read_settings(spark, settings_path), settings)
+    sinks.write_json_document(spark, settings_path, settings)
+    results = lambda: spark.read.schema(schema).json(results_path)
+    total = inputs.count()
+    saved = resume.require_prefix(results(), total) if files.exists(spark, results_path) else 0
+    for start in range(saved, total, rows_per_step):
+        step = inputs.filter(F.col("index").between(start, start + rows_per_step - 1))
+        apply_model(step, load, schema, batch_size).write.mode("append").json(results_path)
+    return results()
+
+
 def similarity_metrics(
     rows: DataFrame, encoder_limit: int, samples: int = fixed.BOOTSTRAP_SAMPLES,
     seed: int = fixed.SEED, exact: bool = False,

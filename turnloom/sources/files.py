@@ -54,10 +54,14 @@ def read_json_document(spark: SparkSession, path: str, schema: T.StructType | No
     return reader.option("mode", "FAILFAST").json(path, multiLine=True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def read_settings(spark: SparkSession, path: str) -> dict | None:
     """A small settings document as a dict, or None where there is none yet."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+    if not exists(spark, path):
         return None
     return json.loads(spark.read.text(path, wholetext=True).first()[0])
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from turnloom.operators.pairs import pair_documents
 from turnloom.operators.resume import remaining
 from turnloom.operators.validate import guard
+from turnloom.sources.files import exists
 
 
 def write_episode_lines(lines: DataFrame, titles: DataFrame, path: str) -> None:
@@ -46,8 +47,7 @@ def write_pair_lines(pairs: DataFrame, path: str, order: Sequence[str] = ("episo
 def append_results(results: DataFrame, path: str, keys: Sequence[str], schema=None) -> None:
     """Append only rows whose keys are not saved yet; running it twice changes nothing."""
     spark = results.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+    if exists(spark, path):
         results = remaining(results, spark.read.schema(schema or results.schema).json(path), keys)
     results.write.mode("append").json(path)
 
