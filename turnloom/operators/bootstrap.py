@@ -176,7 +176,7 @@ def stratified_estimates_exact(
     sizes = {r["stratum"]: r["count"] for r in settled.groupBy("stratum").count().collect()}
     missing = [s for s in strata if s not in sizes]
     if missing:
-        raise ValueError(f"Missing subject results: {missing}")
+        raise ValueError(f"{fixed.ERROR_SUBJECTS}: {missing}")
     total = sum(sizes.values())
     if total > EXACT_ROWS:
         raise ValueError(f"exact draws are sequential; {total} rows: use another mode")

@@ -125,7 +125,7 @@ def few_shot_examples(
     joined = tests.join(F.broadcast(demos), "subject")
     checked = guard(
         joined, ~F.array_contains("demo_questions", F.col("question")),
-        "A test question overlaps its development examples")
+        fixed.ERROR_OVERLAP)
     asked = question_text(F.col("question"), F.col("choices"), F.col("answer"))
     return checked.select(
         "subject", "idx", "place",
@@ -157,7 +157,7 @@ def predict(rows: DataFrame, keys: Sequence[str], logits: str, letter_tokens: Se
 
     ``letter_tokens`` are zero-based vocabulary positions of A, B, C and D.
     """
-    checked = guard(rows, arrays.all_finite(F.col(logits)), "The model produced non-finite choice logits")
+    checked = guard(rows, arrays.all_finite(F.col(logits)), fixed.ERROR_LOGITS)
     letters = F.array(*[F.element_at(F.col(logits), t + 1) for t in letter_tokens])
     scored = checked.withColumn("_letters", letters).select(
         *keys,
@@ -213,4 +213,4 @@ def require_subjects(rows: DataFrame, subjects: Sequence[str], subject: str = "s
     seen = {r[0] for r in rows.filter(F.col(subject).isin(*subjects)).select(subject).distinct().collect()}
     missing = [s for s in subjects if s not in seen]
     if missing:
-        raise ValueError(f"Missing subject results: {missing}")
+        raise ValueError(f"{fixed.ERROR_SUBJECTS}: {missing}")

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnloom import fixed
+
 
 def remaining(inputs: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inputs without a saved result."""
@@ -30,7 +32,7 @@ def require_prefix(saved: DataFrame, inputs: int, index: str = "index") -> int:
     """Number of saved rows, once they are known to be the first of the inputs."""
     status = prefix_status(saved, index).first()
     if not status["is_prefix"] or status["saved"] > inputs:
-        raise ValueError("Saved generation sequence is invalid")
+        raise ValueError(fixed.ERROR_SAVED_ROWS)
     return status["saved"]
 
 
@@ -48,7 +50,7 @@ def same_settings(previous: dict | None, current: dict) -> bool:
 
 def require_same_settings(previous: dict | None, current: dict) -> None:
     if not same_settings(previous, current):
-        raise ValueError("Evaluation settings changed; use a new output directory")
+        raise ValueError(fixed.ERROR_SETTINGS)
 
 
 def compare_checksums(left: DataFrame, right: DataFrame) -> DataFrame:

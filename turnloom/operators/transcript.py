@@ -85,8 +85,8 @@ def pages_without_dialogue(pages: DataFrame, lines: DataFrame, keys: Sequence[st
 def require_complete(pages: DataFrame, lines: DataFrame, keys: Sequence[str]) -> None:
     """Refuse the whole run when there is no page, or any page without dialogue."""
     if pages.isEmpty():
-        raise ValueError("No episode links found; output was not written")
-    require_empty(pages_without_dialogue(pages, lines, keys), "No dialogue lines found; output was not written")
+        raise ValueError(fixed.ERROR_NO_LINKS)
+    require_empty(pages_without_dialogue(pages, lines, keys), fixed.ERROR_NO_DIALOGUE)
 
 
 def explode_scenes(

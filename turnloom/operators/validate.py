@@ -50,31 +50,29 @@ def _shown(role: Column) -> Column:
     return F.coalesce(role, F.lit("None"))
 
 
-def _error(rule: str, position: Column, *parts: Column | str) -> Column:
-    detail = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+def _error(rule: str, position: Column, template: str, *values: Column) -> Column:
     return F.struct(
-        position.cast("int").alias("position"), F.lit(rule).alias("rule"), detail.alias("detail"))
+        position.cast("int").alias("position"), F.lit(rule).alias("rule"),
+        F.format_string(template, *values).alias("detail"))
 
 
 def _message_errors(position: Column, role: Column, content: Column, cast: Sequence[str]) -> Column:
     """Array of the three per-message rules' errors."""
     wanted = expected_role(position)
-    at = position.cast("string")
     return F.array_compact(F.array(
-        F.when(text.is_blank(content), _error(EMPTY, position, "message ", at, " is empty")),
-        F.when(text.leaked_speaker(content, cast),
-               _error(LEAK, position, "message ", at, " has a speaker-name prefix")),
+        F.when(text.is_blank(content), _error(EMPTY, position, fixed.ERROR_EMPTY, position)),
+        F.when(text.leaked_speaker(content, cast), _error(LEAK, position, fixed.ERROR_LEAK, position)),
         F.when(~role.eqNullSafe(wanted),
-               _error(ORDER, position, "message ", at, " has role ", _shown(role), ", expected ", wanted)),
+               _error(ORDER, position, fixed.ERROR_ORDER, position, _shown(role), wanted)),
     ))
 
 
 def _too_few(count: Column) -> Column:
-    return _error(TOO_FEW, F.lit(-1), "only ", count.cast("string"), " messages")
+    return _error(TOO_FEW, F.lit(-1), fixed.ERROR_TOO_FEW, count)
 
 
 def _wrong_end(role: Column) -> Column:
-    return _error(LAST_ROLE, F.lit(-1), "ends with ", _shown(role), ", expected assistant")
+    return _error(LAST_ROLE, F.lit(-1), fixed.ERROR_LAST_ROLE, _shown(role))
 
 
 def row_errors(
@@ -170,12 +168,8 @@ def isolation_errors(report: DataFrame, first_shared: DataFrame) -> DataFrame:
     """Error lines of the two isolation rules. ``first_shared``: at most three episodes."""
     names = first_shared.agg(F.concat_ws(", ", F.array_sort(F.collect_list("episode")))).scalar()
     return report.filter(F.col("check").isin("shared_episodes", "leaked_targets") & (F.col("rows") > 0)).select(
-        F.when(
-            F.col("check") == "shared_episodes",
-            F.concat(F.col("rows").cast("string"), F.lit(" episode(s) in BOTH splits: "), names),
-        ).otherwise(F.concat(
-            F.col("rows").cast("string"), F.lit(" held-out target(s) appear verbatim in train"))
-        ).alias("detail"))
+        F.when(F.col("check") == "shared_episodes", F.format_string(fixed.ERROR_SHARED, "rows", names))
+        .otherwise(F.format_string(fixed.ERROR_LEAKED, "rows")).alias("detail"))
 
 
 # --- training rows ---
@@ -188,8 +182,8 @@ def chat_is_trainable(messages: Column) -> Column:
 
 
 def require_trainable(rows: DataFrame, label: Column, messages: str = "messages") -> DataFrame:
-    return guard(rows, chat_is_trainable(F.col(messages)), F.concat(
-        F.lit("Example "), label.cast("string"), F.lit(": expected alternating user/assistant messages")))
+    return guard(rows, chat_is_trainable(F.col(messages)),
+                 F.format_string(fixed.ERROR_NOT_TRAINABLE, label.cast("string")))
 
 
 def require_evaluable(
@@ -197,7 +191,7 @@ def require_evaluable(
 ) -> DataFrame:
     """The evaluation input rule: a trainable chat with a non-empty episode."""
     ok = chat_is_trainable(F.col(messages)) & (F.length(F.col(episode)) > 0)
-    return guard(rows, ok, F.concat(F.lit("Invalid conversation at row "), label.cast("string")))
+    return guard(rows, ok, F.format_string(fixed.ERROR_NOT_EVALUABLE, label.cast("string")))
 
 
 def prompt_completion(rows: DataFrame, keys: Sequence[str], messages: str = "messages") -> DataFrame:

@@ -55,7 +55,7 @@ def read_splits(spark: SparkSession, out: str) -> DataFrame:
         for name in (split.TRAIN, split.HELDOUT)
     ]
     for name, side in zip((split.TRAIN, split.HELDOUT), sides):
-        validate.require_rows(side, f"{name} split is empty; rebuild the dataset before validating")
+        validate.require_rows(side, fixed.ERROR_EMPTY_SPLIT.format(name))
     return sides[0].unionByName(sides[1])
 
 

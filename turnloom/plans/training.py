@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom import schemas
+from turnloom import fixed, schemas
 from turnloom.operators import validate
 from turnloom.sources import files
 
@@ -40,7 +40,7 @@ def argument_errors(
 def training_rows(spark: SparkSession, path: str) -> DataFrame:
     """Prompt and completion of every row of a pair file; the first bad row fails the job."""
     rows = validate.require_rows(
-        files.read_json_lines(spark, path, schemas.PAIR, skip_blank=True), "Training data is empty")
+        files.read_json_lines(spark, path, schemas.PAIR, skip_blank=True), fixed.ERROR_NO_TRAINING)
     checked = validate.require_trainable(rows, F.col("source_row"))
     return validate.prompt_completion(checked, files.SOURCE_ORDER)
 
