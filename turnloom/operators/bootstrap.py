@@ -44,7 +44,7 @@ def _digests_needed(slots: Column) -> Column:
 
 def lookup_side(settled: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a settled frame for broadcast only after counting that it is small."""
-    return F.broadcast(settled) if settled.limit(limit + 1).count() <= limit else settled
+    return F.broadcast(settled) if settled.count() <= limit else settled
 
 
 # --- clusters ---

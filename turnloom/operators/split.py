@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from turnloom import fixed
 from turnloom.functions.hashing import seeded_key
 from turnloom.operators.ordered import digest_rank
+from turnloom.session import settle
 
 TRAIN, HELDOUT = "train", "heldout"
 EXACT_TITLE_LIMIT = 1_000_000
@@ -54,10 +55,10 @@ def split_pairs_exact(
     mode serves reproduction of published runs and refuses longer lists;
     :func:`split_pairs` has no such bound.
     """
-    distinct = pairs.select(episode).distinct()
-    titles = sorted(row[0] for row in distinct.limit(limit + 1).collect())
-    if len(titles) > limit:
+    distinct = settle(pairs.select(episode).distinct())
+    if distinct.count() > limit:
         raise ValueError(f"more than {limit} episodes: use split_pairs")
+    titles = sorted(row[0] for row in distinct.collect())
     random.Random(seed).shuffle(titles)
     held = titles[: max(1, int(len(titles) * fraction))]
     schema = pairs.select(episode).schema

@@ -50,8 +50,7 @@ def read_paragraphs(paragraphs: DataFrame, keys: Sequence[str]) -> DataFrame:
         text.normalize(F.col("full_text")).alias("full"),
         text.normalize(F.col("plain_text")).alias("plain"),
     )
-    split = texts.select(
-        *keys, "place",
+    judged = F.struct(
         F.col("full").rlike(fixed.SCENE_PATTERN).alias("is_header"),
         F.col("full").rlike(fixed.CREDITS_PATTERN).alias("is_credit"),
         F.trim(F.regexp_extract("plain", fixed.SPEAKER_LINE_PATTERN, 1)).alias("speaker"),
@@ -59,6 +58,8 @@ def read_paragraphs(paragraphs: DataFrame, keys: Sequence[str]) -> DataFrame:
             F.regexp_extract("plain", fixed.SPEAKER_LINE_PATTERN, 2), fixed.EMPTY_PARENS_PATTERN, "",
         )).alias("text"),
     )
+    # As a generated row, so that the filter below reads results instead of repeating the patterns.
+    split = texts.select(*keys, "place", F.inline(F.array(judged)))
     spoken = ~F.col("is_credit") & (F.col("speaker") != "") & (F.col("text") != "")
     return split.filter(F.col("is_header") | spoken).drop("is_credit")
 

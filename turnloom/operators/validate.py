@@ -108,19 +108,17 @@ def turn_errors(
     is too short, so the position is part of the join key and a long chat's
     errors stay spread.
     """
-    local = turns.select(
-        F.col(key), F.col(position).cast("long").alias("_at"),
-        _message_errors(F.col(position), F.col(role), F.col(content), cast).cast(_ERROR).alias("_found"),
-    ).filter(F.size("_found") > 0)
+    local = turns.select(key, F.inline(
+        _message_errors(F.col(position), F.col(role), F.col(content), cast).cast(_ERROR)))
     chats = turns.groupBy(key).agg(
-        F.count(F.lit(1)).alias("_count"), F.max_by(role, position).alias("_ending"))
-    short = chats.filter(F.col("_count") < 2).select(key, F.lit(0).cast("long").alias("_at"))
+        F.count(F.lit(1)).alias("_count"), F.max_by(role, position).alias("_ending"),
+        F.min(position).cast("int").alias("position"))
+    short = chats.filter(F.col("_count") < 2).select(key, "position")
     chat_level = chats.select(key, F.inline(
         F.when(F.col("_count") < 2, F.array(_too_few(F.col("_count"))))
         .when(~F.col("_ending").eqNullSafe(F.lit("assistant")), F.array(_wrong_end(F.col("_ending"))))
         .otherwise(F.array().cast(_ERROR))))
-    judged = local.join(short, [key, "_at"], "left_anti")
-    return chat_level.unionByName(judged.select(key, F.inline("_found")))
+    return chat_level.unionByName(local.join(short, [key, "position"], "left_anti"))
 
 
 def error_report(
