@@ -31,7 +31,7 @@ def test_json_lines_keep_file_order(spark, tmp_path):
 
 
 def test_bad_and_blank_lines(spark, tmp_path):
-    blank = jsonl(tmp_path / "blank.jsonl", ROW, "", ROW)
+    blank = jsonl(tmp_path / "blank.jsonl", ROW, "\t", ROW, "")
     with pytest.raises(Exception, match="blank line"):
         files.read_json_lines(spark, blank, schemas.PAIR).collect()
     assert files.read_json_lines(spark, blank, schemas.PAIR, skip_blank=True).count() == 2

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom import fixed, schemas
+from turnloom.functions.text import is_blank
 from turnloom.operators import validate
 from turnloom.sources import files
 
@@ -68,6 +69,6 @@ def run_manifest(
     return {
         "arguments": dict(arguments), "model_revision": revision,
         "dataset_sha256": dataset_digest(files.file_digests(spark, path)),
-        "training_examples": spark.read.text(path).filter(F.trim("value") != "").count(),
+        "training_examples": spark.read.text(path).filter(~is_blank(F.col("value"))).count(),
         "packages": dict(packages),
     }

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from turnloom import schemas
 from turnloom.functions.hashing import sha256
+from turnloom.functions.text import is_blank
 from turnloom.operators.validate import guard
 
 SOURCE_ORDER = ("source_file", "source_block", "source_row")
@@ -40,7 +41,7 @@ def read_json_lines(
         "value", F.col("_metadata.file_path").alias("source_file"),
         F.col("_metadata.file_block_start").alias("source_block"),
         F.monotonically_increasing_id().alias("source_row"))
-    present = F.trim("value") != ""
+    present = ~is_blank(F.col("value"))
     lines = lines.filter(present) if skip_blank else guard(
         lines, present, F.concat(F.lit("blank line in "), F.col("source_file")))
     return lines.select(
