@@ -240,6 +240,21 @@ def test_steps_resume_after_a_failure(spark, tmp_path):
         run(None, seed=1)
 
 
+def test_results_are_saved_with_their_settings(spark, tmp_path):
+    rows = spark.createDataFrame([(0, 0.5), (1, -0.25)], "index long, difference double")
+    save = lambda frame, metrics: evaluation.save_results(
+        frame, ["difference"], metrics, {"seed": 0}, str(tmp_path / "out"), str(tmp_path / "metrics.json"))
+    save(rows, {"mean": 0.125})
+    assert json.loads((tmp_path / "metrics.json").read_text()) == {"mean": 0.125, "run": {"seed": 0}}
+    with pytest.raises(Exception, match="not JSON compliant"):
+        save(rows.withColumn("difference", F.lit(float("nan"))), {"mean": 0.0})
+    assert json.loads((tmp_path / "metrics.json").read_text())["mean"] == 0.125
+    assert sorted(r["difference"] for r in spark.read.schema(rows.schema).json(str(tmp_path / "out/scored")).collect()) == [-0.25, 0.5]
+    save(rows.filter("index = 0"), {"mean": 0.5})
+    assert spark.read.schema(rows.schema).json(str(tmp_path / "out/scored")).count() == 1
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["scored"]
+
+
 def test_training_argument_rules():
     good = dict.fromkeys(training.POSITIVE, 1)
     assert training.argument_errors(good, True, True, None, True) == []

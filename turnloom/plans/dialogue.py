@@ -39,7 +39,8 @@ def build_dataset(
     """
     spark = lines.sparkSession
     judged = pairs.candidates(pairs.attach_context(lines, rules), rules)
-    pairs.drop_duplicates(pairs.build_pairs(judged)).write.mode("overwrite").parquet(f"{out}/pairs")
+    unique = pairs.drop_duplicates(pairs.build_pairs(judged))
+    sinks.replace_folder(spark, f"{out}/pairs", lambda new: unique.write.parquet(new))
     kept = spark.read.parquet(f"{out}/pairs")
     divide = split.split_pairs_exact if exact_split else split.split_pairs
     divided = divide(kept, fraction=fraction, seed=seed)

@@ -121,6 +121,18 @@ def similarity_metrics(
     }
 
 
+def save_results(
+    rows: DataFrame, finite: Sequence[str], metrics: dict, settings: dict, out: str, metrics_path: str,
+) -> None:
+    """Write scored rows, then the metrics with the settings that produced them.
+
+    A NaN or infinity in ``finite`` columns or in the metrics fails the write.
+    """
+    checked = sinks.finite_or_fail(rows, finite)
+    sinks.replace_folder(rows.sparkSession, f"{out}/scored", lambda new: checked.write.json(new))
+    sinks.write_json_document(rows.sparkSession, metrics_path, {**metrics, "run": settings})
+
+
 def choice_rows(predictions: DataFrame) -> DataFrame:
     """Flatten prediction structs into right/wrong marks and letter masses."""
     marked = choice.mark_correct(

@@ -1,10 +1,10 @@
-"""Writers. Spark's commit protocol makes each write all-or-nothing per job."""
+"""Writers. A failed write leaves what was there before."""
 
 from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +15,28 @@ from turnloom.operators.validate import guard
 from turnloom.sources.files import exists
 
 
+def replace_folder(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Write a folder next to its place and swap it in once the job has committed.
+
+    Spark's own overwrite deletes the old folder before the new rows exist.
+    """
+    new, old = f"{path}.{uuid.uuid4().hex}.tmp", f"{path}.{uuid.uuid4().hex}.old"
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        write(new)
+    except Exception:
+        fs.delete(hadoop_path(new), True)
+        raise
+    had_old = exists(spark, path)
+    if had_old and not fs.rename(hadoop_path(path), hadoop_path(old)):
+        raise OSError(f"could not set {path} aside")
+    if not fs.rename(hadoop_path(new), hadoop_path(path)):
+        raise OSError(f"could not move the new rows to {path}")
+    if had_old:
+        fs.delete(hadoop_path(old), True)
+
+
 def write_episode_lines(lines: DataFrame, titles: DataFrame, path: str) -> None:
     """Nested episodes, one JSON object per line, after the caller's completeness check.
 
@@ -25,8 +47,8 @@ def write_episode_lines(lines: DataFrame, titles: DataFrame, path: str) -> None:
         F.array_sort(F.collect_list(F.struct("line", "speaker", "text", "scene"))),
         lambda l: F.struct(l.speaker.alias("speaker"), l.text.alias("text"), l.scene.alias("scene")),
     ).alias("lines"))
-    titles.join(nested, "episode_id").select("episode_id", "title", "url", "lines").write.mode(
-        "overwrite").json(path)
+    episodes = titles.join(nested, "episode_id").select("episode_id", "title", "url", "lines")
+    replace_folder(lines.sparkSession, path, lambda new: episodes.write.json(new))
 
 
 def write_pair_lines(pairs: DataFrame, path: str, order: Sequence[str] = ("episode_id", "line")) -> None:
@@ -36,12 +58,12 @@ def write_pair_lines(pairs: DataFrame, path: str, order: Sequence[str] = ("episo
     """
     documents = pair_documents(pairs).select(
         "split", *order, F.to_json(F.struct("messages", "meta")).alias("value"))
-    (
+    ordered = (
         documents.repartitionByRange("split", *order)
         .sortWithinPartitions("split", *order)
         .select("split", "value")
-        .write.partitionBy("split").mode("overwrite").text(path)
     )
+    replace_folder(pairs.sparkSession, path, lambda new: ordered.write.partitionBy("split").text(new))
 
 
 def append_results(results: DataFrame, path: str, keys: Sequence[str], schema=None) -> None:
