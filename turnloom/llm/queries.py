@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.llm import (
-    chat_format, license_scan, line_dedup, quality_classifier, quality_rules, sentencepiece_codec)
-from turnloom.llm.sql import CHAT_SQL, LINE_SQL
+    chat_format, license_scan, line_dedup, quality_classifier, quality_rules, sentencepiece_codec,
+    substring_dedup)
+from turnloom.llm.sql import CHAT_SQL, LINE_SQL, SUBSTRING_SQL
 
 #: Places of the tokenizer model; the first one that is set or installed is taken.
 MODEL_SETTING = "TURNLOOM_PIECE_MODEL"
@@ -42,6 +43,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encoded(table(spark, sf_dir, "documents"), model_path(), with_ids=False)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     machine = quality_classifier.train_from(documents, table(spark, sf_dir, "labels"))
@@ -68,10 +73,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_substring_dedup": op3_substring_dedup,
     "op5_quality_classifier": op5_quality_classifier,
     "op8_license_scan": op8_license_scan,
     "op9_chat_format": op9_chat_format,
     "op10_line_dedup": op10_line_dedup,
 }
 
-CHECKS: dict[str, str] = {"op9_chat_format": CHAT_SQL, "op10_line_dedup": LINE_SQL}
+CHECKS: dict[str, str] = {
+    "op3_substring_dedup": SUBSTRING_SQL, "op9_chat_format": CHAT_SQL, "op10_line_dedup": LINE_SQL}

@@ -76,3 +76,24 @@ FROM documents d LEFT JOIN found USING (doc_id) LEFT JOIN longest USING (doc_id)
 
 
 LINE_SQL = _line_sql(3, 9)
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+SUBSTRING_SQL = f"""
+WITH split_texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words FROM documents),
+windows AS (
+  SELECT doc_id, place, array_to_string(words[place + 1 : place + 13], ' ') AS said
+  FROM (SELECT doc_id, words, unnest(range(len(words) - 12)) AS place FROM split_texts)),
+firsts AS (SELECT said, min(doc_id) AS first FROM windows GROUP BY said),
+gone AS (
+  SELECT doc_id, list(DISTINCT place) AS places FROM (
+    SELECT w.doc_id, unnest(range(w.place, w.place + 13)) AS place
+    FROM windows w JOIN firsts f USING (said) WHERE f.first < w.doc_id) GROUP BY doc_id),
+judged AS (
+  SELECT t.doc_id, words, list_filter(range(len(words)), lambda i: NOT list_contains(coalesce(places, []), i)) AS kept
+  FROM split_texts t LEFT JOIN gone g USING (doc_id))
+SELECT doc_id, len(words) AS n_words, len(words) - len(kept) AS n_removed,
+  sha256(array_to_string(list_transform(kept, lambda i: words[i + 1]), ' ')) AS kept_sha256
+FROM judged
+"""
