@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -99,7 +100,7 @@ def split_batch(raws: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.nd
     lists = [raw.split() for raw in raws]
     starts = np.zeros(len(lists) + 1, np.int64)
     np.cumsum([len(x) for x in lists], out=starts[1:])
-    hashes = word_hashes((word for x in lists for word in x), int(starts[-1]))
+    hashes = word_hashes(chain.from_iterable(lists), int(starts[-1]))
     return lists, hashes, starts
 
 

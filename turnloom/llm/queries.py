@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.llm import (
-    chat_format, license_scan, line_dedup, quality_classifier, quality_rules, sentencepiece_codec,
+    chat_format, decontaminate, license_scan, line_dedup, quality_classifier, quality_rules, sentencepiece_codec,
     substring_dedup)
 from turnloom.llm.sql import CHAT_SQL, LINE_SQL, SUBSTRING_SQL
 
@@ -47,6 +47,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicated(table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     machine = quality_classifier.train_from(documents, table(spark, sf_dir, "labels"))
@@ -74,6 +78,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_decontaminate": op4_decontaminate,
     "op5_quality_classifier": op5_quality_classifier,
     "op8_license_scan": op8_license_scan,
     "op9_chat_format": op9_chat_format,
