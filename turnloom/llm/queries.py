@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.llm import (
-    chat_format, decontaminate, license_scan, line_dedup, quality_classifier, quality_rules, sentencepiece_codec,
+    chat_format, decontaminate, html_extract, license_scan, line_dedup, quality_classifier, quality_rules, sentencepiece_codec,
     substring_dedup)
 from turnloom.llm.sql import CHAT_SQL, LINE_SQL, SUBSTRING_SQL
 
@@ -57,6 +57,11 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.scored(documents, machine)
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extracted(pages, html_extract.train_from(pages))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scanned(table(spark, sf_dir, "documents")).withColumn("n_spans", F.size("spans")).drop("spans")
 
@@ -80,6 +85,7 @@ QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_html_extract": op6_html_extract,
     "op8_license_scan": op8_license_scan,
     "op9_chat_format": op9_chat_format,
     "op10_line_dedup": op10_line_dedup,
