@@ -26,7 +26,19 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-# Well-known passages of public licences, by label.
+# Well-known passages of public licences, by label, and short notices of use.
+NOTICES = {
+    "agpl": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "apache-2": "Licensed under the Apache License, Version 2.0.",
+    "bsd": "Released under the BSD License.",
+    "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-nc": "This work is licensed under CC BY-NC 4.0.",
+    "cc-by-sa": "This work is licensed under CC BY-SA 4.0.",
+    "gpl": "This work is licensed under the GNU General Public License, version 3.",
+    "lgpl": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "mit": "Released under the MIT License.",
+    "mpl-2": "This work is licensed under the Mozilla Public License, version 2.0.",
+}
 TEMPLATES = {
     "mit": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
@@ -144,11 +156,13 @@ class Scanner:
     """Phrases and templates as numbers; scans one text at a time."""
 
     def __init__(self, phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, str] = TEMPLATES,
-                 least_match: int = 4, most_gap: int = 20, least_share: float = 0.3):
-        self.least, self.gap, self.share = least_match, most_gap, least_share
-        self.labels = sorted(templates)
+                 notices: Mapping[str, str] = NOTICES, least_match: int = 4, most_gap: int = 20,
+                 least_share: float = 0.75, least_words: int = 20):
+        self.least, self.gap, self.share, self.enough = least_match, most_gap, least_share, least_words
+        named = sorted([*templates.items(), *notices.items()])
+        self.labels = [label for label, _ in named]
         self.phrases = [(words_of(k.encode()), v) for k, v in phrases.items()]
-        bodies = [words_of(templates[x].encode()) for x in self.labels]
+        bodies = [words_of(text.encode()) for _, text in named]
         self.numbers: dict[bytes, int] = {}
         for body in [*bodies, *(x for x, _ in self.phrases)]:
             for word in body:
@@ -174,7 +188,11 @@ class Scanner:
         return found
 
     def spans(self, codes: np.ndarray) -> list[tuple[str, int, int, float]]:
-        """(label, first word, end, covered share of the template) of chained matches."""
+        """(label, first word, end, covered share of the template) of the best chains.
+
+        A chain counts if it covers `least_share` of its template or `least_words` words of it. Of
+        chains that overlap only the one that covers most words stays.
+        """
         edges = np.flatnonzero(np.diff(np.concatenate([[0], (codes >= 0).view(np.int8), [0]])))
         pieces: dict[int, list[tuple[int, int, int]]] = {}
         for start, end in zip(edges[::2], edges[1::2]):
@@ -182,8 +200,8 @@ class Scanner:
                 for a, b, state in self.automaton.matches(codes[start:end].tolist(), self.least):
                     for template, stop in self.automaton.ends[state]:
                         pieces.setdefault(template, []).append((int(start) + a, int(start) + b, stop))
-        out = []
-        for template, found in pieces.items():
+        chains = []
+        for template, found in sorted(pieces.items()):
             found.sort()
             best: list[tuple[int, int]] = []  # covered tokens and first word of the chain so far
             for i, (a, b, stop) in enumerate(found):
@@ -198,8 +216,12 @@ class Scanner:
                 best.append((covered, first))
             top = max(range(len(found)), key=lambda i: (best[i][0], -found[i][0]))
             share = min(1.0, best[top][0] / self.sizes[template])
-            if share >= self.share:
-                out.append((self.labels[template], best[top][1], found[top][1], share))
+            if share >= self.share or best[top][0] >= self.enough:
+                chains.append((-best[top][0], -share, self.labels[template], best[top][1], found[top][1]))
+        out: list[tuple[str, int, int, float]] = []
+        for _, share, label, start, stop in sorted(chains):
+            if all(stop <= a or b <= start for _, a, b, _ in out):
+                out.append((label, start, stop, -share))
         return sorted(out)
 
     def scan(self, raw: bytes) -> dict:
