@@ -4,16 +4,23 @@ The model file is read as a protobuf message; normaliser, metaspace marker, scor
 merges (BPE, ordered by score) and byte fallback are rebuilt from it. Batches are encoded by the
 library's threads, and every batch is compared with the sentencepiece library.
 
+Where no piece goes on after a word's end, texts are cut there, which changes no id; the words of
+a batch that the worker has not met lately are encoded together by the library's threads, so a
+text of any length is encoded in small steps.
+
 Defined cases: a null text has no ids and decodes to the empty text; rows with equal ids are
-encoded one by one; very long texts are cut before markers that no piece can span, which changes
-no id; an unknown piece without byte fallback becomes the unknown id, as in the source library.
+encoded one by one; an unknown piece without byte fallback becomes the unknown id, as in the
+source library.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import re
+import struct
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +29,8 @@ from pyspark.sql import DataFrame
 from turnloom.llm.common import arrow_map, texts
 
 MARKER = "▁"
-CUT_CHARS = 1 << 20
+#: Words that a worker remembers with their ids.
+REMEMBERED = 1 << 19
 # Message numbers of the public model format.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -128,9 +136,6 @@ def tokenizer(model: Model):
     if model.escape:
         steps.append(normalizers.Replace(" ", MARKER))
     out.normalizer = normalizers.Sequence(steps)
-    if not model.spans_words():
-        # no piece crosses these borders, so words can be encoded, and remembered, one by one
-        out.pre_tokenizer = pre_tokenizers.Split(Regex(f"\n|{MARKER}*[^{MARKER}\n]+|{MARKER}+"), "isolated")
     last = [decoders.Strip(" ", 1, 0)] if model.dummy_prefix else []
     out.decoder = decoders.Sequence(
         [decoders.Replace(MARKER, " "), decoders.ByteFallback(), decoders.Fuse(), *last])
@@ -139,51 +144,72 @@ def tokenizer(model: Model):
 
 
 class Codec:
-    """Encoder and decoder of one model file."""
+    """Encoder and decoder of one model file; ids are packed as 4-byte little-endian numbers."""
 
     def __init__(self, data: bytes):
         import sentencepiece
+        from tokenizers import Tokenizer
 
         self.model = Model.parse(data)
         self.tokenizer = tokenizer(self.model)
-        self.whole = self.model.spans_words() or self.model.squeeze or bool(self.model.charsmap)
+        self.by_word = self.model.kind == BPE and not self.model.spans_words()
+        self.core = Tokenizer(self.tokenizer.model)
+        self.words = re.compile(f"\n|{MARKER}*[^{MARKER}\n]+|{MARKER}+")
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.bytes = [self._shown(piece, kind) for piece, _, kind in self.model.pieces]
         self.source = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.dropped = {i for i, x in enumerate(self.model.pieces) if x[2] == CONTROL}
-
-    def parts(self, text: str) -> list[str]:
-        """The text in pieces of about a megabyte, cut before spaces inside it."""
-        if self.whole or len(text) <= CUT_CHARS:
-            return [text]
-        out, at = [], 0
-        while len(text) - at > CUT_CHARS:
-            cut = text.find("\n", at + CUT_CHARS)
-            if cut < 0:
-                break
-            out.append(text[at:cut])
-            at = cut
-        return [*out, text[at:]]
-
-    def encode(self, batch: list[str]) -> list[list[int]]:
-        """Ids of each text; the library's threads share the batch."""
-        out = []
-        flat = [(i, j, part) for i, text in enumerate(batch) for j, part in enumerate(self.parts(text))]
-        found = self.tokenizer.encode_batch_fast([p for _, _, p in flat], add_special_tokens=False)
-        for (i, j, part), encoding in zip(flat, found):
-            ids = encoding.ids
-            if j and self.model.dummy_prefix:
-                ids = ids[1:]  # the marker before a part that starts with a line end stands alone
-            if j:
-                out[i] += ids
+
+    def _shown(self, piece: str, kind: int) -> bytes:
+        """What a piece stands for in the decoded text."""
+        if kind == BYTE:
+            return bytes([int(piece[3:5], 16)])
+        if kind == CONTROL:
+            return b""
+        return b" \xe2\x81\x87 " if kind == UNKNOWN else piece.replace(MARKER, " ").encode()
+
+    def normal(self, text: str) -> str:
+        model = self.model
+        if model.charsmap or model.squeeze:
+            return self.tokenizer.normalizer.normalize_str(text)
+        text = f" {text}" if model.dummy_prefix else text
+        return text.replace(" ", MARKER) if model.escape else text
+
+    def learn(self, words: set[str]) -> None:
+        """Encode the words that are not remembered, all together."""
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        fresh = []
+        for word in words - self.known.keys():
+            if word in self.older:
+                self.known[word] = self.older[word]
             else:
-                out.append(ids if part else [])
+                fresh.append(word)
+        found = self.core.encode_batch_fast(fresh, add_special_tokens=False)
+        self.known.update((word, struct.pack(f"<{len(x.ids)}i", *x.ids)) for word, x in zip(fresh, found))
+
+    def encode(self, batch: list[str]) -> list[bytes]:
+        """Packed ids of each text; the library's threads share the batch."""
+        if not self.by_word:
+            found = self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)
+            return [np.array(x.ids if text else [], "<i4").tobytes() for x, text in zip(found, batch)]
+        lists = [self.words.findall(self.normal(text)) if text else [] for text in batch]
+        self.learn(set(chain.from_iterable(lists)))
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, words)) for words in lists]
+
+    def decode(self, batch: list[bytes]) -> list[str]:
+        """Texts of packed ids, from the pieces of the model: markers, bytes and the first space."""
+        shown, prefix = self.bytes.__getitem__, self.model.dummy_prefix
+        out = []
+        for ids in batch:
+            text = b"".join(map(shown, np.frombuffer(ids, "<i4").tolist())).decode(errors="replace")
+            out.append(text[1:] if prefix and text.startswith(" ") else text)
         return out
 
-    def decode(self, batch: list[list[int]]) -> list[str]:
-        return self.tokenizer.decode_batch(
-            [[i for i in ids if i not in self.dropped] for ids in batch], skip_special_tokens=False)
-
-    def expected(self, batch: list[str]) -> list[list[int]]:
-        return self.source.encode(batch, num_threads=1)
+    def expected(self, batch: list[str]) -> list[bytes]:
+        """Packed ids of the source library."""
+        return [np.array(x, "<i4").tobytes() for x in self.source.encode(batch, num_threads=1)]
 
 
 SCHEMA = (
@@ -218,13 +244,13 @@ def encoded(documents: DataFrame, model_path: str, threads: int = 2, with_ids: b
         decoded = codec.decode(ids)
         out = {
             "doc_id": batch.column("doc_id"),
-            "n_tokens": [len(x) for x in ids],
-            "ids_sha256": [hashlib.sha256(np.array(x, "<i4").tobytes()).hexdigest() for x in ids],
+            "n_tokens": [len(x) // 4 for x in ids],
+            "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
             "parity": [a == b for a, b in zip(ids, codec.expected(given))],
             "round_trip": [a == b for a, b in zip(given, decoded)],
             "decoded_chars": [len(x) for x in decoded]}
         if with_ids:
-            out["ids"] = ids
+            out["ids"] = pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32()))
         return out
 
     return arrow_map(texts(documents), work, SCHEMA + (", ids array<int>" if with_ids else ""))
