@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.llm import (
-    chat_format, decontaminate, html_extract, license_scan, line_dedup, quality_classifier, quality_rules, sentencepiece_codec,
+    chat_format, decontaminate, html_extract, license_scan, line_dedup, ngram_join, quality_classifier, quality_rules, sentencepiece_codec,
     substring_dedup)
-from turnloom.llm.sql import CHAT_SQL, LINE_SQL, SUBSTRING_SQL
+from turnloom.llm.sql import CHAT_SQL, JACCARD_SQL, LINE_SQL, SUBSTRING_SQL
 
 #: Places of the tokenizer model; the first one that is set or installed is taken.
 MODEL_SETTING = "TURNLOOM_PIECE_MODEL"
@@ -62,6 +62,10 @@ def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extracted(pages, html_extract.train_from(pages))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scanned(table(spark, sf_dir, "documents")).withColumn("n_spans", F.size("spans")).drop("spans")
 
@@ -86,10 +90,11 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_html_extract": op6_html_extract,
+    "op7_ngram_join": op7_ngram_join,
     "op8_license_scan": op8_license_scan,
     "op9_chat_format": op9_chat_format,
     "op10_line_dedup": op10_line_dedup,
 }
 
 CHECKS: dict[str, str] = {
-    "op3_substring_dedup": SUBSTRING_SQL, "op9_chat_format": CHAT_SQL, "op10_line_dedup": LINE_SQL}
+    "op3_substring_dedup": SUBSTRING_SQL, "op7_ngram_join": JACCARD_SQL, "op9_chat_format": CHAT_SQL, "op10_line_dedup": LINE_SQL}

@@ -97,3 +97,28 @@ SELECT doc_id, len(words) AS n_words, len(words) - len(kept) AS n_removed,
   sha256(array_to_string(list_transform(kept, lambda i: words[i + 1]), ' ')) AS kept_sha256
 FROM judged
 """
+
+JACCARD_SQL = f"""
+WITH RECURSIVE split_texts AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS words
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(words) < 5 THEN array_to_string(words, ' ')
+    ELSE array_to_string(words[place + 1 : place + 5], ' ') END AS shingle
+  FROM (SELECT doc_id, words, unnest(range(greatest(1, len(words) - 4))) AS place FROM split_texts WHERE len(words) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+met AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+  FROM shingles a JOIN shingles b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (
+  SELECT a AS node, a AS other FROM edges
+  UNION SELECT r.node, e.b FROM reached r JOIN edges e ON e.a = r.other),
+found AS (SELECT node, min(other) AS component FROM reached GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN found ON node = d.doc_id
+"""
