@@ -252,19 +252,19 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, least: float = SIMI
     return out
 
 
+def _flag(shared, least: float):
+    def flag(text: pa.Array) -> pa.Array:
+        return pa.array([bool(x) for x in shared.value.batch(raw_texts(text), least)], pa.bool_())
+
+    return F.arrow_udf(flag, "boolean")
+
+
 def holds_any(documents: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> list[Column]:
     """Boolean columns, one per block of the benchmark: whether the row's text holds an item."""
     small_batches(documents.sparkSession)
-    out = []
-    for index in indexes(benchmark):
-        shared = documents.sparkSession.sparkContext.broadcast(index)
-
-        def flag(text: pa.Array, shared=shared) -> pa.Array:
-            return pa.array([bool(x) for x in shared.value.batch(raw_texts(text), least)], pa.bool_())
-
-        flag.__annotations__ = {"text": pa.Array, "return": pa.Array}
-        out.append(F.arrow_udf(flag, "boolean")(F.col("text").cast("string")))
-    return out
+    context = documents.sparkSession.sparkContext
+    text = F.col("text").cast("string")
+    return [_flag(context.broadcast(index), least)(text) for index in indexes(benchmark)]
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
