@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star steps on tables of edges.
 
-Every step is a map-side pre-aggregated minimum and a join that adaptive execution may split, so
-a node with very many edges is not gathered anywhere.
+Every step is a map-side pre-aggregated minimum, written as a table, and a join with it that adaptive
+execution may split, so a node with very many edges is not gathered anywhere.
 """
 
 from __future__ import annotations
@@ -15,13 +15,13 @@ from turnloom.llm.common import scratch
 def _large_star(edges: DataFrame) -> DataFrame:
     """Larger neighbours of a node move to the smallest node around it."""
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
+    least = scratch(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least")))
     return both.where("b > a").join(least, "a").select(F.col("least").alias("a"), "b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours move to the smallest of them; edges run from small to large."""
-    least = edges.groupBy("b").agg(F.min("a").alias("least"))
+    least = scratch(edges.groupBy("b").agg(F.min("a").alias("least")))
     moved = edges.join(least, "b").where("a > least").select(F.col("least").alias("a"), F.col("a").alias("b"))
     return moved.unionAll(least.select(F.col("least").alias("a"), "b")).distinct()
 

@@ -211,7 +211,8 @@ def _meet(order: Broadcast, percent: int):
 
 def _overlaps(documents: DataFrame, pairs: DataFrame, order: Broadcast, percent: int, width: int) -> DataFrame:
     """Pairs (a, b) whose exact overlap, summed over fragments, reaches the threshold."""
-    parts = pairs.groupBy("a").agg((F.count("*") / PARTNERS + 1).cast("int").alias("parts"))
+    # written first, so that the join with it has shuffles of its own, which may be split
+    parts = scratch(pairs.groupBy("a").agg((F.count("*") / PARTNERS + 1).cast("int").alias("parts")))
     part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")
     needs = pairs.join(parts, "a").select(F.col("b").alias("need"), F.struct("a", part.alias("part")).alias("to"))
     own = parts.select(F.col("a").alias("need"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "a")
@@ -276,7 +277,7 @@ def joined(documents: DataFrame, percent: int = 75, width: int = WIDTH) -> DataF
     met = scratch(
         _postings(classes.select("rep", "n", "rarest"), order, buckets)
         .groupBy("bucket").applyInArrow(_meet(order, percent), "kind int, key bigint, a bigint, b bigint"))
-    leaders = met.where("kind = 2").groupBy("key").agg(F.min("a").alias("top"))
+    leaders = scratch(met.where("kind = 2").groupBy("key").agg(F.min("a").alias("top")))
     tops = (
         met.where("kind = 2").join(leaders, "key").where("a > top")
         .select(F.col("top").alias("a"), F.col("a").alias("b")))
@@ -295,8 +296,8 @@ def joined(documents: DataFrame, percent: int = 75, width: int = WIDTH) -> DataF
     many = (
         met.where("kind > 0").select("key", F.col("a").alias("node"), F.col("b").alias("n"))
         .join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    open_keys = many.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    many = scratch(many.join(open_keys, "key"))
+    open_keys = many.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+    many = scratch(many.join(scratch(open_keys.where("x < y").select("key")), "key"))
     one, two = (many.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "component")]) for k in "ab")
     rest = (
         one.join(two, "key")
