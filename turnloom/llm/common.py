@@ -47,6 +47,20 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def lowest(rows: DataFrame, by: list[str], most: int) -> DataFrame:
+    """The `most` rows with the smallest digests of the columns `by`: a sample that any run repeats.
+
+    Digests are spread evenly, so a bound on them lets about that many rows out of all tasks
+    together, however many tasks there are; the order and the limit then make the number exact.
+    """
+    place = F.xxhash64(*by)
+    share = min(1.0, (1.5 * most + 200) / max(1, rows.count()))
+    bound = min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
+    return (
+        rows.where(place <= F.lit(bound)).withColumn("_place", place)
+        .orderBy("_place", *rows.columns).limit(most).drop("_place"))
+
+
 def texts(documents: DataFrame) -> DataFrame:
     """doc_id long and text string of every row, whatever else the table has."""
     small_batches(documents.sparkSession)

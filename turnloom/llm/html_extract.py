@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import arrow_map, small_batches
+from turnloom.llm.common import arrow_map, lowest, small_batches
 
 PATH_SLOTS, WORD_SLOTS, SHARES, HIDDEN = 64, 32, 8, 12
 INPUTS = PATH_SLOTS + WORD_SLOTS + SHARES
@@ -319,9 +319,8 @@ def varied(page: list[Block], draw: np.random.Generator) -> tuple[list[Block], n
 
 def train_from(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Labeller | None:
     """A labeller from a bounded sample of pages whose elements say what is main text."""
-    rows = (
-        pages.select(F.col("html").cast("string").alias("html")).where(F.length("html") <= SAMPLE_CHARS)
-        .orderBy(F.xxhash64("html"), "html").limit(sample_pages).collect())
+    short = pages.select(F.col("html").cast("string").alias("html")).where(F.length("html") <= SAMPLE_CHARS)
+    rows = lowest(short, ["html"], sample_pages).collect()
     parsed = [x for x in (blocks(r["html"]) for r in rows) if x]
     known = [x for x in parsed if any(told(b.path) == 1 for b in x) and any(told(b.path) == 0 for b in x)]
     if not known:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import arrow_map, raw_texts, texts
+from turnloom.llm.common import arrow_map, lowest, raw_texts, texts
 
 WORD_SLOTS = 4096
 #: At most this many labelled rows, those with the smallest digests of their ids, are learned from.
@@ -120,11 +120,10 @@ def train_from(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
 
     Each row sends WORD_SLOTS sparse values at most to the driver, which bounds the whole.
     """
-    marked = (
+    marked = lowest(
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-        .where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
-        .withColumn("_place", F.xxhash64("doc_id")).orderBy("_place", "doc_id", "quality")
-        .limit(sample_rows).drop("_place"))
+        .where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))),
+        ["doc_id"], sample_rows)
 
     def work(batch: pa.RecordBatch) -> dict:
         found = [features(raw) for raw in raw_texts(batch.column("text"))]

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from turnloom.llm.common import small_batches
+from turnloom.llm.common import lowest, small_batches
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\f\r"
@@ -207,11 +207,9 @@ def verdict(rules: list[Rule], stats: Column) -> Column:
 def learn_from(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS):
     """Rules from labelled documents that pass the base rules; 0 in `quality` marks the bad ones."""
     small_batches(documents.sparkSession)
-    marked = (
+    marked = lowest(
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-        .where("doc_id is not null and quality is not null")
-        .withColumn("_place", F.xxhash64("doc_id")).orderBy("_place", "doc_id", "quality")
-        .limit(sample_rows).drop("_place"))
+        .where("doc_id is not null and quality is not null"), ["doc_id"], sample_rows)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     stats = F.col("stats")
     rows = (
