@@ -52,9 +52,9 @@ def _place() -> Column:
 
 def shared(names: DataFrame) -> DataFrame:
     """Places whose name occurs at least twice; `later` tells all but the earliest of a name."""
-    groups = (
+    groups = scratch(
         names.groupBy("name", "check").agg(F.count("*").alias("members"), F.min(_place()).alias("first"))
-        .where("members > 1").drop("members"))
+        .where("members > 1").drop("members"))  # a table, so the join below has shuffles that may be split
     return names.join(groups, ["name", "check"]).select(
         *_KEY, "line", "name", "check", (F.col("first") != _place()).alias("later"))
 
