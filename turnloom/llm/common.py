@@ -118,17 +118,17 @@ def split_batch(raws: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.nd
     return lists, hashes, starts
 
 
-def arrow_map(rows: DataFrame, work, schema: str) -> DataFrame:
-    """mapInArrow with a function from one batch to a dict of columns."""
+def arrow_map(rows: DataFrame, work, schema: str, together: int = BATCH_ROWS) -> DataFrame:
+    """mapInArrow with a function from a batch of at most `together` rows to a dict of columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(schema), prefers_large_types=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                found = work(batch)
+        for whole in batches:
+            for at in range(0, whole.num_rows, together):
+                found = work(whole.slice(at, together))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(found[f.name], f.type) if not isinstance(found[f.name], pa.Array)
                      else found[f.name].cast(f.type) for f in arrow], schema=arrow)

@@ -6,8 +6,11 @@
    Rarest shingles are dealt into buckets; those that the sketch shows to be hot into several, whose
    leaders meet again. Few holders of a shingle are all paired; of many, each is paired with the
    smallest, and after step 5 only holders that are still in different components are paired too.
+   All shared shingles up to the smaller one of two last rarest shingles are counted then, so a pair
+   is dropped if that count and all the rest of a set could not reach the threshold.
 4. The order is cut into fragments of equal weight. Each candidate pair's overlap is counted per
    fragment, in groups of a bounded number of partners, and summed per pair: the counts are exact.
+   The rare fragments come first; a pair goes on to the others only if it can still be similar.
 5. Linked classes are joined into components.
 
 Any order gives the same links; the sketch only decides how few candidates there are.
@@ -35,10 +38,11 @@ from turnloom.llm.common import arrow_map, raw_texts, rolling, scratch, split_ba
 from turnloom.llm.components import components
 
 WIDTH = 5
-SLOT_BITS = 21
+SLOT_BITS = 22
 _SHIFT = np.uint64(64 - SLOT_BITS)
 _BLOCK = 1 << 15  # slots whose counts travel together
 FRAGMENTS = 16
+EARLY = 5  # fragments that are counted first
 PAIRED = 8  # holders of one shingle that are all paired
 PART = 4096  # holders of a hot shingle that meet in one bucket
 PARTNERS = 256  # partners of one class that are counted in one group
@@ -96,9 +100,8 @@ def count_sketch(documents: DataFrame, width: int = WIDTH) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SLOT_BITS, np.int64)
         for batch in batches:
-            sets = shingle_hashes(raw_texts(batch.column("text")), width)
-            if sets:
-                counts += np.bincount((np.concatenate(sets) >> _SHIFT).astype(np.int64), minlength=len(counts))
+            for slots in shingle_hashes(raw_texts(batch.column("text")), width):
+                np.add.at(counts, (slots >> _SHIFT).astype(np.int64), 1)
         blocks = [counts[a : a + _BLOCK].astype("<i8").tobytes() for a in range(0, len(counts), _BLOCK)]
         yield pa.RecordBatch.from_pydict({
             "block": pa.array(range(len(blocks)), pa.int32()),
@@ -128,11 +131,21 @@ def _set_table(documents: DataFrame, order: Broadcast, percent: int, width: int)
         return {
             "doc_id": batch.column("doc_id"), "n": [len(x) for x in sets],
             "d1": digests[:, 0], "d2": digests[:, 1],
-            "rarest": [x[: len(x) - (percent * len(x) + 99) // 100 + 1].tobytes() if len(x) else b"" for x in sets]}
+            "rarest": [x[: prefix_size(len(x), percent)].tobytes() if len(x) else b"" for x in sets]}
 
     return arrow_map(texts(documents), work, "doc_id bigint, n bigint, d1 bigint, d2 bigint, rarest binary")
 
 
+def prefix_size(n, percent: int, floor=np.floor_divide):
+    """How many of a set's n shingles must hold one that a similar set has there, too."""
+    return n - floor(percent * n + 99, 100) + 1
+
+
+def needed(a, b, percent: int):
+    """The overlap that sets of these sizes need."""
+    return -(-percent * (a + b) // (100 + percent))
+
+
 def _postings(classes: DataFrame, order: Broadcast, buckets: int) -> DataFrame:
     """Rarest shingles by bucket, packed: per batch of classes one row per bucket."""
     def work(batch: pa.RecordBatch) -> dict:
@@ -140,6 +153,7 @@ def _postings(classes: DataFrame, order: Broadcast, buckets: int) -> DataFrame:
         sizes = np.array(batch.column("n").to_pylist(), np.int64)
         lists = [np.frombuffer(x, "<u8") for x in batch.column("rarest").to_pylist()]
         keys = np.concatenate(lists)
+        last = np.array([x[-1] for x in lists], np.uint64)
         owner = np.repeat(np.arange(len(ids)), [len(x) for x in lists])
         mixed = (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
         parts = order.value.parts[(keys >> np.uint64(58)).astype(np.int64)]
@@ -147,7 +161,7 @@ def _postings(classes: DataFrame, order: Broadcast, buckets: int) -> DataFrame:
         bucket = (mixed.astype(np.int64) + salt * 40503) % buckets
         by = np.argsort(bucket, kind="stable")
         edges = np.flatnonzero(np.diff(bucket[by])) + 1
-        found = {"bucket": [], "keys": [], "ids": [], "sizes": [], "owners": [], "salts": []}
+        found = {"bucket": [], "keys": [], "ids": [], "sizes": [], "last": [], "owners": [], "salts": []}
         for chosen in np.split(by, edges):
             own, place = np.unique(owner[chosen], return_inverse=True)
             hot = salt[chosen] if (parts[chosen] > 1).any() else np.empty(0, np.int64)
@@ -155,11 +169,13 @@ def _postings(classes: DataFrame, order: Broadcast, buckets: int) -> DataFrame:
             found["keys"].append(keys[chosen].tobytes())
             found["ids"].append(ids[own].astype("<i8").tobytes())
             found["sizes"].append(sizes[own].astype("<i8").tobytes())
+            found["last"].append(last[own].tobytes())
             found["owners"].append(place.astype("<u2").tobytes())
             found["salts"].append(hot.astype("<i8").tobytes())
         return found
 
-    return arrow_map(classes, work, "bucket bigint, keys binary, ids binary, sizes binary, owners binary, salts binary")
+    return arrow_map(classes, work, 
+        "bucket bigint, keys binary, ids binary, sizes binary, last binary, owners binary, salts binary")
 
 
 def fits(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -167,100 +183,166 @@ def fits(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
 
 
+def _unpacked(table: pa.Table, part: int):
+    """Keys, ids, set sizes, last rarest shingles and salts of a part of a bucket's postings."""
+    out: list[list[np.ndarray]] = [[], [], [], [], []]
+    for row in zip(*(table.column(x).to_pylist() for x in ("keys", "ids", "sizes", "last", "owners", "salts"))):
+        keys = np.frombuffer(row[0], "<u8")
+        mine = (keys * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(62) == part
+        owner = np.frombuffer(row[4], "<u2")[mine]
+        out[0].append(keys[mine])
+        for place, kind in ((1, "<i8"), (2, "<i8"), (3, "<u8")):
+            out[place].append(np.frombuffer(row[place], kind)[owner])
+        out[4].append(np.frombuffer(row[5], "<i8")[mine] if row[5] else np.zeros(len(owner), np.int64))
+    by = np.lexsort((np.concatenate(out[1]), np.concatenate(out[4]), np.concatenate(out[0])))
+    return [np.concatenate(x)[by] for x in out]
+
+
+def _each_pair(a: np.ndarray, b: np.ndarray, least: np.ndarray):
+    """Distinct pairs, how often each was met, and the smallest of its values."""
+    by = np.lexsort((b, a))
+    a, b, least = a[by], b[by], least[by]
+    if not len(a):
+        return a, b, least, least
+    heads = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    return a[heads], b[heads], np.diff([*heads, len(a)]), np.minimum.reduceat(least, heads)
+
+
 def _meet(order: Broadcast, percent: int):
-    """Candidate pairs of one bucket, and the holders of shingles with many of them."""
-    def work(table: pa.Table) -> pa.Table:
-        columns = {x: table.column(x).to_pylist() for x in ("keys", "ids", "sizes", "owners", "salts")}
-        keys, ids, sizes, salts = [], [], [], []
-        for k, i, s, o, t in zip(*columns.values()):
-            owner = np.frombuffer(o, "<u2")
-            keys.append(np.frombuffer(k, "<u8"))
-            ids.append(np.frombuffer(i, "<i8")[owner])
-            sizes.append(np.frombuffer(s, "<i8")[owner])
-            salts.append(np.frombuffer(t, "<i8") if t else np.zeros(len(owner), np.int64))
-        keys, ids, sizes, salts = (np.concatenate(x) for x in (keys, ids, sizes, salts))
-        by = np.lexsort((ids, salts, keys))
-        keys, ids, sizes, salts = keys[by], ids[by], sizes[by], salts[by]
+    """Pairs of one bucket, and the holders of shingles with many of them.
+
+    kind 0: a pair with the shingles it shares here and how many it must share in all; 1 and 2: a
+    holder, and a leader, of a shingle with many, with its set's size and half its last rarest
+    shingle; 3: a holder's pair with its leader.
+    """
+    def some(table: pa.Table, part: int) -> pa.Table:
+        keys, ids, sizes, last, salts = _unpacked(table, part)
+        if not len(keys):
+            return pa.table({x.split()[0]: pa.array([], pa.int64()) for x in _MET.split(", ")})
         fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (salts[1:] != salts[:-1])])
         heads = np.flatnonzero(fresh)
         counts = np.diff([*heads, len(keys)])
         run = np.repeat(np.arange(len(heads)), counts)
         hot = order.value.parts[(keys[heads] >> np.uint64(58)).astype(np.int64)] > 1
         many = (counts > PAIRED) | hot
-        pairs = []
-        for step in range(1, PAIRED):
-            a = np.flatnonzero((run[step:] == run[:-step]) & ~many[run[step:]])
-            pairs.append((a, a + step))
-        members = np.flatnonzero(many[run] & ~fresh)
-        pairs.append((heads[run[members]], members))
-        a, b = (np.concatenate(x) for x in zip(*pairs))
-        good = (ids[a] != ids[b]) & fits(sizes[a], sizes[b], percent)
-        a, b = a[good], b[good]
-        found = np.unique(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])]), axis=1)
+
+        def alike(a, b):
+            good = (ids[a] != ids[b]) & fits(sizes[a], sizes[b], percent)
+            return a[good], b[good]
+
+        pairs = [np.flatnonzero((run[step:] == run[:-step]) & ~many[run[step:]]) for step in range(1, PAIRED)]
+        a, b = alike(np.concatenate(pairs), np.concatenate([x + i for i, x in enumerate(pairs, 1)]))
+        short = np.where(last[a] <= last[b], a, b)  # all of this set's rarest shingles were compared
+        rest = sizes[short] - prefix_size(sizes[short], percent)
+        least = np.maximum(1, needed(sizes[a], sizes[b], percent) - rest)
+        few_a, few_b, shared, wanted = _each_pair(ids[a], ids[b], least)
+        b = np.flatnonzero(many[run] & ~fresh)
+        a, b = alike(heads[run[b]], b)
+        star_a, star_b, _, _ = _each_pair(ids[a], ids[b], sizes[a])
         held = np.flatnonzero(many[run])
-        n, m = found.shape[1], len(held)
         leads = fresh[held] & hot[run[held]]
-        return pa.table({
-            "kind": pa.array([0] * n + np.where(leads, 2, 1).tolist(), pa.int32()),
-            "key": pa.array([0] * n + keys[held].view(np.int64).tolist(), pa.int64()),
-            "a": pa.array([*found[0].tolist(), *ids[held].tolist()], pa.int64()),
-            "b": pa.array([*found[1].tolist(), *sizes[held].tolist()], pa.int64())})
+        n, m = len(few_a), len(star_a)
+        columns = {
+            "kind": (np.zeros(n), np.full(m, 3), np.where(leads, 2, 1)),
+            "key": (np.zeros(n), np.zeros(m), keys[held].view(np.int64)),
+            "a": (few_a, star_a, ids[held]), "b": (few_b, star_b, sizes[held]),
+            "shared": (shared, np.zeros(m), last[held] >> np.uint64(1)),
+            "least": (wanted, np.zeros(m), np.zeros(len(held)))}
+        return pa.table({k: pa.array(np.concatenate([x.astype(np.int64) for x in v])) for k, v in columns.items()})
+
+    def work(table: pa.Table) -> pa.Table:
+        return pa.concat_tables([some(table, part) for part in range(4)])  # a quarter in memory at a time
 
     return work
 
 
-def _overlaps(documents: DataFrame, pairs: DataFrame, order: Broadcast, percent: int, width: int) -> DataFrame:
-    """Pairs (a, b) whose exact overlap, summed over fragments, reaches the threshold."""
+_MET = "kind bigint, key bigint, a bigint, b bigint, shared bigint, least bigint"
+
+
+def _among(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """Texts whose id may be one of `ids`: a bitmap of fixed size lets few others through."""
+    slot = F.pmod(F.xxhash64("id"), F.lit(1 << 24)) + 1
+    bits = ids.select(F.col("id"), slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    rows = texts(documents).where("doc_id is not null").withColumn("id", F.col("doc_id")).withColumn("slot", slot)
+    rows = rows.join(F.broadcast(bits), F.bitmap_bucket_number("slot") == F.col("bucket"))  # at most 512 rows of 4 KB
+    return rows.where(F.expr("""bit_get(
+        cast(conv(hex(substring(bits, cast(bitmap_bit_position(slot) div 8 as int) + 1, 1)), 16, 10) as int),
+        cast(bitmap_bit_position(slot) % 8 as int)) = 1""")).select("doc_id", "text")
+
+
+def _pieces(documents: DataFrame, pairs: DataFrame, order: Broadcast, width: int, first: int, last: int) -> DataFrame:
+    """Fragments `first` to `last` of both sets of each pair, sent to the groups where they meet."""
     # written first, so that the join with it has shuffles of its own, which may be split
     parts = scratch(pairs.groupBy("a").agg((F.count("*") / PARTNERS + 1).cast("int").alias("parts")))
     part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")
     needs = pairs.join(parts, "a").select(F.col("b").alias("need"), F.struct("a", part.alias("part")).alias("to"))
     own = parts.select(F.col("a").alias("need"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "a")
     needs = needs.unionAll(own.select("need", F.struct("a", "part").alias("to")))
-    wanted = needs.groupBy("need").agg(F.collect_list("to").alias("to"))  # as many as a class has groups
-    rows = texts(documents).join(wanted, F.col("doc_id") == F.col("need")).select("doc_id", "text", "to")
+    wanted = scratch(needs.groupBy("need").agg(F.collect_list("to").alias("to")))  # as many as a class has groups
+    rows = _among(documents, wanted.select(F.col("need").alias("id")))
+    rows = rows.join(wanted, F.col("doc_id") == F.col("need")).select("doc_id", "text", "to")
 
     def cut(batch: pa.RecordBatch) -> dict:
         sets = [order.value.keys(x) for x in shingle_hashes(raw_texts(batch.column("text")), width)]
         found = {x: [] for x in ("a", "part", "fragment", "doc_id", "digest", "n", "keys")}
         for doc_id, targets, keys in zip(batch.column("doc_id").to_pylist(), batch.column("to").to_pylist(), sets):
             digest = int(np.frombuffer(hashlib.blake2b(keys.tobytes(), digest_size=8).digest(), "<i8")[0])
-            ends = np.searchsorted(keys, order.value.pivots)
-            for fragment, piece in enumerate(np.split(keys, ends)):
-                if len(piece):
-                    packed = piece.tobytes()
-                    for to in targets:
-                        for name, value in zip(found, (to["a"], to["part"], fragment, doc_id, digest, len(keys), packed)):
-                            found[name].append(value)
+            ends = [0, *np.searchsorted(keys, order.value.pivots).tolist(), len(keys)]
+            for fragment in range(first, last):
+                packed = keys[ends[fragment] : ends[fragment + 1]].tobytes()
+                for to in targets:
+                    for name, value in zip(found, (to["a"], to["part"], fragment, doc_id, digest, len(keys), packed)):
+                        found[name].append(value)
         return found
 
-    pieces = arrow_map(
-        rows, cut, "a bigint, part int, fragment int, doc_id bigint, digest bigint, n bigint, keys binary")
-
-    def partial(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        a = key[0].as_py()
-        rows = list(zip(*(table.column(x).to_pylist() for x in ("doc_id", "digest", "n", "keys"))))
-        own = [x for x in rows if x[0] == a]
-        others = [x for x in rows if x[0] != a]
-        found = []
-        if own and others:
-            lengths = np.array([len(x[3]) // 8 for x in others])
-            values = np.frombuffer(b"".join(x[3] for x in others), "<u8")
-            firsts = np.cumsum(lengths) - lengths
-            for _, digest, n, keys in own:
-                mine = np.frombuffer(keys, "<u8")
+    schema = "a bigint, part int, fragment int, doc_id bigint, digest bigint, n bigint, keys binary"
+    return arrow_map(rows, cut, schema, together=32)  # a row makes as many pieces as it has partners
+
+
+def _partial(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Overlap of one class's fragment with that of each partner, and both fragments' sizes."""
+    a = key[0].as_py()
+    rows = list(zip(*(table.column(x).to_pylist() for x in ("doc_id", "digest", "n", "keys"))))
+    others = [x for x in rows if x[0] != a]
+    lengths = np.array([len(x[3]) // 8 for x in others], np.int64)
+    values = np.frombuffer(b"".join(x[3] for x in others), "<u8")
+    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    found = []
+    for own, digest, n, keys in rows:
+        if own == a:
+            mine = np.frombuffer(keys, "<u8")
+            hits = np.zeros(len(values) + 1, np.int64)
+            if len(mine):
                 spots = np.minimum(np.searchsorted(mine, values), len(mine) - 1)
-                shared = np.add.reduceat(mine[spots] == values, firsts, dtype=np.int64)
-                found += [(a, digest, n, x[0], x[1], x[2], int(s)) for x, s in zip(others, shared) if s]
-        names = ("a", "da", "na", "b", "db", "nb", "shared")
-        return pa.table({k: pa.array([x[i] for x in found], pa.int64()) for i, k in enumerate(names)})
-
-    counted = pieces.groupBy("a", "part", "fragment").applyInArrow(
-        partial, "a bigint, da bigint, na bigint, b bigint, db bigint, nb bigint, shared bigint")
-    both = F.col("shared")
+                np.cumsum(mine[spots] == values, out=hits[1:])
+            shared = hits[ends[1:]] - hits[ends[:-1]]
+            found += [
+                (a, digest, n, x[0], x[1], x[2], int(s), len(mine), int(k)) for x, s, k in zip(others, shared, lengths)]
+    return pa.table({k: pa.array([x[i] for x in found], pa.int64()) for i, k in enumerate(_COUNTED)})
+
+
+_PAIR = ("a", "da", "na", "b", "db", "nb")
+_COUNTED = (*_PAIR, "shared", "ka", "kb")
+
+
+def _counted(pieces: DataFrame) -> DataFrame:
+    """Overlaps summed per pair over the fragments."""
+    counts = pieces.groupBy("a", "part", "fragment").applyInArrow(_partial, ", ".join(f"{x} bigint" for x in _COUNTED))
+    return counts.groupBy(*_PAIR).agg(*[F.sum(x).alias(x) for x in ("shared", "ka", "kb")])
+
+
+def _overlaps(documents: DataFrame, pairs: DataFrame, order: Broadcast, percent: int, width: int) -> DataFrame:
+    """Pairs (a, b) whose exact overlap, summed over fragments, reaches the threshold."""
+    n, both = F.col("na") + F.col("nb"), F.col("shared")
+    early = _counted(_pieces(documents, pairs, order, width, 0, EARLY))
+    most = both + F.least(F.col("na") - F.col("ka"), F.col("nb") - F.col("kb"))
+    early = scratch(early.where((100 + percent) * most >= percent * n))
+    late = _counted(_pieces(documents, early.select("a", "b").distinct(), order, width, EARLY, FRAGMENTS))
+    total = early.unionAll(late.join(early.select(*_PAIR), [*_PAIR], "left_semi").select(*early.columns))
     return (
-        counted.groupBy("a", "da", "na", "b", "db", "nb").agg(F.sum("shared").alias("shared"))
-        .where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b").distinct())
+        total.groupBy(*_PAIR).agg(F.sum("shared").alias("shared"))
+        .where((100 + percent) * both >= percent * n).select("a", "b").distinct())
 
 
 def joined(documents: DataFrame, percent: int = 75, width: int = WIDTH) -> DataFrame:
@@ -269,23 +351,25 @@ def joined(documents: DataFrame, percent: int = 75, width: int = WIDTH) -> DataF
     order = spark.sparkContext.broadcast(Order.of(count_sketch(documents, width)))
     sets = scratch(_set_table(documents, order, percent, width))
     held = sets.where("doc_id is not null and n > 0")
-    classes = scratch(
-        held.groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "rarest")).alias("first"))
-        .select("n", "d1", "d2", F.col("first.doc_id").alias("rep"), F.col("first.rarest").alias("rarest")))
-    postings = classes.agg(F.sum(F.length("rarest") / 8).alias("n")).first()["n"] or 0
-    buckets = max(16, int(postings) // BUCKET + 1)
+    classes = scratch(held.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")))
+    firsts = held.join(classes.withColumnRenamed("rep", "doc_id"), ["n", "d1", "d2", "doc_id"])
+    shown = sets.agg(F.sum(F.length("rarest") / 8).alias("n")).first()["n"] or 0
+    buckets = max(16, int(shown) // BUCKET + 1)
     met = scratch(
-        _postings(classes.select("rep", "n", "rarest"), order, buckets)
-        .groupBy("bucket").applyInArrow(_meet(order, percent), "kind int, key bigint, a bigint, b bigint"))
+        _postings(firsts.select(F.col("doc_id").alias("rep"), "n", "rarest"), order, buckets)
+        .groupBy("bucket").applyInArrow(_meet(order, percent), _MET))
+    counted = met.where("kind = 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least"))
+    few = counted.where("shared >= least").select("a", "b")
     leaders = scratch(met.where("kind = 2").groupBy("key").agg(F.min("a").alias("top")))
     tops = (
         met.where("kind = 2").join(leaders, "key").where("a > top")
         .select(F.col("top").alias("a"), F.col("a").alias("b")))
-    pairs = scratch(met.where("kind = 0").select("a", "b").unionAll(tops).distinct())
+    stars = met.where("kind = 3").select("a", "b").unionAll(tops)
+    pairs = scratch(few.unionAll(stars).distinct())
     links = scratch(_overlaps(documents, pairs, order, percent, width))
 
     # texts that share an id are one document
-    reps = held.join(classes.drop("rarest"), ["n", "d1", "d2"]).select("doc_id", "rep")
+    reps = held.join(classes, ["n", "d1", "d2"]).select("doc_id", "rep")
     several = (
         reps.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.collect_set("rep").alias("all"))
         .where("a < b").select("a", F.explode("all").alias("b")))
@@ -294,22 +378,29 @@ def joined(documents: DataFrame, percent: int = 75, width: int = WIDTH) -> DataF
 
     # holders of a shingle with many of them that ended in different components
     many = (
-        met.where("kind > 0").select("key", F.col("a").alias("node"), F.col("b").alias("n"))
+        met.where("kind in (1, 2)").select("key", F.col("a").alias("node"), F.col("b").alias("n"), F.col("shared").alias("last"))
         .join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
     open_keys = many.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
     many = scratch(many.join(scratch(open_keys.where("x < y").select("key")), "key"))
-    one, two = (many.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "component")]) for k in "ab")
+    one, two = (many.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "last", "component")]) for k in "ab")
+    rest_a, rest_b = (F.col(f"n_{k}") - prefix_size(F.col(f"n_{k}"), percent, lambda x, y: F.floor(x / y)) for k in "ab")
+    rest_of = F.when(F.col("last_a") < F.col("last_b"), rest_a).when(
+        F.col("last_a") > F.col("last_b"), rest_b).otherwise(F.greatest(rest_a, rest_b))
     rest = (
         one.join(two, "key")
         .where("node_a < node_b and component_a != component_b")
         .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+        .groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+        .agg(F.count("*").alias("often"), F.min(
+            F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent)) - rest_of).alias("wanted"))
+        .join(counted, ["a", "b"], "left")
+        .where("often + coalesce(shared, 0) >= wanted").select("a", "b")
         .join(pairs, ["a", "b"], "left_anti"))
     rest = scratch(rest)
     if not rest.isEmpty():
         groups = scratch(components(links.unionAll(_overlaps(documents, rest, order, percent, width))))
 
-    found = classes.select("n", "d1", "d2", "rep").join(groups, F.col("rep") == F.col("node"), "left")
+    found = classes.join(groups, F.col("rep") == F.col("node"), "left")
     found = found.select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
     return (
         sets.drop("rarest").join(found, ["n", "d1", "d2"], "left")
