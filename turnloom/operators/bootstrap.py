@@ -1,28 +1,32 @@
 """Resampling intervals of paired differences.
 
 ``portable`` draws come from labelled digests: any engine with md5 repeats them,
-and so does a task that is run again. ``exact`` draws follow one sequential
-NumPy generator, for reproducing published runs. ``multinomial`` replaces row
-draws by the distribution of their counts, for strata of any size.
+and so does a task that is run again. ``multinomial`` draws the distribution of
+counts instead, for strata and cluster tables of any size. ``exact`` draws are
+those of one NumPy generator, for reproducing published runs; its raw words are
+made in chunks by many tasks.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom import fixed
 from turnloom.functions.hashing import DRAWS_PER_DIGEST, digest, draw
-from turnloom.operators.ordered import digest_rank
+from turnloom.operators.ordered import digest_rank, running_total, value_rank
+from turnloom.operators.validate import guard
 from turnloom.session import settle
 
-BROADCAST_ROWS = 500_000
-EXACT_ROWS = 1_000_000
 _STEP = 4096
+RANGE_SLOTS = 1 << 16  # clusters that one task draws from
+CHUNK = 1 << 20  # half-words of the generator that one task row stands for
 
 
 def _tasks(spark: SparkSession) -> int:
@@ -42,9 +46,10 @@ def _digests_needed(slots: Column) -> Column:
     return F.ceil(slots / DRAWS_PER_DIGEST)
 
 
-def lookup_side(settled: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a settled frame for broadcast only after counting that it is small."""
-    return F.broadcast(settled) if settled.count() <= limit else settled
+def _generator(*label) -> np.random.Generator:
+    """A generator of its own for a label, seeded by 128 bits of its digest."""
+    said = ":".join(map(str, label)).encode()
+    return np.random.default_rng(int.from_bytes(hashlib.sha256(said).digest()[:16], "big"))
 
 
 # --- clusters ---
@@ -74,7 +79,7 @@ def cluster_estimates(
             draw(F.col("_digest"), i, F.col("clusters")) for i in range(DRAWS_PER_DIGEST)
         ])).alias("_i", "slot"),
     ).filter(F.col("block") * DRAWS_PER_DIGEST + F.col("_i") < F.col("clusters"))
-    return _ratio(drawn.select("sample", "slot").join(lookup_side(indexed.drop("clusters")), "slot"))
+    return _ratio(drawn.select("sample", "slot").join(indexed.drop("clusters"), "slot"))
 
 
 def _ratio(drawn: DataFrame) -> DataFrame:
@@ -82,26 +87,62 @@ def _ratio(drawn: DataFrame) -> DataFrame:
         (F.sum("total") / F.sum("members")).alias("estimate"))
 
 
+def cluster_estimates_multinomial(
+    totals: DataFrame, samples: int = fixed.BOOTSTRAP_SAMPLES, seed: int = fixed.SEED,
+) -> DataFrame:
+    """The same distribution, drawn range by range: nothing but sums is shuffled.
+
+    Each sample first settles how many of its draws fall into each range of clusters; a range then
+    draws its share from the clusters it holds.
+    """
+    spark = totals.sparkSession
+    indexed = settle(
+        digest_rank(totals, "cluster", seed).withColumn("slot", F.col("digest_rank") - 1)
+        .select("slot", "total", "members"))
+    clusters = indexed.count()
+    if not clusters:
+        return spark.range(0).select(F.col("id").alias("sample"), F.lit(0.0).alias("estimate"))
+    firsts = np.arange(0, clusters, RANGE_SLOTS)
+    shares = np.minimum(RANGE_SLOTS, clusters - firsts) / clusters
+
+    def settle_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for sample in batch["id"]:
+                counts = _generator(seed, "ranges", sample).multinomial(clusters, shares)
+                yield pd.DataFrame({"range": np.arange(len(counts)), "sample": sample, "draws": counts})
+
+    def draw_share(slots: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        slots = slots.sort_values("slot")
+        total, members = slots["total"].to_numpy(float), slots["members"].to_numpy(float)
+        found = []
+        for place, sample, draws in zip(counts["range"], counts["sample"], counts["draws"]):
+            chosen = _generator(seed, "slots", place, sample).integers(len(slots), size=draws)
+            found.append((sample, total[chosen].sum(), members[chosen].sum()))
+        return pd.DataFrame(found, columns=["sample", "total", "members"])
+
+    counts = spark.range(0, samples, 1, min(samples, _tasks(spark))).mapInPandas(
+        settle_counts, "range long, sample long, draws long")
+    ranged = indexed.withColumn("range", F.floor(F.col("slot") / RANGE_SLOTS))
+    return _ratio(ranged.groupBy("range").cogroup(counts.groupBy("range")).applyInPandas(
+        draw_share, "sample long, total double, members double"))
+
+
 def cluster_estimates_exact(
     totals: DataFrame, samples: int = fixed.BOOTSTRAP_SAMPLES, seed: int = fixed.SEED,
 ) -> DataFrame:
-    """The same with one sequential NumPy generator over clusters sorted by name."""
-    settled = settle(totals)
-    clusters = settled.count()
-    if clusters > EXACT_ROWS:
-        raise ValueError(f"exact draws are sequential; {clusters} clusters: use cluster_estimates")
-    # Bounded by the check above.
-    indexed = settled.withColumn("slot", F.row_number().over(Window.orderBy("cluster")) - 1)
-    draws = _sequential_draws(totals.sparkSession, [("", clusters)], samples, seed)
+    """The same with the draws of one NumPy generator over clusters sorted by name."""
+    indexed = settle(value_rank(settle(totals), "cluster", "slot"))
+    draws = sequential_draws(totals.sparkSession, [("", indexed.count())], samples, seed)
     return _ratio(draws.drop("stratum").join(indexed, "slot"))
 
 
 # --- strata ---
 
 def stratum_counts(rows: DataFrame, stratum: str, difference: str) -> DataFrame:
-    """Sufficient statistics of differences in {-1, 0, 1} per stratum."""
+    """Sufficient statistics of differences in {-1, 0, 1} per stratum; others fail the job."""
     d = F.col(difference)
-    return rows.groupBy(F.col(stratum).alias("stratum")).agg(
+    checked = guard(rows, d.isin(-1, 0, 1), "a difference of marks is -1, 0 or 1")
+    return checked.groupBy(F.col(stratum).alias("stratum")).agg(
         F.count(F.lit(1)).alias("members"),
         F.count_if(d == -1).alias("minus"), F.count_if(d == 0).alias("zero"))
 
@@ -152,14 +193,14 @@ def stratified_estimates_multinomial(
     @F.pandas_udf("long")
     def drawn_sum(sample: pd.Series, label: pd.Series, members: pd.Series,
                   minus: pd.Series, zero: pd.Series) -> pd.Series:
-        def one(s: int, key: int, n: int, low: int, mid: int) -> int:
-            rng = np.random.default_rng([seed, s, key])
+        def one(s: int, key: str, n: int, low: int, mid: int) -> int:
+            rng = _generator(seed, s, key)
             low_drawn, _, high_drawn = rng.multinomial(n, [low / n, mid / n, (n - low - mid) / n])
             return high_drawn - low_drawn
         return pd.Series(map(one, sample, label, members, minus, zero), dtype="int64")
 
     sums = _per_sample(counts, samples).select("sample", drawn_sum(
-        F.col("sample"), F.crc32(F.col("stratum").cast("string")), "members", "minus", "zero",
+        F.col("sample"), F.col("stratum").cast("string"), "members", "minus", "zero",
     ).alias("_sum"))
     return _mean_of_sums(sums, counts)
 
@@ -168,39 +209,84 @@ def stratified_estimates_exact(
     rows: DataFrame, strata: Sequence[str], samples: int = fixed.BOOTSTRAP_SAMPLES,
     seed: int = fixed.SEED,
 ) -> DataFrame:
-    """The same with one sequential NumPy generator over the strata in the given order.
+    """The same with the draws of one NumPy generator over the strata in the given order.
 
     ``rows``: ``stratum, slot, difference`` with dense zero-based slots per stratum.
     """
-    settled = settle(rows.filter(F.col("stratum").isin(*strata)))
+    settled = settle(rows.filter(F.col("stratum").isin(*strata)).select("stratum", "slot", "difference"))
     sizes = {r["stratum"]: r["count"] for r in settled.groupBy("stratum").count().collect()}
     missing = [s for s in strata if s not in sizes]
     if missing:
         raise ValueError(f"{fixed.ERROR_SUBJECTS}: {missing}")
-    total = sum(sizes.values())
-    if total > EXACT_ROWS:
-        raise ValueError(f"exact draws are sequential; {total} rows: use another mode")
-    draws = _sequential_draws(rows.sparkSession, [(s, sizes[s]) for s in strata], samples, seed)
+    draws = sequential_draws(rows.sparkSession, [(s, sizes[s]) for s in strata], samples, seed)
     return draws.join(settled, ["stratum", "slot"]).groupBy("sample").agg(
-        (F.sum("difference") / F.lit(total)).alias("estimate"))
+        (F.sum("difference") / F.lit(sum(sizes.values()))).alias("estimate"))
+
 
+# --- draws of one NumPy generator, made in parallel ---
 
-def _sequential_draws(
+def bounded_draws(seed: int, first: int, count: int, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """Draws below ``bound`` from half-words ``first ...``, and which of them are valid.
+
+    NumPy takes 32-bit halves of the raw words, the lower one first, multiplies them by the bound
+    and rejects a half whose lower product word is too small. Any chunk of the raw words can be
+    made by itself, as the generator can be advanced.
+    """
+    source = np.random.PCG64(seed)
+    source.advance(first // 2)
+    words = source.random_raw((count + first % 2 + 1) // 2).astype("<u8")
+    halves = words.view("<u4")[first % 2 :][:count].astype(np.uint64)
+    products = halves * np.uint64(bound)
+    valid = (products & np.uint64(0xFFFFFFFF)) >= np.uint64(((1 << 32) - bound) % bound)
+    return (products >> np.uint64(32)).astype(np.int64), valid
+
+
+def sequential_draws(
     spark: SparkSession, strata: Sequence[tuple[str, int]], samples: int, seed: int,
 ) -> DataFrame:
-    """Draws of one generator in row-major order; one task by nature, streamed row by row."""
+    """``stratum, sample, slot``: what ``default_rng(seed)`` draws stratum by stratum, sample by sample."""
+    parts, first = [], 0
+    for stratum, size in strata:
+        if size >= 1 << 32:
+            raise ValueError("NumPy draws differently above 2**32 slots")
+        part, first = _stratum_draws(spark, size, samples, seed, first)
+        parts.append(part.select(F.lit(stratum).alias("stratum"), "sample", "slot"))
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _stratum_draws(
+    spark: SparkSession, size: int, samples: int, seed: int, first: int,
+) -> tuple[DataFrame, int]:
+    """Draws of one stratum and the half-word after the last one that it takes."""
+    wanted = size * samples
+    if size == 1:  # one slot takes no random words
+        return spark.range(samples).select(F.col("id").alias("sample"), F.lit(0).cast("long").alias("slot")), first
+    share = 1 - (((1 << 32) - size) % size) / (1 << 32)
+    chunks = int((wanted + 8 * wanted**0.5) / share) // CHUNK + 2
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"chunk": batch["id"], "valid": [
+                int(bounded_draws(seed, first + c * CHUNK, CHUNK, size)[1].sum()) for c in batch["id"]]})
 
-    def generate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if batch.empty:
-                continue
-            rng = np.random.default_rng(seed)
-            for stratum, size in strata:
-                for sample in range(samples):
-                    yield pd.DataFrame({
-                        "stratum": stratum, "sample": sample, "slot": rng.integers(size, size=size)})
-
-    return spark.range(0, 1, 1, 1).mapInPandas(generate, "stratum string, sample long, slot long")
+            for c, before in zip(batch["chunk"], batch["before"]):
+                draws, valid = bounded_draws(seed, first + c * CHUNK, CHUNK, size)
+                slots = draws[valid][: max(0, wanted - before)]
+                yield pd.DataFrame({"sample": (before + np.arange(len(slots))) // size, "slot": slots})
+
+    tasks = min(chunks, 4 * _tasks(spark))
+    counted = settle(spark.range(0, chunks, 1, tasks).mapInPandas(count, "chunk long, valid long"))
+    placed = settle(running_total(counted, [], "chunk", F.col("valid"), "upto").select(
+        "chunk", (F.col("upto") - F.col("valid")).alias("before"), "upto"))
+    last = placed.where((F.col("before") < wanted) & (F.col("upto") >= wanted)).first()
+    if last is None:
+        raise ValueError("too few random words were made")
+    valid = bounded_draws(seed, first + last["chunk"] * CHUNK, CHUNK, size)[1]
+    end = first + last["chunk"] * CHUNK + int(np.flatnonzero(valid)[wanted - last["before"] - 1]) + 1
+    used = placed.where(F.col("before") < wanted).repartition(tasks, "chunk")
+    return used.select("chunk", "before").mapInPandas(make, "sample long, slot long"), end
 
 
 # --- intervals ---

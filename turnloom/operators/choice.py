@@ -63,9 +63,9 @@ def check_manifest(
     found = manifest.filter(F.col("split") == DEV).groupBy("subject").agg(
         F.count(F.lit(1)).alias("demos")).limit(len(subjects) + 1).collect()
     if {r["subject"] for r in found} != set(subjects):
-        raise ValueError(f"Expected the subjects {sorted(subjects)}")
+        raise ValueError(f"the manifest must list {sorted(subjects)} and nothing else")
     if any(r["demos"] != shots for r in found):
-        raise ValueError(f"Expected {shots} development examples per subject")
+        raise ValueError(f"every subject needs {shots} demonstrations in the manifest")
 
 
 def question_text(question: Column, choices: Column, answer: Column) -> Column:
@@ -74,23 +74,22 @@ def question_text(question: Column, choices: Column, answer: Column) -> Column:
         choices, lambda c, i: F.concat(arrays.letter(i), F.lit(". "), c)))
     ok = (F.size(choices) == 4) & answer.between(0, 3)
     return F.when(F.coalesce(ok, F.lit(False)), F.concat(question, F.lit("\n"), listed)).otherwise(
-        F.raise_error(F.lit("Each question must have four choices and a valid answer")))
+        F.raise_error(F.lit("a question needs four choices and an answer between 0 and 3")))
 
 
 def select_items(items: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Items named by the manifest, with their place in its lists."""
-    return items.join(manifest, ["subject", "split", "idx"])
+    """Items named by the manifest, with their place in its lists; one that is missing fails the job."""
+    found = manifest.join(items.withColumn("_known", F.lit(True)), ["subject", "split", "idx"], "left")
+    return guard(found, F.col("_known"), F.format_string(
+        "the data lack %s item %s of %s", "split", F.col("idx").cast("string"), "subject")).drop("_known")
 
 
-def demonstrations(
-    items: DataFrame, manifest: DataFrame, subjects: Sequence[str], shots: int,
-) -> DataFrame:
+def demonstrations(items: DataFrame, manifest: DataFrame) -> DataFrame:
     """One row per subject: its demonstration messages and questions, in order.
 
-    Bounded: only the listed subjects, and no more than ``shots`` items each.
+    Every demonstration that the manifest lists is taken; :func:`check_manifest` says how many.
     """
-    chosen = manifest.filter(
-        (F.col("split") == DEV) & F.col("subject").isin(*subjects) & (F.col("place") < shots))
+    chosen = manifest.filter(F.col("split") == DEV)
     shown = F.array_sort(F.collect_list(F.struct(
         "place", "question",
         question_text(F.col("question"), F.col("choices"), F.col("answer")).alias("asked"),
@@ -116,13 +115,16 @@ def few_shot_examples(
 ) -> DataFrame:
     """``subject, idx, place, messages, answer`` per selected test item.
 
-    The per-subject demonstrations are a handful of rows by construction, so
-    they are broadcast and the test items stay where they are, however many of
-    them one subject holds.
+    The manifest must name exactly ``subjects`` with ``shots`` demonstrations each, so these are a
+    handful of rows: they are broadcast, and the test items stay where they are, however many of
+    them one subject holds. An item or a subject that is missing fails the job.
     """
-    demos = demonstrations(items, manifest, subjects, shots)
+    check_manifest(manifest, subjects, shots)
+    demos = demonstrations(items, manifest)
     tests = select_items(items, manifest.filter(F.col("split") == TEST))
-    joined = tests.join(F.broadcast(demos), "subject")
+    joined = guard(
+        tests.join(F.broadcast(demos), "subject", "left"), F.col("demo_messages").isNotNull(),
+        F.format_string("no demonstrations for subject %s", "subject"))
     checked = guard(
         joined, ~F.array_contains("demo_questions", F.col("question")),
         fixed.ERROR_OVERLAP)
@@ -152,10 +154,14 @@ def letters_are_tokens(token_ids: Column) -> Column:
         F.size(F.array_distinct(F.flatten(token_ids))) == len(fixed.LETTERS))
 
 
-def predict(rows: DataFrame, keys: Sequence[str], logits: str, letter_tokens: Sequence[int]) -> DataFrame:
+def predict(
+    rows: DataFrame, keys: Sequence[str], logits: str, letter_tokens: Sequence[int],
+    vocabulary: DataFrame | None = None,
+) -> DataFrame:
     """Letter probabilities, their share of all mass, and both arg-maxima.
 
-    ``letter_tokens`` are zero-based vocabulary positions of A, B, C and D.
+    ``letter_tokens`` are zero-based vocabulary positions of A, B, C and D. With a ``vocabulary``
+    of ``token, text`` the unconstrained arg-maximum is given as text, as prediction rows have it.
     """
     checked = guard(rows, arrays.all_finite(F.col(logits)), fixed.ERROR_LOGITS)
     letters = F.array(*[F.element_at(F.col(logits), t + 1) for t in letter_tokens])
@@ -165,6 +171,12 @@ def predict(rows: DataFrame, keys: Sequence[str], logits: str, letter_tokens: Se
         F.exp(arrays.log_sum_exp(F.col("_letters")) - arrays.log_sum_exp(F.col(logits)))
         .alias("answer_letter_probability_mass"),
         arrays.argmax(F.col(logits)).alias("unconstrained_top_token"))
+    if vocabulary is not None:
+        # as many rows as one model's logits have entries
+        names = F.broadcast(vocabulary.select(
+            F.col("token").alias("unconstrained_top_token"), F.col("text").alias("_text")))
+        scored = scored.join(names, "unconstrained_top_token", "left").withColumn(
+            "unconstrained_top_token", F.col("_text"))
     return scored.select(
         *keys, arrays.letter(arrays.argmax(F.col("_p"))).alias("prediction"),
         F.map_from_arrays(F.array(*[F.lit(x) for x in fixed.LETTERS]), F.col("_p"))
@@ -175,10 +187,11 @@ def predict(rows: DataFrame, keys: Sequence[str], logits: str, letter_tokens: Se
 # --- metrics ---
 
 def mark_correct(rows: DataFrame, answer: Column, base: Column, sft: Column) -> DataFrame:
-    """Add ``base_right``, ``sft_right`` and their ``difference`` in {-1, 0, 1}."""
-    return rows.withColumns({
-        "base_right": (base == answer).cast("int"), "sft_right": (sft == answer).cast("int"),
-    }).withColumn("difference", F.col("sft_right") - F.col("base_right"))
+    """Add ``base_right``, ``sft_right`` and their ``difference`` in {-1, 0, 1}; null is not right."""
+    def right(prediction: Column) -> Column:
+        return F.coalesce(prediction == answer, F.lit(False)).cast("int")
+
+    return rows.withColumns({"base_right": right(base), "sft_right": right(sft)}).withColumn("difference", F.col("sft_right") - F.col("base_right"))
 
 
 def accuracy_by_subject(rows: DataFrame, subject: str = "subject", masses: bool = False) -> DataFrame:

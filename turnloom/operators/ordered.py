@@ -21,7 +21,8 @@ from turnloom.session import settle
 
 BLOCK = 4096
 _PREFIX_HEX = 4  # 16**4 ranges of a uniformly spread digest
-_FEWEST_RANGES, _MOST_RANGES = 64, 4096
+_RANGE_ROWS = 1 << 18  # distinct values that one range holds, about
+_FEWEST_RANGES = 64
 
 
 # --- consecutive positions ---
@@ -162,6 +163,23 @@ def digest_rank(values: DataFrame, column: str, seed: int) -> DataFrame:
     )
 
 
+def value_rank(values: DataFrame, column: str, name: str) -> DataFrame:
+    """Add the zero-based rank of distinct values of any sortable type.
+
+    Values are dealt into ranges, ranked inside each, and the sizes of the earlier ranges are added.
+    """
+    ranges = _FEWEST_RANGES + values.count() // _RANGE_ROWS
+    # settled, because the borders of the ranges are sampled anew by every run
+    ranged = settle(values.repartitionByRange(ranges, column).withColumn("_range", F.spark_partition_id()))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(earlier), F.lit(0))).drop("_size")
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(column)) - 1
+    return (
+        ranged.withColumn(name, inside).join(offsets, "_range")
+        .withColumn(name, F.col(name) + F.col("_offset")).drop("_range", "_offset"))
+
+
 def weighted_positions(counts: DataFrame, keys: Sequence[str], value: str, count: str) -> DataFrame:
     """Add ``before``: how many counted rows of the group sort below each distinct value.
 
@@ -174,7 +192,7 @@ def weighted_positions(counts: DataFrame, keys: Sequence[str], value: str, count
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(
         Window.unboundedPreceding, -1)
-    # One row per group and range: without keys, at most _MOST_RANGES rows meet in one task.
+    # One row per group and range: without keys, a 2**18th of the distinct values meets in one task.
     offsets = (
         ranged.groupBy(*keys, "_range").agg(F.sum(count).alias("_count"))
         .withColumn("_offset", F.coalesce(F.sum("_count").over(earlier), F.lit(0)))
@@ -190,8 +208,7 @@ def weighted_positions(counts: DataFrame, keys: Sequence[str], value: str, count
 
 def _value_ranges(counts: DataFrame, value: str) -> DataFrame:
     """Add ``_range``, which grows with ``value`` and splits the rows about evenly."""
-    wanted = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(_FEWEST_RANGES, min(wanted, _MOST_RANGES))
+    ranges = _FEWEST_RANGES + counts.count() // _RANGE_ROWS
     numbers = counts.withColumn("_number", F.col(value).cast("double"))
     cuts = numbers.approxQuantile("_number", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))
     edges = sorted(set(cuts))

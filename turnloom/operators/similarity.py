@@ -95,35 +95,45 @@ def mean_words(long: DataFrame, reply: str = "text") -> DataFrame:
 
 # --- correlations ---
 
-def correlations(rows: DataFrame, x: Column, y: Column) -> DataFrame:
-    """Pearson and Spearman (average ranks) of two columns, with the row count.
+def correlations(rows: DataFrame, x: Column, y: Column, keys: Sequence[str] = ()) -> DataFrame:
+    """Pearson and Spearman (average ranks) of two columns per group, with the row count.
 
-    Equal ``(x, y)`` rows are counted first, so a value shared by a third of all
-    rows weighs in as one row. Ranks come from the value histograms; doubled
-    ranks are integers, which keeps the rank sums exact.
+    Rows without both values are left out. Equal ``(x, y)`` rows are counted first, so a value
+    shared by a third of all rows weighs in as one row; ranks come from the value histograms. Sums
+    are taken around the means, so large values with a small spread lose nothing; a constant column
+    has no correlation (null).
     """
-    cells = settle(rows.select(x.alias("x"), y.alias("y")).groupBy("x", "y").agg(
-        F.count(F.lit(1)).alias("w")))
+    keys = list(keys)
+    cells = settle(
+        rows.select(*keys, x.alias("x"), y.alias("y")).where("x is not null and y is not null")
+        .groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("w")))
 
     def doubled_ranks(axis: str) -> DataFrame:
-        counts = cells.groupBy(axis).agg(F.sum("w").alias("_n"))
-        placed = weighted_positions(counts, [], axis, "_n")
-        return placed.select(axis, (2 * F.col("before") + F.col("_n") + 1).alias(f"rank_{axis}"))
-
-    ranked = cells.join(doubled_ranks("x"), "x").join(doubled_ranks("y"), "y")
-    return ranked.agg(
-        F.sum("w").alias("rows"),
-        weighted_correlation(F.col("x"), F.col("y")).alias("pearson"),
-        weighted_correlation(F.col("rank_x"), F.col("rank_y")).alias("spearman"),
+        counts = cells.groupBy(*keys, axis).agg(F.sum("w").alias("_n"))
+        placed = weighted_positions(counts, keys, axis, "_n")
+        return placed.select(*keys, axis, (2 * F.col("before") + F.col("_n") + 1).alias(f"rank_{axis}"))
+
+    ranked = cells.join(doubled_ranks("x"), [*keys, "x"]).join(doubled_ranks("y"), [*keys, "y"])
+    n = F.sum("w")
+    means = cells.groupBy(*keys).agg(
+        *[(F.sum(F.col("w") * F.col(axis).cast("double")) / n).alias(f"_{axis}") for axis in "xy"],
+        (n + 1).alias("_rank"))  # doubled ranks are whole numbers around n + 1
+    if keys:
+        ranked = ranked.join(settle(means), keys)
+    elif (only := means.first()) is not None:
+        ranked = ranked.withColumns({name: F.lit(only[name]) for name in ("_x", "_y", "_rank")})
+
+    def around(name: str, mean: str) -> Column:
+        return F.col(name).cast("double") - F.col(mean)
+
+    return ranked.groupBy(*keys).agg(
+        n.alias("rows"),
+        weighted_correlation(around("x", "_x"), around("y", "_y")).alias("pearson"),
+        weighted_correlation(around("rank_x", "_rank"), around("rank_y", "_rank")).alias("spearman"),
     )
 
 
 def weighted_correlation(a: Column, b: Column, weight: str = "w") -> Column:
-    """Pearson correlation of counted cells, as one aggregate expression."""
+    """Pearson correlation of counted cells with mean 0, as one aggregate expression."""
     w = F.col(weight).cast("double")
-    a, b = a.cast("double"), b.cast("double")
-    n, sa, sb = F.sum(w), F.sum(w * a), F.sum(w * b)
-    cov = F.sum(w * a * b) - sa * sb / n
-    var_a = F.sum(w * a * a) - sa * sa / n
-    var_b = F.sum(w * b * b) - sb * sb / n
-    return cov / F.sqrt(var_a * var_b)
+    return F.try_divide(F.sum(w * a * b), F.sqrt(F.sum(w * a * a)) * F.sqrt(F.sum(w * b * b)))

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import random
+from array import array
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnloom import fixed
 from turnloom.functions.hashing import seeded_key
-from turnloom.operators.ordered import digest_rank
+from turnloom.operators.ordered import digest_rank, value_rank
 from turnloom.session import settle
 
 TRAIN, HELDOUT = "train", "heldout"
-EXACT_TITLE_LIMIT = 1_000_000
 
 
 def heldout_size(groups: Column, fraction: float) -> Column:
@@ -27,7 +29,8 @@ def heldout_cutoff(
     seed: int = fixed.SEED,
 ) -> DataFrame:
     """One row: the digest key of the last held-out episode, and the group counts."""
-    ranked = digest_rank(pairs.select(episode).distinct(), episode, seed)
+    # settled, because the ranking reads the titles twice
+    ranked = digest_rank(settle(pairs.select(episode).distinct()), episode, seed)
     size = heldout_size(F.col("digest_total"), fraction)
     return ranked.filter(F.col("digest_rank") == size).select(
         F.col("digest_key").alias("cutoff"), F.col("digest_total").alias("groups"),
@@ -47,25 +50,22 @@ def split_pairs(
 
 def split_pairs_exact(
     pairs: DataFrame, episode: str = "episode", fraction: float = fixed.HELDOUT_FRACTION,
-    seed: int = fixed.SEED, limit: int = EXACT_TITLE_LIMIT,
+    seed: int = fixed.SEED,
 ) -> DataFrame:
     """The split of a seeded Mersenne Twister shuffle of the sorted episode titles.
 
-    That shuffle exists only as one sequence over the whole title list, so this
-    mode serves reproduction of published runs and refuses longer lists;
-    :func:`split_pairs` has no such bound.
+    Titles are ranked on the cluster. The shuffle is one sequence by definition: the driver
+    permutes the ranks, eight bytes each, and sends back those that are held out.
     """
-    distinct = settle(pairs.select(episode).distinct())
-    if distinct.count() > limit:
-        raise ValueError(f"more than {limit} episodes: use split_pairs")
-    titles = sorted(row[0] for row in distinct.collect())
-    random.Random(seed).shuffle(titles)
-    held = titles[: max(1, int(len(titles) * fraction))]
-    schema = pairs.select(episode).schema
-    chosen = pairs.sparkSession.createDataFrame([(t,) for t in held], schema).withColumn(
-        "split", F.lit(HELDOUT))
-    return pairs.join(chosen, episode, "left").withColumn(
-        "split", F.coalesce("split", F.lit(TRAIN)))
+    ranked = settle(value_rank(settle(pairs.select(episode).distinct()), episode, "_rank"))
+    ranks = array("q", range(ranked.count()))
+    random.Random(seed).shuffle(ranks)
+    held = np.frombuffer(ranks[: max(1, int(len(ranks) * fraction))], np.int64)
+    chosen = pairs.sparkSession.createDataFrame(pd.DataFrame({"_rank": held}), "_rank long")
+    titles = ranked.join(chosen, "_rank").select(F.col(episode).alias("_held"))
+    return (
+        pairs.join(titles, F.col(episode).eqNullSafe(F.col("_held")), "left")
+        .withColumn("split", F.when(F.col("_held").isNotNull(), HELDOUT).otherwise(TRAIN)).drop("_held"))
 
 
 def split_summary(split: DataFrame, episode: str = "episode") -> DataFrame:
