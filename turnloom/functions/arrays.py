@@ -65,12 +65,6 @@ def norm(vector: Column) -> Column:
         vector, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
 
 
-def cosine(left: Column, right: Column) -> Column:
-    return dot(left, right) / (norm(left) * norm(right))
-
-
-# --- logits ---
-
 def all_finite(values: Column) -> Column:
     return F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
 

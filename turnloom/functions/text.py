@@ -66,13 +66,6 @@ def has_phrase(text: Column, phrase: str) -> Column:
     return F.contains(F.lower(text), F.lit(phrase))
 
 
-def has_any_phrase(text: Column, phrases: Sequence[str]) -> Column:
-    hit = F.lit(False)
-    for phrase in phrases:
-        hit = hit | has_phrase(text, phrase)
-    return hit
-
-
 def role_of(is_target: Column) -> Column:
     return F.when(is_target, F.lit("assistant")).otherwise(F.lit("user"))
 

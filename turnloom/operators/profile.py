@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnloom import fixed
 from turnloom.functions import text
 from turnloom.operators.ordered import weighted_positions
+from turnloom.session import settle
 
 
 def _point_name(p: float) -> str:
@@ -27,7 +28,9 @@ def truncated_index_profile(
     """
     counts = rows.groupBy(*keys, value.alias("_value")).agg(F.count(F.lit(1)).alias("_count"))
     placed = weighted_positions(counts, keys, "_value", "_count")
-    sized = placed.withColumn("_n", F.sum("_count").over(Window.partitionBy(*keys)))
+    # one row per group, settled so that a hot group's side of the join may be split
+    sizes = settle(counts.groupBy(*keys).agg(F.sum("_count").alias("_n")))
+    sized = placed.join(sizes, list(keys)) if keys else placed.withColumn("_n", sizes.scalar())
 
     def at(p: float) -> Column:
         wanted = (F.col("_n").cast("double") * F.lit(float(p))).cast("long")

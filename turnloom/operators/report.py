@@ -63,3 +63,11 @@ def accuracy_bars(
     return by_subject.select(
         place.alias("place"), title.alias("subject"), "questions", F.inline(sides)
     ).filter("place is not null").withColumn("label", percent_label(F.col("percent")))
+
+
+def accuracy_gain(metrics: DataFrame) -> DataFrame:
+    """Gain and interval in percentage points from one row ``difference, low, high`` of shares."""
+    points = metrics.select(*[(F.col(c) * 100).alias(c) for c in ("difference", "low", "high")])
+    return points.withColumn("caption", F.concat(
+        F.lit("SFT minus base: "), signed_label(F.col("difference"), 2),
+        F.format_string(" points\n95%% CI [%+.2f, %+.2f]", "low", "high")))

@@ -50,20 +50,41 @@ def read_paragraphs(paragraphs: DataFrame, keys: Sequence[str]) -> DataFrame:
         text.normalize(F.col("full_text")).alias("full"),
         text.normalize(F.col("plain_text")).alias("plain"),
     )
-    judged = F.struct(
-        F.col("full").rlike(fixed.SCENE_PATTERN).alias("is_header"),
-        F.col("full").rlike(fixed.CREDITS_PATTERN).alias("is_credit"),
-        F.trim(F.regexp_extract("plain", fixed.SPEAKER_LINE_PATTERN, 1)).alias("speaker"),
-        F.trim(F.regexp_replace(
-            F.regexp_extract("plain", fixed.SPEAKER_LINE_PATTERN, 2), fixed.EMPTY_PARENS_PATTERN, "",
-        )).alias("text"),
-    )
+    judged = _judgement(F.col("full"), F.col("plain"))
     # As a generated row, so that the filter below reads results instead of repeating the patterns.
     split = texts.select(*keys, "place", F.inline(F.array(judged)))
     spoken = ~F.col("is_credit") & (F.col("speaker") != "") & (F.col("text") != "")
     return split.filter(F.col("is_header") | spoken).drop("is_credit")
 
 
+def _judgement(full: Column, plain: Column) -> Column:
+    return F.struct(
+        full.rlike(fixed.SCENE_PATTERN).alias("is_header"),
+        full.rlike(fixed.CREDITS_PATTERN).alias("is_credit"),
+        F.trim(F.regexp_extract(plain, fixed.SPEAKER_LINE_PATTERN, 1)).alias("speaker"),
+        F.trim(F.regexp_replace(
+            F.regexp_extract(plain, fixed.SPEAKER_LINE_PATTERN, 2), fixed.EMPTY_PARENS_PATTERN, "",
+        )).alias("text"),
+    )
+
+
+def page_dialogue(pages: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, line, speaker, text, scene`` of ``keys, paragraphs`` rows, one row per page.
+
+    A page numbers its own scenes and lines with array functions, so nothing is shuffled.
+    """
+    texts = F.transform("paragraphs", lambda p: F.struct(
+        text.normalize(p.full_text).alias("full"), text.normalize(p.plain_text).alias("plain")))
+    judged = F.transform(texts, lambda p: _judgement(p.full, p.plain))
+    kept = F.filter(judged, lambda j: j.is_header | (~j.is_credit & (j.speaker != "") & (j.text != "")))
+    # As a generated row, so that the arrays below read results instead of repeating the patterns.
+    numbered = pages.select(*keys, F.inline(F.array(F.struct(kept.alias("_judged")))))
+    cut = explode_scenes(numbered, keys, F.col("_judged"), lambda j: j.is_header)
+    # every scene but the opening one has a header before its lines
+    return cut.select(
+        *keys, (F.col("line") - F.col("scene")).alias("line"), "text.speaker", "text.text", "scene")
+
+
 def dialogue_lines(judged: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Number scenes and lines: ``keys, line, speaker, text, scene``.
 

@@ -20,6 +20,14 @@ ORDER = "role_order"
 _ERROR = "array<struct<position:int,rule:string,detail:string>>"
 
 
+#: Rules in the order in which one row's errors are told.
+RULES = (TOO_FEW, LAST_ROLE, EMPTY, LEAK, ORDER)
+
+
+def rule_place(rule: Column) -> Column:
+    return F.array_position(F.array(*map(F.lit, RULES)), rule)
+
+
 def guard(rows: DataFrame, ok: Column, message: Column | str) -> DataFrame:
     """Pass rows through; the first row that breaks ``ok`` fails the job."""
     text_of = F.lit(message) if isinstance(message, str) else message

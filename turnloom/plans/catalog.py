@@ -145,8 +145,8 @@ d AS (SELECT doc_id, i, scene, CASE WHEN kind = 0 THEN 'Alpha' ELSE 'Mrs. Beta'
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS line, speaker,
        scene::INTEGER AS scene, text FROM d WHERE text <> ''""")
 def html_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = page_source.paragraphs(b.document_pages(spark, sf_dir), ["doc_id"])
-    return transcript.dialogue_lines(transcript.read_paragraphs(found, ["doc_id"]), ["doc_id"])
+    found = page_source.paragraph_arrays(b.document_pages(spark, sf_dir), ["doc_id"])
+    return transcript.page_dialogue(found, ["doc_id"])
 
 
 @query(f"""

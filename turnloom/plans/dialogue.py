@@ -10,13 +10,12 @@ from turnloom.functions import arrays, text
 from turnloom.operators import pairs, profile, split, transcript, validate
 from turnloom.session import settle
 from turnloom.sources import files, sinks
-from turnloom.sources.pages import paragraphs
+from turnloom.sources.pages import paragraph_arrays
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
     """Line frame of ``episode_id, title, url, html`` pages; fails unless every page has dialogue."""
-    judged = transcript.read_paragraphs(paragraphs(pages, ["episode_id"]), ["episode_id"])
-    lines = settle(transcript.dialogue_lines(judged, ["episode_id"]))
+    lines = settle(transcript.page_dialogue(paragraph_arrays(pages, ["episode_id"]), ["episode_id"]))
     transcript.require_complete(pages, lines, ["episode_id"])
     return lines
 
@@ -32,13 +31,15 @@ def build_dataset(
     lines: DataFrame, out: str, rules: pairs.PairRules = pairs.PairRules(),
     fraction: float = fixed.HELDOUT_FRACTION, seed: int = fixed.SEED, exact_split: bool = False,
 ) -> dict[str, DataFrame]:
-    """Write ``out/pairs`` (parquet) and ``out/splits`` (JSON lines per split).
+    """Write ``out/judged`` and ``out/pairs`` (parquet) and ``out/splits`` (JSON lines per split).
 
-    The pairs are read back from their table before they are split, so the
-    look-back runs once and a lost executor costs no more than its own tasks.
+    Judged lines and pairs are read back from their tables, so the look-back
+    runs once and a lost executor costs no more than its own tasks.
     """
     spark = lines.sparkSession
     judged = pairs.candidates(pairs.attach_context(lines, rules), rules)
+    sinks.replace_folder(spark, f"{out}/judged", lambda new: judged.write.parquet(new))
+    judged = spark.read.parquet(f"{out}/judged")
     unique = pairs.drop_duplicates(pairs.build_pairs(judged))
     sinks.replace_folder(spark, f"{out}/pairs", lambda new: unique.write.parquet(new))
     kept = spark.read.parquet(f"{out}/pairs")
@@ -70,7 +71,9 @@ def validate_dataset(spark: SparkSession, out: str) -> dict[str, DataFrame]:
     shared = validate.shared_episodes(flat).orderBy("episode").limit(3)
     location = F.concat_ws(":", "split", "source_file", F.col("source_row").cast("string"))
     errors = validate.row_errors(rows, ["split", *files.SOURCE_ORDER]).withColumn("at", location)
-    first, count = validate.error_report(errors, ["split", *files.SOURCE_ORDER, "position", "rule"])
+    errors = errors.withColumn("_side", F.when(F.col("split") == split.TRAIN, 0).otherwise(1)).withColumn(
+        "_rule", validate.rule_place(F.col("rule")))
+    first, count = validate.error_report(errors, ["_side", *files.SOURCE_ORDER, "position", "_rule"])
     problems = [f"{r['at']}: {r['detail']}" for r in first.collect()]
     problems += [r["detail"] for r in validate.isolation_errors(isolation, shared).collect()]
     if problems:

@@ -9,44 +9,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom import fixed, schemas
-from turnloom.operators import bootstrap, choice, resume, similarity
+from turnloom.functions import arrays
+from turnloom.operators import bootstrap, choice, ordered, resume, similarity, validate
 from turnloom.session import settle
 from turnloom.sources import files, sinks
 
-MANIFEST_ITEMS = 1_000_000
-
-
 def prepare_choice_data(
     spark: SparkSession, data_path: str, manifest_path: str,
-    subjects: Sequence[str] = fixed.SUBJECTS, shots: int = fixed.SHOTS,
+    subjects: Sequence[str] = fixed.SUBJECTS, shots: int = fixed.SHOTS, landed_anew: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Item and manifest frames of a landed data file, frozen on first use.
 
-    Without a manifest one is written; with one, the file must have its digest.
+    A manifest is a folder: ``header.json`` and a table of the selected items, so it has any size.
+    A single JSON document with lists of indices is read as well. With a manifest, the file must
+    have its digest; with ``landed_anew``, freezing the data again must give the same manifest.
     """
     digests = files.file_digests(spark, data_path)
     data = files.read_json_document(spark, data_path, schemas.CHOICE_DATA)
     items = choice.explode_items(data)
-    if files.read_settings(spark, manifest_path) is None:
+    rebuilt = choice.freeze_manifest(items.filter(F.col("subject").isin(*subjects)), shots)
+    header_path = f"{manifest_path}/header.json"
+    if not files.exists(spark, manifest_path):
         source = data.select("dataset", "revision").first()
-        sizes = {r["subject"]: r["n"] for r in items.filter(
-            (F.col("split") == choice.TEST) & F.col("subject").isin(*subjects)
-        ).groupBy("subject").agg(F.count(F.lit(1)).alias("n")).collect()}
-        if sum(sizes.values()) > MANIFEST_ITEMS:
-            raise ValueError("too many items for one document: keep the frame of freeze_manifest")
-        sinks.write_json_document(spark, manifest_path, {
-            "dataset": source["dataset"], "revision": source["revision"], "split": choice.TEST, "shots": shots,
-            "subjects": {s: {"dev_indices": list(range(shots)), "test_indices": list(range(sizes[s]))}
-                         for s in subjects},
-            "data_sha256": digests.first()["sha256"],
-        })
-    document = files.read_json_document(spark, manifest_path, schemas.CHOICE_MANIFEST)
-    files.require_digest(digests, document.first()["data_sha256"])
-    manifest = choice.explode_manifest(document)
+        header = {
+            "dataset": source["dataset"], "revision": source["revision"], "split": choice.TEST,
+            "shots": shots, "data_sha256": digests.first()["sha256"]}
+        sinks.replace_folder(spark, f"{manifest_path}/items", lambda new: rebuilt.write.parquet(new))
+        sinks.write_json_document(spark, header_path, header)
+    if files.exists(spark, header_path):
+        header = files.read_settings(spark, header_path)
+        manifest = spark.read.schema(rebuilt.schema).parquet(f"{manifest_path}/items")
+    else:
+        document = files.read_json_document(spark, manifest_path, schemas.CHOICE_MANIFEST)
+        header = document.drop("subjects").first().asDict()
+        manifest = choice.explode_manifest(document)
+    files.require_digest(digests, header["data_sha256"])
     choice.check_manifest(manifest, subjects, shots)
+    if landed_anew:
+        require_same_manifest(rebuilt, manifest)
     return items, manifest
 
 
+def require_same_manifest(rebuilt: DataFrame, frozen: DataFrame) -> None:
+    """Freezing the landed data again selects the same items at the same places."""
+    columns = ["subject", "split", "place", "idx"]
+    rebuilt, frozen = (x.select(*[F.col(c).cast("string") for c in columns]) for x in (rebuilt, frozen))
+    validate.require_empty(
+        rebuilt.exceptAll(frozen).unionAll(frozen.exceptAll(rebuilt)), "the landed data give another manifest")
+
+
 def apply_model(
     rows: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str,
     batch_size: int,
@@ -75,9 +86,9 @@ def run_in_steps(
 ) -> DataFrame:
     """Run a model over inputs with a dense ``index``, resuming where an earlier run stopped.
 
-    A run with other settings is refused. Each step appends one index range as
-    one job, so saved results are always the first of the inputs; a finished
-    run loads no model.
+    A run with other settings is refused. Inputs that are left are written once, by step, and each
+    step appends one index range as one job that reads its own step only, so saved results are
+    always the first of the inputs; a finished run loads no model.
     """
     spark = inputs.sparkSession
     settings_path, results_path = f"{out}/run.json", f"{out}/results"
@@ -86,23 +97,121 @@ def run_in_steps(
     results = lambda: spark.read.schema(schema).json(results_path)
     total = inputs.count()
     saved = resume.require_prefix(results(), total) if files.exists(spark, results_path) else 0
-    for start in range(saved, total, rows_per_step):
-        step = inputs.filter(F.col("index").between(start, start + rows_per_step - 1))
-        apply_model(step, load, schema, batch_size).write.mode("append").json(results_path)
+    if saved < total:
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        left = inputs.filter(F.col("index") >= saved).withColumn(
+            "_step", F.floor((F.col("index") - saved) / rows_per_step))
+        spread = left.repartition(tasks, "_step", F.pmod("index", F.lit(tasks)))
+        sinks.replace_folder(
+            spark, f"{out}/inputs", lambda new: spread.write.partitionBy("_step").parquet(new))
+        for step in range(-(-(total - saved) // rows_per_step)):
+            rows = spark.read.schema(inputs.schema).parquet(f"{out}/inputs/_step={step}")
+            apply_model(rows, load, schema, batch_size).write.mode("append").json(results_path)
     return results()
 
 
+def require_saved_inputs(results: DataFrame, inputs: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Saved rows repeat the inputs at their index."""
+    validate.require_empty(
+        resume.prefix_mismatches(results, inputs, "index", columns).select("index"), fixed.ERROR_SAVED_ROWS)
+    return results
+
+
+def indexed(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Rows with a dense ``index`` in the order of columns that together are unique."""
+    return ordered.value_rank(rows.withColumn("_order", F.struct(*order)), "_order", "index").drop("_order").withColumn(
+        "index", F.col("index").cast("long"))
+
+
+def evaluate_replies(
+    spark: SparkSession, data_path: str, out: str, metrics_path: str, settings: dict,
+    load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], encode: Callable[[DataFrame], DataFrame],
+    encoder_limit: int, prompt_tokens: Callable[[DataFrame], DataFrame], window: int, new_tokens: int,
+    batch_size: int = 16, rows_per_step: int = 100_000, samples: int = fixed.BOOTSTRAP_SAMPLES,
+    seed: int = fixed.SEED, mode: str = "multinomial",
+) -> dict:
+    """Generate, encode, score and save both models' replies to held-out chats; can be stopped.
+
+    ``prompt_tokens`` adds the token ids of each prompt, which must leave room for ``new_tokens``.
+    ``load`` gives a function from ``index, episode, prompt, reference`` rows to generation rows;
+    ``encode`` adds ``reference_vector, base_vector, sft_vector, reference_tokens`` and each model's
+    ``<model>_encoder_tokens``.
+    """
+    rows = validate.require_rows(
+        files.read_json_lines(spark, data_path, schemas.PAIR, skip_blank=True), fixed.ERROR_EMPTY_SPLIT.format("held-out"))
+    checked = validate.require_evaluable(rows, F.col("source_row"))
+    inputs = settle(indexed(checked, files.SOURCE_ORDER).select(
+        "index", F.col("meta.episode").alias("episode"), arrays.all_but_last(F.col("messages")).alias("prompt"),
+        arrays.last(F.col("messages")).content.alias("reference")))
+    fitting = validate.guard(
+        prompt_tokens(inputs), similarity.fits_context(F.col("prompt_tokens"), new_tokens, window),
+        F.format_string("prompt %s leaves no room for a reply", F.col("index").cast("string")))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schemas.GENERATION_ROW.fields)
+    results = run_in_steps(
+        fitting.select(*inputs.columns), out, settings, load, schema, batch_size, rows_per_step)
+    require_saved_inputs(results, inputs, ["episode", "prompt", "reference"])
+    scored = settle(similarity.score_pairs(encode(results), "reference_vector", "base_vector", "sft_vector").drop(
+        "reference_vector", "base_vector", "sft_vector"))
+    metrics = similarity_metrics(scored, encoder_limit, samples, seed, mode)
+    save_results(scored, ["base_cosine", "sft_cosine"], metrics, settings, out, metrics_path)
+    return metrics
+
+
+def evaluate_choices(
+    spark: SparkSession, data_path: str, manifest_path: str, out: str, metrics_path: str, settings: dict,
+    load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], letter_tokens: Sequence[Sequence[int]],
+    prompt_tokens: Callable[[DataFrame], DataFrame], window: int, vocabulary: DataFrame | None = None,
+    subjects: Sequence[str] = fixed.SUBJECTS, shots: int = fixed.SHOTS, batch_size: int = 16,
+    rows_per_step: int = 100_000, samples: int = fixed.BOOTSTRAP_SAMPLES, seed: int = fixed.SEED,
+    mode: str = "multinomial",
+) -> dict:
+    """Score both models on the frozen multiple-choice items; can be stopped.
+
+    ``letter_tokens`` are the token ids of A, B, C and D: one each, all different. ``load`` gives a
+    function from ``index, subject, messages, answer`` rows to ``index, base_logits, sft_logits``.
+    """
+    letters = spark.range(1).select(F.array(*[F.array(*map(F.lit, t)) for t in letter_tokens]).alias("t"))
+    if not letters.select(choice.letters_are_tokens(F.col("t"))).first()[0]:
+        raise ValueError("every letter needs a token of its own")
+    items, manifest = prepare_choice_data(spark, data_path, manifest_path, subjects, shots)
+    examples = validate.require_rows(
+        choice.few_shot_examples(items, manifest, subjects, shots), "there are no items to evaluate")
+    examples = settle(indexed(examples, ["subject", "place"]))
+    inputs = validate.guard(
+        prompt_tokens(examples), similarity.shorter_than_context(F.col("prompt_tokens"), window),
+        F.format_string("prompt %s does not fit the model", F.col("index").cast("string")))
+    logits = run_in_steps(
+        inputs.select("index", "subject", "messages", "answer"), out, settings, load,
+        "index long, subject string, answer string, base_logits array<double>, sft_logits array<double>",
+        batch_size, rows_per_step)
+    require_saved_inputs(logits, examples, ["subject", "answer"])
+    one_each = [t[0] for t in letter_tokens]
+    joined = examples.select("index", "subject", "idx", "answer")
+    for model in fixed.MODELS:
+        scored = choice.predict(logits, ["index"], f"{model}_logits", one_each, vocabulary)
+        names = [c for c in scored.columns if c != "index"]
+        joined = joined.join(scored.select("index", F.struct(*names).alias(model)), "index")
+    joined = settle(joined)
+    # the strata of exact draws number their own rows
+    rows = ordered.dense_position(joined, ["subject"], "idx", "_slot").withColumn("index", F.col("_slot")).drop("_slot")
+    metrics = choice_metrics(rows, subjects, samples, seed, mode)
+    save_results(joined, [], metrics, settings, out, metrics_path)
+    return metrics
+
+
 def similarity_metrics(
     rows: DataFrame, encoder_limit: int, samples: int = fixed.BOOTSTRAP_SAMPLES,
-    seed: int = fixed.SEED, exact: bool = False,
+    seed: int = fixed.SEED, mode: str = "multinomial",
 ) -> dict:
-    """Metrics document of scored generation rows.
+    """Metrics document of scored generation rows; ``mode``: multinomial, portable or exact.
 
     ``rows``: ``index, episode, reference_tokens`` and per model the generation
     struct, ``<model>_cosine`` and ``<model>_encoder_tokens``, plus ``difference``.
     """
     totals = settle(similarity.cluster_totals(rows, "episode"))
-    estimates = bootstrap.cluster_estimates_exact if exact else bootstrap.cluster_estimates
+    estimates = {
+        "multinomial": bootstrap.cluster_estimates_multinomial, "portable": bootstrap.cluster_estimates,
+        "exact": bootstrap.cluster_estimates_exact}[mode]
     bounds = bootstrap.interval(estimates(totals, samples, seed)).first()
     paired = similarity.paired_summary(rows).first()
     models = {
@@ -143,9 +252,9 @@ def choice_rows(predictions: DataFrame) -> DataFrame:
 
 def choice_metrics(
     predictions: DataFrame, subjects: Sequence[str] = fixed.SUBJECTS,
-    samples: int = fixed.BOOTSTRAP_SAMPLES, seed: int = fixed.SEED, mode: str = "portable",
+    samples: int = fixed.BOOTSTRAP_SAMPLES, seed: int = fixed.SEED, mode: str = "multinomial",
 ) -> dict:
-    """Metrics document of paired predictions; ``mode``: portable, multinomial or exact.
+    """Metrics document of paired predictions; ``mode``: multinomial, portable or exact.
 
     ``exact`` needs dense zero-based ``index`` values per subject.
     """

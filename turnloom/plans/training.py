@@ -23,19 +23,16 @@ def argument_errors(
     resume_has_state: bool | None, gpu: bool,
 ) -> list[str]:
     """Every broken rule of a training run's settings. ``resume_has_state`` is None without a resume."""
-    errors = [f"--{n.replace('_', '-')} must be positive" for n in POSITIVE if arguments[n] <= 0]
     steps = arguments.get("max_steps", -1)
-    if steps <= 0 and steps != -1:
-        errors.append("--max-steps must be positive or -1")
-    if not train_file_exists:
-        errors.append("training file does not exist")
-    if resume_has_state is None and not output_is_empty:
-        errors.append("output directory is not empty; choose a new one or resume a checkpoint")
-    if resume_has_state is False:
-        errors.append("resume checkpoint has no trainer state")
-    if not gpu and not arguments.get("cpu", False):
-        errors.append("a GPU is required unless --cpu is given")
-    return errors
+    rules = [(arguments[name] > 0, f"{name} is not above zero") for name in POSITIVE]
+    rules += [
+        (steps > 0 or steps == -1, "max_steps is neither above zero nor -1 for all steps"),
+        (train_file_exists, "the rows to train on are not there"),
+        (output_is_empty or resume_has_state is not None, "the output folder has files of another run"),
+        (resume_has_state is not False, "the checkpoint to go on from holds no state"),
+        (gpu or arguments.get("cpu", False), "there is no GPU and cpu is not set"),
+    ]
+    return [told for holds, told in rules if not holds]
 
 
 def training_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -64,9 +61,17 @@ def dataset_digest(digests: DataFrame) -> str:
 
 def run_manifest(
     spark: SparkSession, path: str, arguments: Mapping, revision: str, packages: Mapping[str, str],
+    artefacts: Mapping[str, str] | None = None,
 ) -> dict:
-    """Settings of a run with the digest of its data files and their row count."""
-    return {
+    """Settings of a run with the digest of its data files and their row count.
+
+    ``artefacts`` names further files, such as an adapter, its configuration, a manifest or a
+    script; each adds ``<name>_sha256``.
+    """
+    further = {
+        f"{name}_sha256": dataset_digest(files.file_digests(spark, place))
+        for name, place in (artefacts or {}).items()}
+    return further | {
         "arguments": dict(arguments), "model_revision": revision,
         "dataset_sha256": dataset_digest(files.file_digests(spark, path)),
         "training_examples": spark.read.text(path).filter(~is_blank(F.col("value"))).count(),

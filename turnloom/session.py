@@ -11,8 +11,6 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-SMALL_PER_CORE = 128 << 20
-
 
 def build_session(app: str = "turnloom", master: str | None = None, **conf: str) -> SparkSession:
     builder = (
@@ -31,7 +29,7 @@ def build_session(app: str = "turnloom", master: str | None = None, **conf: str)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for cut lineage: the cluster's, or a private one in local mode."""
+    """Shared folder for cut lineage: the cluster's; a private one only for a local master without it."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
@@ -51,15 +49,3 @@ def settle(rows: DataFrame) -> DataFrame:
     """
     checkpoint_dir(rows.sparkSession)
     return rows.checkpoint()
-
-
-def spread_small(rows: DataFrame) -> DataFrame:
-    """Use every core on inputs smaller than one wave of scan tasks.
-
-    Page parsing costs far more than moving a page, and a small table may sit in
-    one row group. Inputs above the checked size already fill the cluster and
-    are not shuffled.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return rows.repartition(cores) if size < cores * SMALL_PER_CORE else rows

@@ -2,26 +2,39 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
+from collections.abc import Iterator
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnloom import schemas
-from turnloom.functions.hashing import sha256
 from turnloom.functions.text import is_blank
 from turnloom.operators.validate import guard
 
+_PIECE = 8 << 20
 SOURCE_ORDER = ("source_file", "source_block", "source_row")
 
 
 def read_episodes(spark: SparkSession, path: str) -> DataFrame:
-    """Episodes of JSON array documents; ``episode_id`` is the place in the array."""
-    documents = spark.read.text(path, wholetext=True)
-    parsed = F.from_json("value", T.ArrayType(schemas.EPISODE), {"mode": "FAILFAST"})
-    return documents.select(F.posexplode(parsed).alias("episode_id", "_e")).select(
-        F.col("episode_id").cast("long").alias("episode_id"), "_e.*")
+    """Episodes of JSON array documents; ``episode_id`` goes on from file to file, by file name.
+
+    A document is one JSON value, so it is read in one task; :func:`read_episode_lines` splits.
+    """
+    documents = spark.read.text(path, wholetext=True).select(
+        F.from_json("value", T.ArrayType(schemas.EPISODE), {"mode": "FAILFAST"}).alias("_all"),
+        F.col("_metadata.file_path").alias("_file"))
+    # one row per file
+    earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = documents.select("_file", F.size("_all").cast("long").alias("_n")).withColumn(
+        "_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    return documents.join(offsets, "_file").select("_offset", F.posexplode("_all").alias("_place", "_e")).select(
+        (F.col("_offset") + F.col("_place")).alias("episode_id"), "_e.*")
 
 
 def read_episode_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -68,12 +81,32 @@ def read_settings(spark: SparkSession, path: str) -> dict | None:
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """``path, bytes, sha256`` of every file, hashed where it is read."""
-    return spark.read.format("binaryFile").load(path).select(
-        "path", F.col("length").alias("bytes"), sha256(F.col("content")).alias("sha256"))
+    """``path, bytes, sha256`` of every file, hashed by the tasks in pieces of a fixed size.
+
+    Spark lists the files; their bytes are never held as a row, so files may have any size.
+    """
+    listed = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"))
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            found = []
+            for name in batch["path"]:
+                # local paths come as file:/x, object stores with the name of their Hadoop client
+                name = re.sub("^s3[an]:", "s3:", re.sub("^file:/+", "file:///", name))
+                system, place = fs.FileSystem.from_uri(quote(name, safe=":/"))
+                value = hashlib.sha256()
+                with system.open_input_stream(place) as stream:
+                    while piece := stream.read(_PIECE):
+                        value.update(piece)
+                found.append(value.hexdigest())
+            yield batch.assign(sha256=found)
+
+    return listed.repartition("path").mapInPandas(digest, "path string, bytes long, sha256 string")
 
 
 def require_digest(files: DataFrame, expected: str) -> None:
     """Refuse data that is not the frozen file."""
     if [r["sha256"] for r in files.limit(2).collect()] != [expected]:
-        raise ValueError("Data differs from the frozen evaluation manifest")
+        raise ValueError("the data file is not the one that the manifest was frozen for")

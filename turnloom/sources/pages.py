@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from turnloom import fixed
-from turnloom.session import spread_small
 
 # --- fixed values: elements without an end tag, and elements whose text is not prose ---
 VOID = frozenset((
@@ -167,7 +166,7 @@ def _extract(
                         rows, size = [], 0
             yield pd.DataFrame(rows, columns=names)
 
-    return spread_small(inputs).mapInPandas(read, schema)
+    return inputs.mapInPandas(read, schema)
 
 
 def paragraphs(pages: DataFrame, keys: Sequence[str], html: str = "html") -> DataFrame:
@@ -179,6 +178,29 @@ def paragraphs(pages: DataFrame, keys: Sequence[str], html: str = "html") -> Dat
     return _extract(pages, keys, html, "p", True, {"full": "full_text", "plain": "plain_text"})
 
 
+def paragraph_arrays(pages: DataFrame, keys: Sequence[str], html: str = "html") -> DataFrame:
+    """``keys, paragraphs``: the same paragraphs in order, one row per page."""
+    inputs = pages.select(*keys, html)
+    one = T.StructType([T.StructField("full_text", T.StringType()), T.StructField("plain_text", T.StringType())])
+    schema = T.StructType([inputs.schema[k] for k in keys] + [T.StructField("paragraphs", T.ArrayType(one))])
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows, size = [], 0
+            for page in batch.itertuples(index=False, name=None):
+                parser = ElementTexts("p")
+                parser.read(page[-1] or "")
+                texts = [{"full_text": parser.full(x), "plain_text": parser.plain(x)} for x in parser.in_container()]
+                rows.append((*page[:-1], texts))
+                size += sum(len(x["full_text"]) + len(x["plain_text"]) for x in texts)
+                if size > _CHUNK_CHARS:
+                    yield pd.DataFrame(rows, columns=schema.names)
+                    rows, size = [], 0
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return inputs.mapInPandas(read, schema)
+
+
 def anchors(pages: DataFrame, keys: Sequence[str], html: str = "html") -> DataFrame:
     """``keys, place, href, text`` of every anchor with a target."""
     found = _extract(pages, keys, html, "a", False, {"href": "href", "full": "text"})

@@ -18,7 +18,8 @@ from turnloom.sources.files import exists
 def replace_folder(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
     """Write a folder next to its place and swap it in once the job has committed.
 
-    Spark's own overwrite deletes the old folder before the new rows exist.
+    Spark's own overwrite deletes the old folder before the new rows exist. If the new folder
+    cannot be moved in, the old one is moved back.
     """
     new, old = f"{path}.{uuid.uuid4().hex}.tmp", f"{path}.{uuid.uuid4().hex}.old"
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path
@@ -31,8 +32,15 @@ def replace_folder(spark: SparkSession, path: str, write: Callable[[str], None])
     had_old = exists(spark, path)
     if had_old and not fs.rename(hadoop_path(path), hadoop_path(old)):
         raise OSError(f"could not set {path} aside")
-    if not fs.rename(hadoop_path(new), hadoop_path(path)):
-        raise OSError(f"could not move the new rows to {path}")
+    try:
+        moved = fs.rename(hadoop_path(new), hadoop_path(path))
+    except Exception:
+        moved = False
+    if not moved:
+        if had_old and not fs.rename(hadoop_path(old), hadoop_path(path)):
+            raise OSError(f"could not move the new rows to {path}; the old ones are in {old}")
+        fs.delete(hadoop_path(new), True)
+        raise OSError(f"could not move the new rows to {path}; the old ones are still there")
     if had_old:
         fs.delete(hadoop_path(old), True)
 

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 def append_stream(
     spark: SparkSession, source: str, schema: T.StructType, apply: Callable[[DataFrame], DataFrame],
-    sink: str, progress: str, files_per_batch: int = 1,
+    sink: str, progress: str, files_per_batch: int | None = None,
 ) -> StreamingQuery:
     """Run ``apply`` over landed JSON lines, appending results as files arrive.
 
@@ -19,9 +19,10 @@ def append_stream(
     finished batches and the file sink ignores half-written ones, which is what
     a flushed record log gives a single process.
     """
-    inputs = (
-        spark.readStream.schema(schema).option("mode", "FAILFAST")
-        .option("maxFilesPerTrigger", files_per_batch).json(source))
+    reader = spark.readStream.schema(schema).option("mode", "FAILFAST")
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    inputs = reader.json(source)
     return (
         apply(inputs).writeStream.format("json").outputMode("append")
         .option("path", sink).option("checkpointLocation", progress)
