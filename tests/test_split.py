@@ -32,8 +32,6 @@ def test_exact_split_follows_the_seeded_shuffle(spark):
     expected = sorted(titles)
     random.Random(3).shuffle(expected)
     assert {r["episode"] for r in got if r["split"] == "heldout"} == set(expected[:5])
-    with pytest.raises(ValueError, match="use split_pairs"):
-        split.split_pairs_exact(pairs_of(spark, titles), limit=24)
 
 
 def test_no_pairs_gives_an_empty_split(spark):

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,7 +64,7 @@ def test_choice_documents(spark, tmp_path):
     assert [(r["idx"], r["answer"]) for r in got] == [(1, "B")]
     found = files.file_digests(spark, str(data))
     files.require_digest(found, digest)
-    with pytest.raises(ValueError, match="frozen"):
+    with pytest.raises(ValueError, match="frozen for"):
         files.require_digest(found, "0" * 64)
 
 
@@ -76,14 +77,18 @@ def test_choice_data_is_frozen_once(spark, tmp_path):
     data.write_text(json.dumps(document))
     items, frozen = evaluation.prepare_choice_data(spark, str(data), str(manifest), ["s", "t"])
     assert choice.few_shot_examples(items, frozen, ["s", "t"]).count() == 5
-    saved = json.loads(manifest.read_text())
-    assert saved["subjects"]["t"] == {"dev_indices": [0, 1, 2, 3, 4], "test_indices": [0, 1, 2]}
+    saved = json.loads((manifest / "header.json").read_text())
+    chosen = spark.read.parquet(str(manifest / "items")).filter("subject = 't'").collect()
+    assert sorted((r["split"], r["idx"]) for r in chosen) == [("dev", i) for i in range(5)] + [("test", i) for i in range(3)]
+    evaluation.prepare_choice_data(spark, str(data), str(manifest), ["s", "t"], landed_anew=True)
+    with pytest.raises(ValueError, match="another manifest"):
+        evaluation.require_same_manifest(frozen.filter("idx > 0"), frozen)
     assert saved["data_sha256"] == hashlib.sha256(data.read_bytes()).hexdigest()
     evaluation.prepare_choice_data(spark, str(data), str(manifest), ["s", "t"])
-    with pytest.raises(ValueError, match="Expected the subjects"):
+    with pytest.raises(ValueError, match="nothing else"):
         evaluation.prepare_choice_data(spark, str(data), str(manifest), ["s"])
     data.write_text(json.dumps(document) + " ")
-    with pytest.raises(ValueError, match="frozen"):
+    with pytest.raises(ValueError, match="frozen for"):
         evaluation.prepare_choice_data(spark, str(data), str(manifest), ["s", "t"])
 
 
@@ -126,11 +131,11 @@ def test_resume_gates(spark):
     assert resume.require_prefix(ids(0, 1, 2), 3) == 3
     assert resume.require_prefix(ids(0).filter("false"), 3) == 0
     for bad in (ids(0, 2), ids(1, 2), ids(0, 0, 1), ids(0, 1, 2, 3)):
-        with pytest.raises(ValueError, match="sequence is invalid"):
+        with pytest.raises(ValueError, match="first of the inputs"):
             resume.require_prefix(bad, 3)
     resume.require_same_settings(None, {"a": 1})
     resume.require_same_settings({"a": 1, "b": 2}, {"b": 2, "a": 1})
-    with pytest.raises(ValueError, match="settings changed"):
+    with pytest.raises(ValueError, match="other settings"):
         resume.require_same_settings({"a": 1}, {"a": 2})
 
 
@@ -209,7 +214,7 @@ def test_empty_split_is_refused(spark, tmp_path, empty):
         folder = tmp_path / "splits" / f"split={name}"
         folder.mkdir(parents=True)
         jsonl(folder / "p.jsonl", *([] if name == empty else [ROW]))
-    with pytest.raises(ValueError, match=f"{empty} split is empty"):
+    with pytest.raises(ValueError, match=f"no rows in the {empty} split"):
         dialogue.validate_dataset(spark, str(tmp_path))
 
 
@@ -236,7 +241,7 @@ def test_steps_resume_after_a_failure(spark, tmp_path):
     assert sorted(map(int, after)) == list(range(4, 11))
     run(None)
     assert len(open(calls).read().split()) == len(before) + len(after)
-    with pytest.raises(ValueError, match="settings changed"):
+    with pytest.raises(ValueError, match="other settings"):
         run(None, seed=1)
 
 
@@ -290,3 +295,54 @@ def test_checkpoint_folder_of_the_session_is_used(spark):
     named = spark.conf.get("spark.checkpoint.dir")
     assert checkpoint_dir(spark) == named
     assert named in spark.sparkContext.getCheckpointDir()
+
+
+def test_episodes_of_several_files_stay_apart(spark, tmp_path):
+    line = lambda who, text: {"speaker": who, "text": text, "scene": 0}
+    folder = tmp_path / "raw"
+    folder.mkdir()
+    for k in range(3):
+        (folder / f"{k}.json").write_text(json.dumps([
+            {"title": f"t{k}{i}", "url": "u", "lines": [line("Beta", f"one two three {k}{i}"), line("Sheldon", f"four five six {k}{i}")]}
+            for i in range(2)]))
+    episodes = files.read_episodes(spark, str(folder))
+    assert sorted((r["episode_id"], r["title"]) for r in episodes.collect()) == [(2 * k + i, f"t{k}{i}") for k in range(3) for i in range(2)]
+    rules = pairs.PairRules(min_target_words=2, min_prompt_words=2)
+    lines = pairs.explode_lines(episodes)
+    made = pairs.build_pairs(pairs.candidates(pairs.attach_context(lines, rules), rules)).collect()
+    assert len(made) == 6 and all(len(r["prompt"]) == 1 for r in made)
+
+
+def test_a_failed_swap_leaves_the_old_rows(spark, tmp_path):
+    path = tmp_path / "rows"
+    sinks.replace_folder(spark, str(path), lambda new: spark.range(3).write.parquet(new))
+
+    def vanish(new):
+        spark.range(5).write.parquet(new)
+        shutil.rmtree(new)  # the second rename finds nothing to move
+
+    with pytest.raises(OSError, match="still there"):
+        sinks.replace_folder(spark, str(path), vanish)
+    assert spark.read.parquet(str(path)).count() == 3 and [p.name for p in tmp_path.iterdir()] == ["rows"]
+
+
+def test_files_are_hashed_in_pieces(spark, tmp_path, monkeypatch):
+    big = tmp_path / "a b.bin"
+    big.write_bytes(bytes(range(256)) * 50_000)
+    found = files.file_digests(spark, str(tmp_path)).collect()
+    assert [(r["bytes"], r["sha256"]) for r in found] == [(12_800_000, hashlib.sha256(big.read_bytes()).hexdigest())]
+
+
+def test_errors_come_in_the_order_of_the_files(spark, tmp_path):
+    wrong = {"messages": [{"role": "assistant", "content": "Penny: x"}, {"role": "assistant", "content": "b"}],
+             "meta": {"episode": "e", "scene": 0, "target_words": 1}}
+    other = dict(wrong, meta=dict(wrong["meta"], episode="f"), messages=[*wrong["messages"][:1], {"role": "assistant", "content": "c"}])
+    for name, row in (("train", wrong), ("heldout", other)):
+        folder = tmp_path / "splits" / f"split={name}"
+        folder.mkdir(parents=True)
+        jsonl(folder / "p.jsonl", row)
+    with pytest.raises(ValueError) as caught:
+        dialogue.validate_dataset(spark, str(tmp_path))
+    told = str(caught.value).splitlines()[1:]
+    assert ["train" in x for x in told] == [True, True, False, False]
+    assert "speaker-name" in told[0] and "has role" in told[1]

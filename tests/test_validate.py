@@ -90,7 +90,7 @@ def test_trainable_rows_fail_on_the_first_problem(spark):
     assert validate.require_trainable(good, F.col("k")).count() == 1
     for name in ("a", "c", "d", "h", "i", "j"):
         bad = chats(spark, [r for r in FIXTURE if r[0] == name])
-        with pytest.raises(Exception, match=f"Example {name}"):
+        with pytest.raises(Exception, match=f"row {name} is no chat"):
             validate.require_trainable(bad, F.col("k")).collect()
 
 
@@ -98,7 +98,7 @@ def test_evaluable_rows_need_an_episode(spark):
     rows = chats(spark, [("b", FIXTURE[1][1])])
     named = rows.withColumn("meta", F.struct(F.lit("pilot").alias("episode")))
     assert validate.require_evaluable(named, F.col("k")).count() == 1
-    with pytest.raises(Exception, match="Invalid conversation"):
+    with pytest.raises(Exception, match="cannot be evaluated"):
         validate.require_evaluable(rows.withColumn("meta", F.struct(F.lit("").alias("episode"))), F.col("k")).collect()
 
 
