@@ -2,11 +2,12 @@
 
 The model file is read as a protobuf message; normaliser, metaspace marker, scores (unigram) or
 merges (BPE, ordered by score) and byte fallback are rebuilt from it. Batches are encoded by the
-library's threads, and every batch is compared with the sentencepiece library.
+library's threads, and all that is encoded is compared with the sentencepiece library.
 
-Where no piece goes on after a word's end, texts are cut there, which changes no id; the words of
-a batch that the worker has not met lately are encoded together by the library's threads, so a
-text of any length is encoded in small steps.
+Where no piece goes on after a word's end, texts are cut there, which changes no id in either
+library; the words of a batch that the worker has not met lately are encoded, and compared,
+together, so a text of any length is encoded in small steps. Other models encode and compare whole
+texts.
 
 Defined cases: a null text has no ids and decodes to the empty text; rows with equal ids are
 encoded one by one; an unknown piece without byte fallback becomes the unknown id, as in the
@@ -20,7 +21,7 @@ import os
 import re
 import struct
 from dataclasses import dataclass
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from pyspark.sql import DataFrame
 from turnloom.llm.common import arrow_map, texts
 
 MARKER = "▁"
-#: Words that a worker remembers with their ids.
-REMEMBERED = 1 << 19
+#: Words that a worker remembers with their ids, and rows that it encodes together.
+REMEMBERED, TOGETHER = 1 << 17, 128
 # Message numbers of the public model format.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -152,13 +153,15 @@ class Codec:
 
         self.model = Model.parse(data)
         self.tokenizer = tokenizer(self.model)
-        self.by_word = self.model.kind == BPE and not self.model.spans_words()
+        self.by_word = self.model.kind == BPE and self.model.byte_fallback and not self.model.spans_words()
         self.core = Tokenizer(self.tokenizer.model)
         self.words = re.compile(f"\n|{MARKER}*[^{MARKER}\n]+|{MARKER}+")
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.unlike: set[str] = set()
         self.bytes = [self._shown(piece, kind) for piece, _, kind in self.model.pieces]
         self.source = sentencepiece.SentencePieceProcessor(model_proto=data)
+        self.opening = self.source.encode("\n")
 
     def _shown(self, piece: str, kind: int) -> bytes:
         """What a piece stands for in the decoded text."""
@@ -185,18 +188,25 @@ class Codec:
                 self.known[word] = self.older[word]
             else:
                 fresh.append(word)
-        found = self.core.encode_batch_fast(fresh, add_special_tokens=False)
-        self.known.update((word, struct.pack(f"<{len(x.ids)}i", *x.ids)) for word, x in zip(fresh, found))
-
-    def encode(self, batch: list[str]) -> list[bytes]:
-        """Packed ids of each text; the library's threads share the batch."""
+        # after a line end, which ends words, the source library gives a word's ids in any text
+        wanted = self.source.encode([f"\n{word.replace(MARKER, ' ')}" for word in fresh], num_threads=1)
+        for word, x, y in zip(fresh, self.core.encode_batch_fast(fresh, add_special_tokens=False), wanted):
+            ids = x.ids
+            if y != self.opening + ids:
+                self.unlike.add(word)
+            self.known[word] = struct.pack(f"<{len(ids)}i", *ids)
+
+    def encode(self, batch: list[str]) -> list[tuple[bytes, bool]]:
+        """Packed ids of each text, and whether they are the source library's."""
         if not self.by_word:
             found = self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)
-            return [np.array(x.ids if text else [], "<i4").tobytes() for x, text in zip(found, batch)]
+            ids = [np.array(x.ids if text else [], "<i4").tobytes() for x, text in zip(found, batch)]
+            return [(x, x == y) for x, y in zip(ids, self.expected(batch))]
         lists = [self.words.findall(self.normal(text)) if text else [] for text in batch]
         self.learn(set(chain.from_iterable(lists)))
         ids = self.known.__getitem__
-        return [b"".join(map(ids, words)) for words in lists]
+        return [(b"".join(map(ids, words)), self.unlike.isdisjoint(words)) if self.unlike
+                else (b"".join(map(ids, words)), True) for words in lists]
 
     def decode(self, batch: list[bytes]) -> list[str]:
         """Texts of packed ids, from the pieces of the model: markers, bytes and the first space."""
@@ -237,20 +247,23 @@ def encoded(documents: DataFrame, model_path: str, threads: int = 2, with_ids: b
     the text that went in. parity is the comparison with the source library's ids.
     """
 
+    def some(codec: Codec, given: list[str]) -> list[tuple]:
+        found = codec.encode(given)
+        return [
+            (len(x) // 4, hashlib.sha256(x).hexdigest(), same, text == back, len(back), x)
+            for text, (x, same), back in zip(given, found, codec.decode([x for x, _ in found]))]
+
     def work(batch: pa.RecordBatch) -> dict:
         codec = _codec(model_path, threads)
         given = [x or "" for x in batch.column("text").to_pylist()]
-        ids = codec.encode(given)
-        decoded = codec.decode(ids)
-        out = {
-            "doc_id": batch.column("doc_id"),
-            "n_tokens": [len(x) // 4 for x in ids],
-            "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
-            "parity": [a == b for a, b in zip(ids, codec.expected(given))],
-            "round_trip": [a == b for a, b in zip(given, decoded)],
-            "decoded_chars": [len(x) for x in decoded]}
+        rows = [row for at in range(0, len(given), TOGETHER) for row in some(codec, given[at : at + TOGETHER])]
+        names = ("n_tokens", "ids_sha256", "parity", "round_trip", "decoded_chars")
+        out = {"doc_id": batch.column("doc_id")} | {name: [row[i] for row in rows] for i, name in enumerate(names)}
         if with_ids:
-            out["ids"] = pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32()))
+            flat = pa.py_buffer(b"".join(row[5] for row in rows))
+            ends = pa.array([0, *accumulate(row[0] for row in rows)], pa.int32())
+            out["ids"] = pa.ListArray.from_arrays(
+                ends, pa.Array.from_buffers(pa.int32(), flat.size // 4, [None, flat]))
         return out
 
     return arrow_map(texts(documents), work, SCHEMA + (", ids array<int>" if with_ids else ""))
