@@ -78,3 +78,7 @@ def test_schemas_match_what_is_built(spark, sf_dir):
     documents = pairs.pair_documents(bindings.conversation_pairs(spark, sf_dir)).select("messages", "meta")
     shape = lambda t: re.sub(r"[^a-z_:<>,]", "", t.simpleString())
     assert shape(documents.schema) == shape(schemas.PAIR)
+
+
+def test_pages_number_their_lines_without_a_shuffle(spark, sf_dir):
+    assert exchanges(plan_of(QUERIES["html_dialogue"](spark, sf_dir))) == []

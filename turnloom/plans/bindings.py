@@ -62,7 +62,11 @@ def shown(messages: str | Column) -> Column:
 
 def raw_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn with the turns before it as an unmerged chat, so row rules find errors."""
-    lines = conversation_lines(spark, sf_dir)
+    return chats_of(conversation_lines(spark, sf_dir))
+
+
+def chats_of(lines: DataFrame) -> DataFrame:
+    """Every line with the three lines before it as one chat."""
     own = F.struct(F.col("speaker").alias("role"), F.col("text").alias("content"))
     return look_back(lines, ["episode_id"], "line", {"before": own}, 3).select(
         F.col("episode_id").alias("conv_id"), F.col("line").alias("turn"),

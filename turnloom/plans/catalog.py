@@ -558,6 +558,21 @@ def length_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
         _rounded("pearson", "spearman"))
 
 
+@query(f"""
+WITH t AS (SELECT lang, n_chars AS x, {sql.words(sql.clean('text'))} AS y FROM documents),
+r AS (
+  SELECT lang, x, y,
+         rank() OVER (PARTITION BY lang ORDER BY x) + (count(*) OVER (PARTITION BY lang, x) - 1) / 2.0::DOUBLE AS rx,
+         rank() OVER (PARTITION BY lang ORDER BY y) + (count(*) OVER (PARTITION BY lang, y) - 1) / 2.0::DOUBLE AS ry
+  FROM t)
+SELECT lang, count(*) AS rows, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman
+FROM r GROUP BY lang""")
+def length_corr_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = b.table(spark, sf_dir, "documents")
+    return similarity.correlations(
+        rows, F.col("n_chars"), text.word_count(F.col("text")), ["lang"]).withColumns(_rounded("pearson", "spearman"))
+
+
 @query(f"""
 WITH t AS (SELECT role, {sql.clean('text')} AS txt FROM conversations)
 SELECT role AS model, round(avg({sql.words('txt')}), 6) AS mean_words FROM t GROUP BY role""")
@@ -632,6 +647,53 @@ def accuracy_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
         _rounded("base_accuracy", "sft_accuracy", "accuracy_difference"))
 
 
+@query(f"""
+WITH graded AS (
+  SELECT lang AS subject, coalesce((quality = CASE WHEN n_chars % 5 > 0 THEN (n_chars > 1500)::INTEGER END)::INTEGER, 0)
+           AS base_right,
+         coalesce((quality = CASE WHEN n_chars % 7 > 0 THEN (n_chars > 300)::INTEGER END)::INTEGER, 0) AS sft_right
+  FROM labels JOIN documents USING (doc_id)),
+scopes AS (
+  SELECT CASE WHEN grouping(subject) = 1 THEN 'overall' ELSE subject END AS scope, count(*) AS questions,
+    sum(base_right)::BIGINT AS base_correct, sum(sft_right)::BIGINT AS sft_correct,
+    count(*) FILTER (base_right > sft_right) AS base_correct_sft_wrong,
+    count(*) FILTER (base_right < sft_right) AS base_wrong_sft_correct
+  FROM graded GROUP BY GROUPING SETS ((subject), ()))
+SELECT scope, questions, base_correct, sft_correct, {_ACCURACY},
+       round((sft_correct - base_correct)::DOUBLE / questions, 6) AS accuracy_difference,
+       base_correct_sft_wrong, base_wrong_sft_correct FROM scopes""")
+def accuracy_missing_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some predictions are missing, which counts as wrong."""
+    documents = b.table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.col("lang").alias("subject"))
+    joined = b.table(spark, sf_dir, "labels").select("doc_id", "quality").join(documents, "doc_id")
+    chars = F.col("n_chars")
+    marked = choice.mark_correct(
+        joined, F.col("quality"), F.when(chars % 5 > 0, (chars > 1500).cast("int")),
+        F.when(chars % 7 > 0, (chars > 300).cast("int")))
+    return choice.accuracy_by_subject(marked).withColumns(
+        _rounded("base_accuracy", "sft_accuracy", "accuracy_difference"))
+
+
+@query("""
+WITH m AS (
+  SELECT label::VARCHAR AS subject, count(*) AS questions, sum(list_sum(embedding[1:4])::DOUBLE) AS b,
+         sum(list_sum(embedding[2:5])::DOUBLE) AS s FROM embeddings GROUP BY label)
+SELECT subject AS scope, questions, round(b / questions, 4) AS base_mass, round(s / questions, 4) AS sft_mass FROM m
+UNION ALL SELECT 'overall', sum(questions)::BIGINT, round(sum(b) / sum(questions), 4), round(sum(s) / sum(questions), 4)
+FROM m""")
+def letter_mass_by_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean letter masses per subject; sums of vector entries stand in for the masses."""
+    def total(first: int) -> Column:
+        return F.aggregate(F.slice("embedding", first, 4), F.lit(0.0), lambda a, x: a + x.cast("double"))
+
+    rows = b.table(spark, sf_dir, "embeddings").select(
+        F.col("label").cast("string").alias("subject"), F.lit(1).alias("base_right"), F.lit(1).alias("sft_right"),
+        F.lit(0).alias("difference"), total(1).alias("base_mass"), total(2).alias("sft_mass"))
+    return choice.accuracy_by_subject(rows, masses=True).select(
+        "scope", "questions", *[
+            F.round(f"{m}_mean_answer_letter_probability_mass", 4).alias(f"{m}_mass") for m in fixed.MODELS])
+
+
 @query(f"""
 WITH {sql.GRADED},
 strata AS (
@@ -652,11 +714,28 @@ def stratified_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bootstrap.interval(bootstrap.stratified_estimates(counts)).withColumns(_rounded("low", "high"))
 
 
-@query()
+@query(f"""
+WITH {sql.GRADED},
+strata AS (
+  SELECT subject, count(*) AS n, avg(sft_right - base_right) AS m, var_pop(sft_right - base_right) AS v
+  FROM graded GROUP BY subject)
+SELECT {fixed.BOOTSTRAP_SAMPLES}::BIGINT AS samples, round(sum(n * m) / sum(n), 6) AS wanted_mean,
+       round(sqrt(sum(n * v)) / sum(n), 6) AS wanted_spread, true AS mean_fits, true AS spread_fits FROM strata""")
 def stratified_bootstrap_multinomial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and spread of the drawn estimates next to those that follow from the strata."""
     counts = bootstrap.stratum_counts(b.graded_documents(spark, sf_dir), "subject", "difference")
-    return bootstrap.interval(bootstrap.stratified_estimates_multinomial(counts)).withColumns(
-        _rounded("low", "high"))
+    n = F.col("members")
+    mean = (n - F.col("minus") - F.col("zero") - F.col("minus")) / n
+    variance = (n - F.col("zero")) / n - mean * mean
+    wanted = counts.agg(
+        (F.sum(n * mean) / F.sum(n)).alias("mean"), (F.sqrt(F.sum(n * variance)) / F.sum(n)).alias("spread"))
+    drawn = bootstrap.stratified_estimates_multinomial(counts).agg(
+        F.count(F.lit(1)).alias("samples"), F.avg("estimate").alias("m"), F.stddev_pop("estimate").alias("s"))
+    both = drawn.withColumns({"wanted_mean": wanted.select("mean").scalar(), "wanted_spread": wanted.select("spread").scalar()})
+    return both.select(
+        "samples", F.round("wanted_mean", 6).alias("wanted_mean"), F.round("wanted_spread", 6).alias("wanted_spread"),
+        (F.abs(F.col("m") - F.col("wanted_mean")) < 5 * F.col("wanted_spread") / F.sqrt("samples")).alias("mean_fits"),
+        (F.abs(F.col("s") / F.col("wanted_spread") - 1) < 5 / F.sqrt(2 * F.col("samples"))).alias("spread_fits"))
 
 
 # --- resume, checksums, samples ---
@@ -703,25 +782,26 @@ def spot_check_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {sql.SCORED},
 m AS (SELECT avg(base_cosine) AS b, avg(sft_cosine) AS s FROM scored),
 r AS (SELECT *, greatest(0.32::DOUBLE, greatest(b, s) * 1.6::DOUBLE) AS upper FROM m)
-SELECT 0 AS place, 'Base' AS model, round(b, 6) AS value, round(upper, 6) AS axis_upper FROM r
-UNION ALL SELECT 1, 'SFT', round(s, 6), round(upper, 6) FROM r""")
+SELECT 0 AS place, 'Base' AS model, round(b, 6) AS value, round(upper, 6) AS axis_upper, printf('%.4f', b) AS label FROM r
+UNION ALL SELECT 1, 'SFT', round(s, 6), round(upper, 6), printf('%.4f', s) FROM r""")
 def similarity_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     metrics = b.scored_vectors(spark, sf_dir).agg(
         F.avg("base_cosine").alias("base_cosine"), F.avg("sft_cosine").alias("sft_cosine"),
         F.avg("difference").alias("difference"), F.min("difference").alias("low"),
         F.max("difference").alias("high"))
-    return report.similarity_bars(metrics).select("place", "model", "value", "axis_upper").withColumns(
+    return report.similarity_bars(metrics).select("place", "model", "value", "axis_upper", "label").withColumns(
         _rounded("value", "axis_upper"))
 
 
 @query("""
 WITH m AS (SELECT avg(label * 3)::DOUBLE AS b, avg((label + 1) * 3)::DOUBLE AS s FROM embeddings)
-SELECT 0 AS place, 'Base' AS model, round(b, 6) AS value, round(greatest(b, s) * 1.3::DOUBLE, 6) AS axis_upper FROM m
-UNION ALL SELECT 1, 'SFT', round(s, 6), round(greatest(b, s) * 1.3::DOUBLE, 6) FROM m""")
+SELECT 0 AS place, 'Base' AS model, round(b, 6) AS value, round(greatest(b, s) * 1.3::DOUBLE, 6) AS axis_upper,
+       printf('%.1f', b) AS label FROM m
+UNION ALL SELECT 1, 'SFT', round(s, 6), round(greatest(b, s) * 1.3::DOUBLE, 6), printf('%.1f', s) FROM m""")
 def length_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     metrics = b.table(spark, sf_dir, "embeddings").agg(
         F.avg(F.col("label") * 3).alias("base_tokens"), F.avg((F.col("label") + 1) * 3).alias("sft_tokens"))
-    return report.length_bars(metrics).select("place", "model", "value", "axis_upper").withColumns(
+    return report.length_bars(metrics).select("place", "model", "value", "axis_upper", "label").withColumns(
         _rounded("value", "axis_upper"))
 
 
@@ -736,3 +816,122 @@ UNION ALL SELECT place::INTEGER, CASE scope WHEN 'overall' THEN 'Overall' ELSE s
 def accuracy_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     scopes = choice.accuracy_by_subject(b.graded_documents(spark, sf_dir))
     return report.accuracy_bars(scopes, b.LANGUAGES, {}).drop("label").withColumns(_rounded("percent"))
+
+
+@query(f"""
+WITH {sql.GRADED},
+g AS (SELECT 100 * (sft_correct - base_correct)::DOUBLE / questions AS d FROM scopes WHERE scope = 'overall'),
+i AS (SELECT d, d - 1 AS low, d + 1 AS high FROM g)
+SELECT round(d, 6) AS difference, round(low, 6) AS low, round(high, 6) AS high,
+       printf('SFT minus base: %+.2f points', d) || chr(10) || printf('95%% CI [%+.2f, %+.2f]', low, high) AS caption
+FROM i""")
+def accuracy_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overall gain in points; a point to either side stands in for the interval."""
+    overall = choice.accuracy_by_subject(b.graded_documents(spark, sf_dir)).filter("scope = 'overall'")
+    share = F.col("accuracy_difference")
+    return report.accuracy_gain(overall.select(
+        share.alias("difference"), (share - 0.01).alias("low"), (share + 0.01).alias("high"))).withColumns(
+            _rounded("difference", "low", "high"))
+
+
+# --- rules that the bindings above do not reach ---
+
+_JUNK = "(?i)^(?:" + "|".join(fixed.JUNK_WORDS) + ")[.!?]?$"
+_POINTING = r"(?i)(?:^|[^\p{L}\p{N}_])(?:" + "|".join(fixed.POINTING_PHRASES) + r")(?:$|[^\p{L}\p{N}_])"
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+w AS (SELECT doc_id, unnest(string_split(line, ' ')) AS word FROM l),
+j AS (SELECT doc_id, count(*) FILTER (regexp_matches(replace(replace(word, 'the', 'Oh'), 'and', 'right'), '{_JUNK}')) AS junk
+      FROM w GROUP BY doc_id),
+p AS (SELECT doc_id, count(*) FILTER (regexp_matches(replace(replace(line, 'in ', 'This one '), 'to ', 'those '), '{_POINTING}'))
+        AS pointing FROM l GROUP BY doc_id)
+SELECT doc_id, junk, pointing FROM j JOIN p USING (doc_id)""")
+def text_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filler words and lines that point at a picture; some common words are replaced to make them."""
+    lines = F.split("text", "\n")
+    words = F.flatten(F.transform(lines, lambda x: F.split(x, " ")))
+
+    def filler(word: Column) -> Column:
+        return text.is_junk(F.replace(F.replace(word, F.lit("the"), F.lit("Oh")), F.lit("and"), F.lit("right")))
+
+    def pointing(line: Column) -> Column:
+        return text.points_at_picture(
+            F.replace(F.replace(line, F.lit("in "), F.lit("This one ")), F.lit("to "), F.lit("those ")))
+
+    return b.table(spark, sf_dir, "documents").select(
+        "doc_id", F.size(F.filter(words, filler)).cast("long").alias("junk"),
+        F.size(F.filter(lines, pointing)).cast("long").alias("pointing"))
+
+
+_CHAT = """
+c AS (
+  SELECT conv_id, turn, role, CASE WHEN turn % 5 = 2 THEN ' ' WHEN turn % 5 = 1 THEN 'Penny: ' || text ELSE text END AS text
+  FROM conversations),
+l AS (
+  SELECT conv_id, turn, list(role) OVER w AS r, list(text) OVER w AS t FROM c
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)),
+m AS (SELECT conv_id, turn, r, t, unnest(range(1, len(r) + 1)) AS i FROM l WHERE len(r) >= 2),
+e AS (SELECT conv_id, turn, i - 1 AS position, r[i] AS role, t[i] AS text,
+        CASE WHEN i % 2 = 1 THEN 'user' ELSE 'assistant' END AS wanted FROM m)"""
+
+
+@query(f"""
+WITH {_CHAT}, found AS (
+  SELECT '{validate.TOO_FEW}' AS rule FROM l WHERE len(r) < 2
+  UNION ALL SELECT '{validate.LAST_ROLE}' FROM l WHERE len(r) >= 2 AND r[-1] <> 'assistant'
+  UNION ALL SELECT '{validate.EMPTY}' FROM e WHERE trim(text) = ''
+  UNION ALL SELECT '{validate.LEAK}' FROM e WHERE starts_with(text, 'Penny: ')
+  UNION ALL SELECT '{validate.ORDER}' FROM e WHERE role <> wanted)
+SELECT rule, count(*) AS errors, greatest(count(*) - {fixed.ERROR_REPORT_ROWS}, 0) AS not_shown FROM found GROUP BY rule""")
+def chat_errors_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five rules: some turns are blanked and some open with a speaker's name."""
+    lines = b.conversation_lines(spark, sf_dir).withColumn("text", F.when(F.col("line") % 5 == 2, " ").when(
+        F.col("line") % 5 == 1, F.concat(F.lit("Penny: "), "text")).otherwise(F.col("text")))
+    errors = validate.row_errors(b.chats_of(lines), ["conv_id", "turn"])
+    return errors.groupBy("rule").agg(F.count(F.lit(1)).alias("errors")).withColumn(
+        "not_shown", F.greatest(F.col("errors") - fixed.ERROR_REPORT_ROWS, F.lit(0).cast("long")))
+
+
+@query("""
+SELECT conv_id, turn, sha256(role || chr(10) || text) AS sha256 FROM conversations""")
+def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns written as JSON text and read back."""
+    told = b.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.to_json(F.struct("role", "text")).alias("j"))
+    back = told.withColumn("t", F.from_json("j", "role string, text string", {"mode": "FAILFAST"}))
+    return back.select("conv_id", "turn", sha256(F.concat("t.role", F.lit("\n"), "t.text")).alias("sha256"))
+
+
+@query(f"""
+WITH f AS (
+  SELECT page_id, {sql.canonical('url')} AS url FROM pages
+  QUALIFY row_number() OVER (PARTITION BY {sql.canonical('url')} ORDER BY page_id) = 1)
+(SELECT 'first' AS side, page_id, url FROM f ORDER BY page_id LIMIT 7)
+UNION ALL SELECT 'without last', page_id, url FROM f
+WHERE page_id NOT IN (SELECT page_id FROM f ORDER BY page_id DESC LIMIT 9)""")
+def episode_links_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first links, and all but the last ones."""
+    found = page_source.anchors(b.link_pages(spark, sf_dir), ["page_id"])
+    sides = [transcript.episode_links(found, ["page_id", "place"], limit).select(F.lit(name).alias("side"), "page_id", "url")
+             for name, limit in (("first", 7), ("without last", -9))]
+    return sides[0].unionAll(sides[1])
+
+
+@query("""
+SELECT doc_id FROM documents WHERE doc_id % 11 = 3 OR lower(source) <> source""")
+def prefix_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved rows that differ from the inputs at their index: every eleventh row was saved with another source."""
+    rows = b.table(spark, sf_dir, "documents").select("doc_id", "source")
+    saved = rows.withColumn("source", F.when(F.col("doc_id") % 11 == 3, "other").otherwise(F.lower("source")))
+    return resume.prefix_mismatches(saved, rows, "doc_id", ["source"]).select("doc_id")
+
+
+@query("""
+SELECT source AS episode FROM documents GROUP BY source
+HAVING count(*) FILTER (doc_id % 97 = 0) > 0 AND count(*) FILTER (doc_id % 97 <> 0) > 0""")
+def shared_episode_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources on both sides of a split by row."""
+    rows = b.table(spark, sf_dir, "documents").select(
+        F.col("source").alias("episode"), F.when(F.col("doc_id") % 97 == 0, "heldout").otherwise("train").alias("split"))
+    return validate.shared_episodes(rows)
