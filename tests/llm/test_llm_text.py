@@ -65,6 +65,7 @@ def test_join_finds_every_component(spark, texts, monkeypatch, part, paired):
     monkeypatch.setattr(ngram_join, "PART", part)
     monkeypatch.setattr(ngram_join, "PAIRED", paired)
     monkeypatch.setattr(ngram_join, "PARTNERS", 7)
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
     found = {r[0]: (r[1], r[2]) for r in ngram_join.joined(frame(spark, texts)).collect()}
     assert found == jaccard_components(texts)
 

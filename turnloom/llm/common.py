@@ -127,6 +127,7 @@ def arrow_map(rows: DataFrame, work, schema: str, together: int = BATCH_ROWS) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
+            pa.default_memory_pool().release_unused()  # workers live on from task to task
             for at in range(0, whole.num_rows, together):
                 found = work(whole.slice(at, together))
                 yield pa.RecordBatch.from_arrays(

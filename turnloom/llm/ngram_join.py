@@ -5,9 +5,10 @@
 3. By the prefix principle two sets within the threshold share a shingle among their rarest ones.
    Rarest shingles are dealt into buckets; those that the sketch shows to be hot into several, whose
    leaders meet again. Few holders of a shingle are all paired; of many, each is paired with the
-   smallest, and after step 5 only holders that are still in different components are paired too.
-   All shared shingles up to the smaller one of two last rarest shingles are counted then, so a pair
-   is dropped if that count and all the rest of a set could not reach the threshold.
+   one that has fewest rare shingles of its own, which is next to what the others are copies of.
+   Holders that are still in different components after step 5 meet in blocks of bounded size and
+   are paired if they may be similar. A pair is dropped if the rarest shingles that it shares and
+   all of either set beyond those compared could not reach the threshold.
 4. The order is cut into fragments of equal weight. Each candidate pair's overlap is counted per
    fragment, in groups of a bounded number of partners, and summed per pair: the counts are exact.
    The rare fragments come first; a pair goes on to the others only if it can still be similar.
@@ -45,8 +46,9 @@ FRAGMENTS = 16
 EARLY = 5  # fragments that are counted first
 PAIRED = 8  # holders of one shingle that are all paired
 PART = 4096  # holders of a hot shingle that meet in one bucket
+BLOCK = 256  # classes that meet in one group after the first links
 PARTNERS = 256  # partners of one class that are counted in one group
-BUCKET = 1 << 20  # postings of a bucket
+BUCKET = 1 << 19  # postings of a bucket
 
 
 def shingle_hashes(raws: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
@@ -98,14 +100,14 @@ class Order:
 def count_sketch(documents: DataFrame, width: int = WIDTH) -> np.ndarray:
     """How many texts' shingles fall into each slot; a fixed number of slots reaches the driver."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SLOT_BITS, np.int64)
+        counts = np.zeros(1 << SLOT_BITS, np.int32)
         for batch in batches:
             for slots in shingle_hashes(raw_texts(batch.column("text")), width):
                 np.add.at(counts, (slots >> _SHIFT).astype(np.int64), 1)
-        blocks = [counts[a : a + _BLOCK].astype("<i8").tobytes() for a in range(0, len(counts), _BLOCK)]
+        blocks = [
+            zlib.compress(counts[a : a + _BLOCK].astype("<i8").tobytes(), 1) for a in range(0, len(counts), _BLOCK)]
         yield pa.RecordBatch.from_pydict({
-            "block": pa.array(range(len(blocks)), pa.int32()),
-            "counts": pa.array([zlib.compress(x, 1) for x in blocks], pa.binary())})
+            "block": pa.array(range(len(blocks)), pa.int32()), "counts": pa.array(blocks, pa.binary())})
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(zlib.decompress(x.as_py()), "<i8") for x in table.column("counts"))
@@ -136,9 +138,9 @@ def _set_table(documents: DataFrame, order: Broadcast, percent: int, width: int)
     return arrow_map(texts(documents), work, "doc_id bigint, n bigint, d1 bigint, d2 bigint, rarest binary")
 
 
-def prefix_size(n, percent: int, floor=np.floor_divide):
+def prefix_size(n, percent: int):
     """How many of a set's n shingles must hold one that a similar set has there, too."""
-    return n - floor(percent * n + 99, 100) + 1
+    return n - (percent * n + 99) // 100 + 1
 
 
 def needed(a, b, percent: int):
@@ -194,7 +196,8 @@ def _unpacked(table: pa.Table, part: int):
         for place, kind in ((1, "<i8"), (2, "<i8"), (3, "<u8")):
             out[place].append(np.frombuffer(row[place], kind)[owner])
         out[4].append(np.frombuffer(row[5], "<i8")[mine] if row[5] else np.zeros(len(owner), np.int64))
-    by = np.lexsort((np.concatenate(out[1]), np.concatenate(out[4]), np.concatenate(out[0])))
+    # of a run's holders the one whose rarest shingles reach furthest comes first
+    by = np.lexsort((np.concatenate(out[1]), ~np.concatenate(out[3]), np.concatenate(out[4]), np.concatenate(out[0])))
     return [np.concatenate(x)[by] for x in out]
 
 
@@ -212,8 +215,7 @@ def _meet(order: Broadcast, percent: int):
     """Pairs of one bucket, and the holders of shingles with many of them.
 
     kind 0: a pair with the shingles it shares here and how many it must share in all; 1 and 2: a
-    holder, and a leader, of a shingle with many, with its set's size and half its last rarest
-    shingle; 3: a holder's pair with its leader.
+    holder, and a leader, of a shingle with many; 3: a holder's pair with its leader.
     """
     def some(table: pa.Table, part: int) -> pa.Table:
         keys, ids, sizes, last, salts = _unpacked(table, part)
@@ -235,10 +237,10 @@ def _meet(order: Broadcast, percent: int):
         short = np.where(last[a] <= last[b], a, b)  # all of this set's rarest shingles were compared
         rest = sizes[short] - prefix_size(sizes[short], percent)
         least = np.maximum(1, needed(sizes[a], sizes[b], percent) - rest)
-        few_a, few_b, shared, wanted = _each_pair(ids[a], ids[b], least)
+        few_a, few_b, shared, wanted = _each_pair(np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), least)
         b = np.flatnonzero(many[run] & ~fresh)
         a, b = alike(heads[run[b]], b)
-        star_a, star_b, _, _ = _each_pair(ids[a], ids[b], sizes[a])
+        star_a, star_b, _, _ = _each_pair(np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), sizes[a])
         held = np.flatnonzero(many[run])
         leads = fresh[held] & hot[run[held]]
         n, m = len(few_a), len(star_a)
@@ -246,7 +248,7 @@ def _meet(order: Broadcast, percent: int):
             "kind": (np.zeros(n), np.full(m, 3), np.where(leads, 2, 1)),
             "key": (np.zeros(n), np.zeros(m), keys[held].view(np.int64)),
             "a": (few_a, star_a, ids[held]), "b": (few_b, star_b, sizes[held]),
-            "shared": (shared, np.zeros(m), last[held] >> np.uint64(1)),
+            "shared": (shared, np.zeros(m), np.zeros(len(held))),
             "least": (wanted, np.zeros(m), np.zeros(len(held)))}
         return pa.table({k: pa.array(np.concatenate([x.astype(np.int64) for x in v])) for k, v in columns.items()})
 
@@ -345,6 +347,62 @@ def _overlaps(documents: DataFrame, pairs: DataFrame, order: Broadcast, percent:
         .where((100 + percent) * both >= percent * n).select("a", "b").distinct())
 
 
+def may_be_similar(rows: list[tuple], others: list[tuple], percent: int) -> np.ndarray:
+    """Which of the (size, rarest shingles) rows may reach the threshold with which of the others."""
+    sizes, more = (np.array([x[0] for x in side], np.int64) for side in (rows, others))
+    sets, more_sets = ([x[1] for x in side] for side in (rows, others))
+    values = np.concatenate([*sets, *more_sets])
+    owner = np.repeat(np.arange(len(sets) + len(more_sets)), [len(x) for x in [*sets, *more_sets]])
+    known, column, often = np.unique(values, return_inverse=True, return_counts=True)
+    place = np.cumsum(often > 1) - 1
+    kept = often[column] > 1
+    owner, column = owner[kept], place[column[kept]]
+    shared = np.zeros((len(sets), len(more_sets)), np.float32)
+    for at in range(0, int((often > 1).sum()), 4096):
+        mine = (column >= at) & (column < at + 4096)
+        has = np.zeros((len(sets) + len(more_sets), 4096), np.float32)
+        has[owner[mine], column[mine] - at] = 1
+        shared += has[: len(sets)] @ has[len(sets) :].T
+    last, more_last = (np.array([x[-1] for x in side], np.uint64) for side in (sets, more_sets))
+    # how many of each set's rarest shingles are not beyond the other's last one
+    seen = np.stack([np.searchsorted(x, more_last, "right") for x in sets])
+    more_seen = np.stack([np.searchsorted(x, last, "right") for x in more_sets], axis=1)
+    rest = np.minimum(sizes[:, None] - seen, more[None, :] - more_seen)
+    return fits(sizes[:, None], more[None, :], percent) & (
+        shared + rest >= needed(sizes[:, None], more[None, :], percent))
+
+
+def _still_apart(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of holders of one leader's shingles, in different components, that may be similar.
+
+    members: lead, node, component. Every two blocks of a lead's holders meet in one group.
+    """
+    sizes = scratch(members.groupBy("lead").agg((F.count("*") / BLOCK + 1).cast("int").alias("blocks")))
+    spread = (
+        members.join(sizes, "lead")
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    rows = spread.select(
+        "lead", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "component")
+    rows = rows.join(sets.where("n > 0").select(F.col("doc_id").alias("node"), "n", "rarest").distinct(), "node")
+
+    def work(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        one, two = key[1].as_py(), key[2].as_py()
+        names = ("block", "node", "component", "n", "rarest")
+        found = list(zip(*(table.column(x).to_pylist() for x in names)))
+        sides = [[x for x in found if x[0] == block] for block in (one, two)]
+        if not sides[0] or not sides[1]:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        good = may_be_similar(*([(x[3], np.frombuffer(x[4], "<u8")) for x in side] for side in sides), percent)
+        nodes, groups = ([np.array([x[k] for x in side], np.int64) for side in sides] for k in (1, 2))
+        good &= groups[0][:, None] != groups[1][None, :]
+        a, b = np.nonzero(good)
+        a, b = nodes[0][a], nodes[1][b]
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    return rows.groupBy("lead", "one", "two").applyInArrow(work, "a bigint, b bigint").where("a < b").distinct()
+
+
 def joined(documents: DataFrame, percent: int = 75, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     spark = documents.sparkSession
@@ -358,8 +416,9 @@ def joined(documents: DataFrame, percent: int = 75, width: int = WIDTH) -> DataF
     met = scratch(
         _postings(firsts.select(F.col("doc_id").alias("rep"), "n", "rarest"), order, buckets)
         .groupBy("bucket").applyInArrow(_meet(order, percent), _MET))
-    counted = met.where("kind = 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least"))
-    few = counted.where("shared >= least").select("a", "b")
+    few = (
+        met.where("kind = 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least"))
+        .where("shared >= least").select("a", "b"))
     leaders = scratch(met.where("kind = 2").groupBy("key").agg(F.min("a").alias("top")))
     tops = (
         met.where("kind = 2").join(leaders, "key").where("a > top")
@@ -378,24 +437,15 @@ def joined(documents: DataFrame, percent: int = 75, width: int = WIDTH) -> DataF
 
     # holders of a shingle with many of them that ended in different components
     many = (
-        met.where("kind in (1, 2)").select("key", F.col("a").alias("node"), F.col("b").alias("n"), F.col("shared").alias("last"))
+        met.where("kind in (1, 2)").select("key", F.col("a").alias("node"))
         .join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    open_keys = many.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-    many = scratch(many.join(scratch(open_keys.where("x < y").select("key")), "key"))
-    one, two = (many.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "last", "component")]) for k in "ab")
-    rest_a, rest_b = (F.col(f"n_{k}") - prefix_size(F.col(f"n_{k}"), percent, lambda x, y: F.floor(x / y)) for k in "ab")
-    rest_of = F.when(F.col("last_a") < F.col("last_b"), rest_a).when(
-        F.col("last_a") > F.col("last_b"), rest_b).otherwise(F.greatest(rest_a, rest_b))
-    rest = (
-        one.join(two, "key")
-        .where("node_a < node_b and component_a != component_b")
-        .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        .groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-        .agg(F.count("*").alias("often"), F.min(
-            F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent)) - rest_of).alias("wanted"))
-        .join(counted, ["a", "b"], "left")
-        .where("often + coalesce(shared, 0) >= wanted").select("a", "b")
-        .join(pairs, ["a", "b"], "left_anti"))
+    # shingles with the same holders have the same lead, so these meet once
+    open_keys = many.groupBy("key").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"),
+        F.min(F.struct(F.xxhash64("node"), "node")).alias("lead"))
+    open_keys = scratch(open_keys.where("x < y").select("key", F.col("lead.node").alias("lead")))
+    members = scratch(many.join(open_keys, "key").select("lead", "node", "component").distinct())
+    rest = _still_apart(members, sets, percent).join(pairs, ["a", "b"], "left_anti")
     rest = scratch(rest)
     if not rest.isEmpty():
         groups = scratch(components(links.unionAll(_overlaps(documents, rest, order, percent, width))))
