@@ -3,6 +3,7 @@
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -16,6 +17,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session(
         "bench", master=f"local[{cpus}]", spark__sql__shuffle__partitions=cpus,
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="bench-"), spark__sql__files__maxPartitionBytes="4m",
         spark__ui__enabled="false", spark__driver__memory=os.environ.get("BENCH_MEMORY", "8g"))
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{sf_dir}/conversations.parquet").count()  # start the JVM's readers

@@ -157,17 +157,20 @@ def isolation_report(
     rows: DataFrame, episode: str = "episode", target: str = "target", split: str = "split",
 ) -> DataFrame:
     """``check, rows``: episodes per split, shared episodes, held-out replies seen in train."""
-    episodes = _sides(rows, F.col(episode).alias("_key"), split).agg(
-        F.count_if(F.col("in_train") > 0).alias("train_episodes"),
-        F.count_if(F.col("in_heldout") > 0).alias("heldout_episodes"),
-        F.count_if((F.col("in_train") > 0) & (F.col("in_heldout") > 0)).alias("shared_episodes"),
-    )
-    leaked = _sides(rows, text_key(F.col(target)).alias("_key"), split).agg(
-        F.coalesce(F.sum(F.when(F.col("in_train") > 0, F.col("in_heldout"))), F.lit(0))
-        .alias("leaked_targets"))
-    return episodes.unpivot(
-        [], ["train_episodes", "heldout_episodes", "shared_episodes"], "check", "rows"
-    ).unionByName(leaked.unpivot([], ["leaked_targets"], "check", "rows"))
+    # both kinds of keys in one aggregate: rows are read and shuffled once
+    keys = F.array(
+        F.struct(F.lit("episode").alias("kind"), F.col(episode).cast("string").cast("binary").alias("_key")),
+        F.struct(F.lit("target").alias("kind"), text_key(F.col(target)).alias("_key")))
+    sides = rows.select(split, F.inline(keys)).groupBy("kind", "_key").agg(
+        F.count_if(F.col(split) == "train").alias("in_train"),
+        F.count_if(F.col(split) == "heldout").alias("in_heldout"))
+    train, heldout, is_episode = F.col("in_train") > 0, F.col("in_heldout") > 0, F.col("kind") == "episode"
+    return sides.agg(
+        F.count_if(is_episode & train).alias("train_episodes"),
+        F.count_if(is_episode & heldout).alias("heldout_episodes"),
+        F.count_if(is_episode & train & heldout).alias("shared_episodes"),
+        F.coalesce(F.sum(F.when(~is_episode & train, F.col("in_heldout"))), F.lit(0)).alias("leaked_targets"),
+    ).unpivot([], ["train_episodes", "heldout_episodes", "shared_episodes", "leaked_targets"], "check", "rows")
 
 
 def isolation_errors(report: DataFrame, first_shared: DataFrame) -> DataFrame:

@@ -63,7 +63,7 @@ def read_splits(spark: SparkSession, out: str) -> DataFrame:
 
 def validate_dataset(spark: SparkSession, out: str) -> dict[str, DataFrame]:
     """Check and profile both splits; raises with the first errors when a rule is broken."""
-    rows = read_splits(spark, out)
+    rows = settle(read_splits(spark, out))  # parsed once
     flat = rows.select(
         "split", F.col("meta.episode").alias("episode"),
         arrays.last(F.col("messages")).content.alias("target"))

@@ -8,6 +8,7 @@ set. Shuffle partition counts are left to adaptive execution, which starts from
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,9 +44,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def settle(rows: DataFrame) -> DataFrame:
-    """Write an aggregate to the shared checkpoint folder before it is read several times.
+    """Write rows as Parquet to the shared checkpoint folder before they are read several times.
 
-    Later reads neither repeat the aggregation nor lose it with an executor.
+    Later reads neither repeat the work nor lose it with an executor, and read only the columns
+    they need.
     """
-    checkpoint_dir(rows.sparkSession)
-    return rows.checkpoint()
+    spark = rows.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
