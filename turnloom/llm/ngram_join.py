@@ -261,16 +261,16 @@ def _meet(order: Broadcast, percent: int):
 _MET = "kind bigint, key bigint, a bigint, b bigint, shared bigint, least bigint"
 
 
-def _among(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """Texts whose id may be one of `ids`: a bitmap of fixed size lets few others through."""
-    slot = F.pmod(F.xxhash64("id"), F.lit(1 << 24)) + 1
-    bits = ids.select(F.col("id"), slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-    rows = texts(documents).where("doc_id is not null").withColumn("id", F.col("doc_id")).withColumn("slot", slot)
-    rows = rows.join(F.broadcast(bits), F.bitmap_bucket_number("slot") == F.col("bucket"))  # at most 512 rows of 4 KB
-    return rows.where(F.expr("""bit_get(
-        cast(conv(hex(substring(bits, cast(bitmap_bit_position(slot) div 8 as int) + 1, 1)), 16, 10) as int),
-        cast(bitmap_bit_position(slot) % 8 as int)) = 1""")).select("doc_id", "text")
+def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc_id may be one of `ids`: a bitmap of fixed size lets few others through."""
+    slot = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24)) + 1).alias("_slot")
+    bits = ids.select(slot).groupBy(F.bitmap_bucket_number("_slot").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits"))
+    marked = rows.where("doc_id is not null").select("*", slot)
+    marked = marked.join(F.broadcast(bits), F.bitmap_bucket_number("_slot") == F.col("_bucket"))  # 512 rows of 4 KB at most
+    return marked.where(F.expr("""bit_get(
+        cast(conv(hex(substring(_bits, cast(bitmap_bit_position(_slot) div 8 as int) + 1, 1)), 16, 10) as int),
+        cast(bitmap_bit_position(_slot) % 8 as int)) = 1""")).select(*rows.columns)
 
 
 def _pieces(documents: DataFrame, pairs: DataFrame, order: Broadcast, width: int, first: int, last: int) -> DataFrame:
@@ -282,7 +282,7 @@ def _pieces(documents: DataFrame, pairs: DataFrame, order: Broadcast, width: int
     own = parts.select(F.col("a").alias("need"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "a")
     needs = needs.unionAll(own.select("need", F.struct("a", "part").alias("to")))
     wanted = scratch(needs.groupBy("need").agg(F.collect_list("to").alias("to")))  # as many as a class has groups
-    rows = _among(documents, wanted.select(F.col("need").alias("id")))
+    rows = _among(texts(documents), wanted.select(F.col("need").alias("doc_id")))
     rows = rows.join(wanted, F.col("doc_id") == F.col("need")).select("doc_id", "text", "to")
 
     def cut(batch: pa.RecordBatch) -> dict:
@@ -384,7 +384,8 @@ def _still_apart(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
     rows = spread.select(
         "lead", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "component")
-    rows = rows.join(sets.where("n > 0").select(F.col("doc_id").alias("node"), "n", "rarest").distinct(), "node")
+    held = _among(sets.where("n > 0").select("doc_id", "n", "rarest"), members.select(F.col("node").alias("doc_id")))
+    rows = rows.join(held.withColumnRenamed("doc_id", "node"), "node")
 
     def work(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         one, two = key[1].as_py(), key[2].as_py()
