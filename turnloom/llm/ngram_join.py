@@ -278,12 +278,13 @@ def _pieces(documents: DataFrame, pairs: DataFrame, order: Broadcast, width: int
     # written first, so that the join with it has shuffles of its own, which may be split
     parts = scratch(pairs.groupBy("a").agg((F.count("*") / PARTNERS + 1).cast("int").alias("parts")))
     part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")
-    needs = pairs.join(parts, "a").select(F.col("b").alias("need"), F.struct("a", part.alias("part")).alias("to"))
+    needs = pairs.join(parts.hint("merge"), "a").select(F.col("b").alias("need"), F.struct("a", part.alias("part")).alias("to"))
     own = parts.select(F.col("a").alias("need"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "a")
     needs = needs.unionAll(own.select("need", F.struct("a", "part").alias("to")))
     wanted = scratch(needs.groupBy("need").agg(F.collect_list("to").alias("to")))  # as many as a class has groups
     rows = _among(texts(documents), wanted.select(F.col("need").alias("doc_id")))
-    rows = rows.join(wanted, F.col("doc_id") == F.col("need")).select("doc_id", "text", "to")
+    # by a merge at every size: what is wanted grows with the table
+    rows = rows.join(wanted.hint("merge"), F.col("doc_id") == F.col("need")).select("doc_id", "text", "to")
 
     def cut(batch: pa.RecordBatch) -> dict:
         sets = [order.value.keys(x) for x in shingle_hashes(raw_texts(batch.column("text")), width)]
@@ -379,13 +380,13 @@ def _still_apart(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     """
     sizes = scratch(members.groupBy("lead").agg((F.count("*") / BLOCK + 1).cast("int").alias("blocks")))
     spread = (
-        members.join(sizes, "lead")
+        members.join(sizes.hint("merge"), "lead")
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
     rows = spread.select(
         "lead", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "component")
     held = _among(sets.where("n > 0").select("doc_id", "n", "rarest"), members.select(F.col("node").alias("doc_id")))
-    rows = rows.join(held.withColumnRenamed("doc_id", "node"), "node")
+    rows = rows.join(held.withColumnRenamed("doc_id", "node").hint("merge"), "node")
 
     def work(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         one, two = key[1].as_py(), key[2].as_py()
@@ -411,7 +412,7 @@ def joined(documents: DataFrame, percent: int = 75, width: int = WIDTH) -> DataF
     sets = scratch(_set_table(documents, order, percent, width))
     held = sets.where("doc_id is not null and n > 0")
     classes = scratch(held.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")))
-    firsts = held.join(classes.withColumnRenamed("rep", "doc_id"), ["n", "d1", "d2", "doc_id"])
+    firsts = held.join(classes.withColumnRenamed("rep", "doc_id").hint("merge"), ["n", "d1", "d2", "doc_id"])
     shown = sets.agg(F.sum(F.length("rarest") / 8).alias("n")).first()["n"] or 0
     buckets = max(16, int(shown) // BUCKET + 1)
     met = scratch(
