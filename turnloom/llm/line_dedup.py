@@ -89,8 +89,9 @@ def removed_lines(documents: DataFrame, min_lines: int = MIN_LINES) -> DataFrame
     """
     levels = intervals(documents, min_lines)
     if not levels:
-        return documents.sparkSession.createDataFrame(
-            [], "doc_id bigint, copy bigint, removed array<int>, longest bigint")
+        return documents.sparkSession.range(0).select(
+            F.col("id").alias("doc_id"), F.col("id").alias("copy"),
+            F.array().cast("array<int>").alias("removed"), F.col("id").alias("longest"))
     rows = reduce(DataFrame.unionAll, [
         places.where("later").select(
             *_KEY, F.col("line") if length == min_lines else F.lit(None).cast("int").alias("line"),
