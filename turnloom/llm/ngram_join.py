@@ -81,8 +81,9 @@ class Order:
 
     @staticmethod
     def of(counts: np.ndarray) -> Order:
-        mean = counts.mean() if len(counts) else 0.0
-        excess = np.maximum(0, counts - np.ceil(mean + 3 * np.sqrt(mean)))
+        # what a slot has beyond the mean tells of frequent shingles; the noise of the rest only
+        # decides which rare shingles come first
+        excess = np.maximum(0, counts - np.ceil(counts.mean()))
         levels = np.minimum(63, np.floor(1.5 * np.log2(1 + excess))).astype(np.uint8)
         most = np.zeros(64)
         np.maximum.at(most, levels, excess)
