@@ -6,6 +6,8 @@ columns and other integer types do not matter. A null text has no words.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -118,8 +120,19 @@ def split_batch(raws: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.nd
     return lists, hashes, starts
 
 
-def arrow_map(rows: DataFrame, work, schema: str, together: int = BATCH_ROWS) -> DataFrame:
-    """mapInArrow with a function from a batch of at most `together` rows to a dict of columns."""
+def give_back() -> None:
+    """Return freed memory to the system, as workers live on from task to task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def arrow_map(rows: DataFrame, work, schema: str, together: int = BATCH_ROWS, done=lambda: None) -> DataFrame:
+    """mapInArrow with a function from a batch of at most `together` rows to a dict of columns.
+
+    `done` is called at the end of each task.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -127,11 +140,12 @@ def arrow_map(rows: DataFrame, work, schema: str, together: int = BATCH_ROWS) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            pa.default_memory_pool().release_unused()  # workers live on from task to task
             for at in range(0, whole.num_rows, together):
                 found = work(whole.slice(at, together))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(found[f.name], f.type) if not isinstance(found[f.name], pa.Array)
                      else found[f.name].cast(f.type) for f in arrow], schema=arrow)
+        done()
+        give_back()
 
     return rows.mapInArrow(run, schema)

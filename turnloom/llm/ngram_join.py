@@ -35,7 +35,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import arrow_map, raw_texts, rolling, scratch, split_batch, texts
+from turnloom.llm.common import arrow_map, give_back, raw_texts, rolling, scratch, split_batch, texts
 from turnloom.llm.components import components
 
 WIDTH = 5
@@ -109,6 +109,7 @@ def count_sketch(documents: DataFrame, width: int = WIDTH) -> np.ndarray:
             zlib.compress(counts[a : a + _BLOCK].astype("<i8").tobytes(), 1) for a in range(0, len(counts), _BLOCK)]
         yield pa.RecordBatch.from_pydict({
             "block": pa.array(range(len(blocks)), pa.int32()), "counts": pa.array(blocks, pa.binary())})
+        give_back()
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(zlib.decompress(x.as_py()), "<i8") for x in table.column("counts"))
@@ -254,7 +255,9 @@ def _meet(order: Broadcast, percent: int):
         return pa.table({k: pa.array(np.concatenate([x.astype(np.int64) for x in v])) for k, v in columns.items()})
 
     def work(table: pa.Table) -> pa.Table:
-        return pa.concat_tables([some(table, part) for part in range(4)])  # a quarter in memory at a time
+        found = pa.concat_tables([some(table, part) for part in range(4)])  # a quarter in memory at a time
+        give_back()
+        return found
 
     return work
 

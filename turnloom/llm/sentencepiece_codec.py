@@ -239,6 +239,11 @@ def _codec(path: str, threads: int) -> Codec:
 _READY: dict[str, Codec] = {}
 
 
+def _forget() -> None:
+    """A task's end: the next one rebuilds its codec in a fraction of a second."""
+    _READY.clear()
+
+
 def encoded(documents: DataFrame, model_path: str, threads: int = 2, with_ids: bool = True) -> DataFrame:
     """Ids of every row's whole text with the digest, parity and round trip of each.
 
@@ -266,4 +271,5 @@ def encoded(documents: DataFrame, model_path: str, threads: int = 2, with_ids: b
                 ends, pa.Array.from_buffers(pa.int32(), flat.size // 4, [None, flat]))
         return out
 
-    return arrow_map(texts(documents), work, SCHEMA + (", ids array<int>" if with_ids else ""))
+    columns = SCHEMA + (", ids array<int>" if with_ids else "")
+    return arrow_map(texts(documents), work, columns, done=_forget)
