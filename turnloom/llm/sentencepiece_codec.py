@@ -31,7 +31,7 @@ from turnloom.llm.common import arrow_map, texts
 
 MARKER = "▁"
 #: Words that a worker remembers with their ids, and rows that it encodes together.
-REMEMBERED, TOGETHER = 1 << 16, 128
+REMEMBERED, TOGETHER = 1 << 15, 32
 # Message numbers of the public model format.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
