@@ -77,6 +77,19 @@ def test_rows_that_share_an_id_are_one_document(spark):
     assert {(r[0], r[2]) for r in found} == {(5, 5), (7, 5), (9, 5), (2, 2)}
 
 
+def test_repeated_rows_count_once(spark):
+    words = [f"s{i}" for i in range(104)]
+    near = [*words[:92], *(f"o{i}" for i in range(12))]  # 88 of 112 shingles are shared
+    far = [*words[:84], *(f"p{i}" for i in range(20))]  # 80 of 120
+    rows = [(1, words), (1, words), (2, near)]
+    found = ngram_join.joined(spark.createDataFrame([(k, " ".join(x)) for k, x in rows], "doc_id bigint, text string")).collect()
+    assert {(r[0], r[2]) for r in found} == {(1, 1), (2, 1)}
+    # the ends stand elsewhere, too, so that all shingles are as frequent and spread evenly
+    rows = [(1, words), (1, words), (2, far), (3, words[80:]), (4, far[80:]), (5, far[80:])]
+    found = ngram_join.joined(spark.createDataFrame([(k, " ".join(x)) for k, x in rows], "doc_id bigint, text string")).collect()
+    assert {(r[0], r[2]) for r in found} == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 4)}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(8, 30)] + [(3, 7), (50, 51), (51, 50), (60, 60)]
     random.Random(1).shuffle(edges)

@@ -308,9 +308,12 @@ def _pieces(documents: DataFrame, pairs: DataFrame, order: Broadcast, width: int
 
 
 def _partial(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Overlap of one class's fragment with that of each partner, and both fragments' sizes."""
+    """Overlap of one class's fragment with that of each partner, and both fragments' sizes.
+
+    A set counts once however many rows have it.
+    """
     a = key[0].as_py()
-    rows = list(zip(*(table.column(x).to_pylist() for x in ("doc_id", "digest", "n", "keys"))))
+    rows = list({x[:2]: x for x in zip(*(table.column(x).to_pylist() for x in ("doc_id", "digest", "n", "keys")))}.values())
     others = [x for x in rows if x[0] != a]
     lengths = np.array([len(x[3]) // 8 for x in others], np.int64)
     values = np.frombuffer(b"".join(x[3] for x in others), "<u8")
