@@ -135,6 +135,25 @@ def test_licences_of_texts():
         assert (found["labels"], found["n_base"]) == (labels, n_base), text
 
 
+def test_every_place_of_a_template_is_a_span():
+    scanner = license_scan.Scanner()
+    isc, mit = license_scan.TEMPLATES["isc"], license_scan.TEMPLATES["mit"]
+    other = " ".join(f"x{i}" for i in range(30))
+    n, m = (len(license_scan.words_of(x.encode())) for x in (isc, mit))
+    for between in (other, "and", ""):
+        gap = len(between.split())
+        found = scanner.scan(f"{isc} {between} {mit} {between} {isc} {between} {isc}".encode())["spans"]
+        assert [(x["label"], x["start"], x["stop"], x["share"]) for x in found] == sorted([
+            ("isc", 0, n, 1.0), ("mit", n + gap, n + gap + m, 1.0), ("isc", n + m + 2 * gap, 2 * n + m + 2 * gap, 1.0),
+            ("isc", 2 * n + m + 3 * gap, 3 * n + m + 3 * gap, 1.0)])
+    notice = "Released under the MIT License. "
+    assert len(scanner.scan((notice * 3000).encode())["spans"]) == 3000
+    # the first place of b lies in a longer chain of a, the second one stands alone
+    both = " ".join(f"w{i}" for i in range(12))
+    scanner = license_scan.Scanner({}, {"a": f"{both} a1 a2 a3 a4", "b": both}, {})
+    assert [x["label"] for x in scanner.scan(f"{both} a1 a2 a3 a4 {other} {both}".encode())["spans"]] == ["a", "b"]
+
+
 # --- SentencePiece ---
 
 TEXTS = st.text(st.characters(codec="utf-8", exclude_characters="▁"), max_size=60) | st.text("ab \n\t.é漢😀<>", max_size=80)

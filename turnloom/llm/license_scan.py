@@ -2,7 +2,8 @@
 
 The automaton holds all templates; a text streams through it word by word and the length of the
 longest template passage that ends at each word is known. Maximal matches are chained, in order
-of both text and template, into spans with the share of the template that they cover.
+of both text and template, into spans with the share of the template that they cover. A text that
+holds a template several times has a span for each place.
 
 Defined cases: a null or empty text has no words, no labels and score 0; rows with equal ids are
 scanned one by one; texts of any length stream in linear time; ties between equally good spans go
@@ -11,6 +12,7 @@ to the template named first in the alphabet.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Mapping
 
 import numpy as np
@@ -152,6 +154,12 @@ class SuffixAutomaton:
         return found
 
 
+def _apart(spans: list[tuple[int, int]], start: int, stop: int) -> bool:
+    """Whether a span overlaps none of these, which are sorted and do not overlap."""
+    at = bisect_left(spans, (start,))
+    return (at == len(spans) or stop <= spans[at][0]) and (at == 0 or spans[at - 1][1] <= start)
+
+
 class Scanner:
     """Phrases and templates as numbers; scans one text at a time."""
 
@@ -188,10 +196,11 @@ class Scanner:
         return found
 
     def spans(self, codes: np.ndarray) -> list[tuple[str, int, int, float]]:
-        """(label, first word, end, covered share of the template) of the best chains.
+        """(label, first word, end, covered share of the template) of all chains that do not overlap.
 
         A chain counts if it covers `least_share` of its template or `least_words` words of it. Of
-        chains that overlap only the one that covers most words stays.
+        chains that overlap the one that covers most words stays; what is left beside it is chained
+        anew, so that every place of a template is found.
         """
         edges = np.flatnonzero(np.diff(np.concatenate([[0], (codes >= 0).view(np.int8), [0]])))
         pieces: dict[int, list[tuple[int, int, int]]] = {}
@@ -200,30 +209,36 @@ class Scanner:
                 for a, b, state in self.automaton.matches(codes[start:end].tolist(), self.least):
                     for template, stop in self.automaton.ends[state]:
                         pieces.setdefault(template, []).append((int(start) + a, int(start) + b, stop))
-        chains = []
-        for template, found in sorted(pieces.items()):
-            found.sort()
-            best: list[tuple[int, int]] = []  # covered tokens and first word of the chain so far
-            for i, (a, b, stop) in enumerate(found):
-                covered, first = b - a, a
-                for j in range(i - 1, -1, -1):
-                    if found[j][0] < a - self.gap - self.sizes[template]:
-                        break
-                    c, d, before = found[j]
-                    fits = d <= a <= d + self.gap and before <= stop - (b - a)
-                    if fits and best[j][0] + b - a > covered:
-                        covered, first = best[j][0] + b - a, best[j][1]
-                best.append((covered, first))
-            top = max(range(len(found)), key=lambda i: (best[i][0], -found[i][0]))
-            share = min(1.0, best[top][0] / self.sizes[template])
-            if share >= self.share or best[top][0] >= self.enough:
-                chains.append((-best[top][0], -share, self.labels[template], best[top][1], found[top][1]))
+        taken: list[tuple[int, int]] = []
         out: list[tuple[str, int, int, float]] = []
-        for _, share, label, start, stop in sorted(chains):
-            if all(stop <= a or b <= start for _, a, b, _ in out):
-                out.append((label, start, stop, -share))
+        while chains := [x for template, found in pieces.items() for x in self._chains(template, sorted(found), taken)]:
+            for _, share, label, start, stop in sorted(chains):
+                if _apart(taken, start, stop):
+                    insort(taken, (start, stop))
+                    out.append((label, start, stop, -share))
+            pieces = {k: [x for x in found if _apart(taken, x[0], x[1])] for k, found in pieces.items()}
         return sorted(out)
 
+    def _chains(self, template: int, found: list[tuple[int, int, int]], taken: list[tuple[int, int]]):
+        """The best chain that ends with each piece and counts; none goes across what is taken."""
+        size, label = self.sizes[template], self.labels[template]
+        best: list[tuple[int, int]] = []  # covered tokens and first word of the chain so far
+        for i, (a, b, stop) in enumerate(found):
+            covered, first = b - a, a
+            at = bisect_left(taken, (a,))
+            wall = taken[at - 1][1] if at else 0
+            for j in range(i - 1, -1, -1):
+                if found[j][0] < max(wall, a - self.gap - size):
+                    break
+                c, d, before = found[j]
+                fits = d <= a <= d + self.gap and before <= stop - (b - a)
+                if fits and best[j][0] + b - a > covered:
+                    covered, first = best[j][0] + b - a, best[j][1]
+            best.append((covered, first))
+            share = min(1.0, covered / size)
+            if share >= self.share or covered >= self.enough:
+                yield -covered, -share, label, first, b
+
     def scan(self, raw: bytes) -> dict:
         words = words_of(raw)
         codes = self.coded(words)
