@@ -96,6 +96,26 @@ def test_pages_by_their_elements():
     assert html_extract.extract(list(PAGES), None) == [PAGES[p] if PAGES[p] else "" for p in PAGES]
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<article><p>a <svg viewBox='0 0 1 1'/> b</p><p>c</p></article>", "a b c"),
+    ("<article><p>a <svg width=1 hidden/> b</p><svg/><p>c</p></article>", "a b c"),
+    ("<article>a <svg><title>t</title><style/><g><path d='M0'/><text>no</text></g></svg> b</article>", "a b"),
+    ("<article><datalist id=x><option value=1><option value=2></datalist><p>b</p></article><p>c", "b c"),
+    ("<article><select><optgroup label=g><option>no<option>no</select><p>b</p></article>", "b"),
+    ("<article><select><option>no<p>b</p></article><p>c</p>", "b c"),
+    ("<div><option>no</div><p>b</p>", "b"),
+    ("<option>no<p>b</p>", "b"),
+    ("<p>a</p><svg><path><p>b</p></svg><p>c</p>", "a b c"),
+    ("<svg><p>b</p><object data=x>c <template>d", "b c d"),
+    ("<article><p>a</p><template><div><p>no</p></div></template><noscript><p>no</p></noscript><p>b</p></article>", "a b"),
+    ("<p>a <svg><foreignObject><div>no</div></foreignObject></svg> b</p>", "a b"),
+    ("<article><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p></article>", "so x=1 holds"),
+    ("<div><template>no</div><p>b</p><template>no</template>c", "b c"),
+])
+def test_text_after_side_elements_stays(page, text):
+    assert html_extract.extract([page], None) == [text]
+
+
 def test_trained_labeller_reads_renamed_pages(spark, sf_dir):
     labeller = html_extract.train_from(queries.table(spark, sf_dir, "pages"))
     pages = [r["html"] for r in queries.table(spark, sf_dir, "pages").select("html").collect()]

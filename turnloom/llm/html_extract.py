@@ -7,6 +7,10 @@ light of the whole page. The network is trained here, on the driver, from a boun
 pages: where a page says by its elements what is main text, that is the label; copies of these
 pages with renamed elements and added notices, forms and comments teach it to use the rest.
 
+Scripts, styles, frames and fields are read up to their end tag. The text of drawings, templates,
+replacements (noscript, object) and choices is left out as a side up to the end of the element, which
+a slash, the next option or the end of an element around it may be; formulas are text.
+
 Defined cases: a null page is an empty one; a page without main text gives the empty text; broken
 markup is read as far as it goes; rows with equal ids are read one by one; without pages to learn
 from, the elements alone decide.
@@ -35,9 +39,15 @@ SAMPLE_PAGES, SAMPLE_CHARS = 240, 50_000
 # Element names by the way they are read.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike "
-    "strong sub sup time tt u var wbr".split())
+    "strong sub sup time tt u var wbr math annotation annotation-xml maction menclose merror mfenced mfrac mi "
+    "mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable "
+    "mtd mtext mtr munder munderover none semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe object svg math select option".split())
+RAW = frozenset("script style textarea title iframe".split())
+#: Elements whose text is a side that is not shown as part of the text around; blocks go on across them.
+ASIDE = frozenset("svg template noscript object select datalist optgroup option".split())
+#: Elements that end an open drawing or choice, which cannot hold them.
+BREAKS = frozenset("article blockquote div dl dt dd h1 h2 h3 h4 h5 h6 li main ol p pre section table ul".split())
 SIDE = frozenset("nav header footer aside form menu dialog button fieldset figure".split())
 SIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies "
@@ -49,6 +59,7 @@ MAIN_WORDS = frozenset("article content entry main post story text body-text".sp
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
     r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)""", re.S)
+_EMPTY = re.compile(r"""(?<![^\s"'])/\s*\Z|(?:\A|\s)[^\s"'=/]+/\s*\Z""")  # a slash that is not in a bare value
 _NAMED = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+|[0-9]+")
 
@@ -68,6 +79,14 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     linked = links = 0
     at, lower = 0, None
+    lasts: dict[str, int] = {}
+    hidden = -1  # place in the stack of the outermost element whose text is left out
+
+    def last_end(name: str) -> int:
+        """Where the last end tag of this name begins."""
+        if name not in lasts:
+            lasts[name] = max((x.start() for x in re.finditer(f"</{name}(?![a-z0-9:-])", page, re.I)), default=-1)
+        return lasts[name]
 
     def close() -> None:
         nonlocal linked
@@ -79,7 +98,7 @@ def blocks(page: str) -> list[Block]:
         linked = 0
 
     while (tag := _TAG.search(page, at)) is not None:
-        if tag.start() > at:
+        if tag.start() > at and hidden < 0:
             parts.append(page[at : tag.start()])
             linked += (tag.start() - at) * (links > 0)
         at = tag.end()
@@ -87,8 +106,39 @@ def blocks(page: str) -> list[Block]:
         if not name:
             continue
         closing = bool(tag[1] or tag[4])
+        drawn = hidden >= 0 and any(x == "svg" for x, _ in stack[hidden:])
+        empty = not closing and (drawn or name in ASIDE) and _EMPTY.search(tag[3] or tag[6] or "") is not None
+        if hidden >= 0:
+            kind = stack[hidden][0]
+            if closing and name not in INLINE:
+                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+                if depth is not None and depth < hidden:  # the end of an element around it
+                    del stack[hidden:]
+                    hidden = -1
+            elif not closing and name in BREAKS and kind not in ("template", "noscript", "object"):
+                if not any(x == "foreignobject" for x, _ in stack[hidden:]):
+                    del stack[hidden:]
+                    hidden = -1
+        if empty:
+            continue
         if name == "br":
             parts.append(" ")
+        elif hidden >= 0 and name not in RAW:
+            if closing:
+                depth = next((i for i in range(len(stack) - 1, hidden - 1, -1) if stack[i][0] == name), None)
+                if depth is not None:
+                    del stack[depth:]
+                    hidden = hidden if depth > hidden else -1
+            elif name not in VOID and name not in INLINE:
+                if name in ("option", "optgroup") and stack[-1][0] == "option":
+                    stack.pop()
+                    hidden = hidden if len(stack) > hidden else len(stack)
+                stack.append((name, ()))
+        elif name in ASIDE:
+            # without any end tag only an option, which may do without one, hides what follows
+            if not closing and (name in ("option", "optgroup") or last_end(name) >= at):
+                hidden = len(stack)
+                stack.append((name, ()))
         elif name in RAW:
             if not closing:
                 lower = page.lower() if lower is None else lower
@@ -112,7 +162,7 @@ def blocks(page: str) -> list[Block]:
                 named = " ".join(next(filter(None, x), "") for x in _NAMED.findall(attributes)) if "=" in attributes else ""
                 stack.append((name, (f"<{name}", *_PART.findall(named))))
             path = tuple(word for _, words in stack for word in words)
-    if at < len(page):
+    if at < len(page) and hidden < 0:
         parts.append(page[at:])
     close()
     return found
