@@ -204,3 +204,18 @@ def test_decontamination_finds_all_that_is_similar(spark):
     assert found <= wanted and len(found) >= 0.98 * len(wanted) > 30
     left = {r[0] for r in decontaminate.decontaminated(frame(spark, docs), bench).collect()}
     assert left == set(range(120)) - {i for i, _ in found}
+
+
+def test_blocks_of_the_benchmark_change_no_similarity(spark, monkeypatch):
+    draw = random.Random(6)
+    words = [f"v{i}" for i in range(300)]
+    common = [draw.choice(words) for _ in range(15)]
+    items = [[*common, *(draw.choice(words) for _ in range(25))] for _ in range(30)]
+    docs = [" ".join([*items[i][:-3], *(draw.choice(words) for _ in range(9))]) for i in range(30)]
+    bench = spark.createDataFrame([*((i, " ".join(x)) for i, x in enumerate(items)), (90, " ")], "item_id bigint, text string")
+    whole = sorted(tuple(r) for r in decontaminate.contaminated(frame(spark, docs), bench).collect())
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 400)
+    assert len(list(decontaminate.indexes(bench))) > 2
+    found = sorted(tuple(r) for r in decontaminate.contaminated(frame(spark, docs), bench).collect())
+    assert [x[:2] + x[3:] for x in found] == [x[:2] + x[3:] for x in whole] and len(whole) >= 20
+    assert [x[2] for x in found] == pytest.approx([x[2] for x in whole], abs=1e-12)

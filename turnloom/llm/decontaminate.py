@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import arrow_map, raw_texts, rolling, small_batches, split_batch, texts
+from turnloom.llm.common import arrow_map, raw_texts, rolling, scratch, small_batches, split_batch, texts
 
 SIMILARITY = 0.75
 SHINGLE = 5
@@ -131,17 +131,22 @@ class Item:
 
 
 class Index:
-    """Fingerprints and shingles of a block of benchmark items."""
+    """Fingerprints and shingles of a block of benchmark items.
 
-    def __init__(self, items: list[tuple[int | None, bytes]]):
+    `total` items of the whole benchmark have words, and `often` tells how many of them have each of
+    the block's shingles, if more than one has; without them the block is the whole benchmark.
+    """
+
+    def __init__(self, items: list[tuple[int | None, bytes]], total: int | None = None, often: dict[int, int] | None = None):
         self.items = []
         for item_id, raw in items:
             _, hashes, _ = split_batch([raw.lower()])
             if len(hashes):
                 self.items.append(Item(item_id, hashes, Counter(shingles(hashes).tolist())))
         shown = Counter(k for item in self.items for k in item.shingles)
-        self.usual = float(np.log1p(max(1, len(self.items))))
-        self.weights = {k: float(np.log1p(len(self.items) / n)) for k, n in shown.items() if n > 1}
+        total, often = (len(self.items), shown) if often is None else (total, often)
+        self.usual = float(np.log1p(max(1, total)))
+        self.weights = {k: float(np.log1p(total / n)) for k, n in often.items() if n > 1}
         self.known = np.sort(np.fromiter(shown, np.uint64, len(shown)))
         self.classes: dict[int, tuple[Blocks, np.ndarray, np.ndarray]] = {}
         found: dict[int, list] = {}
@@ -216,16 +221,38 @@ class Index:
         return out
 
 
+def _frequencies(items: DataFrame) -> tuple[int, DataFrame]:
+    """How many items have words, and of each block's shingles that several items have, how many."""
+    def work(batch: pa.RecordBatch) -> dict:
+        found = {"block": batch.column("block"), "shingles": []}
+        for raw in raw_texts(batch.column("text")):
+            _, hashes, _ = split_batch([raw.lower()])
+            found["shingles"].append(np.unique(shingles(hashes)).view(np.int64) if len(hashes) else [])
+        return found
+
+    small_batches(items.sparkSession)
+    sets = scratch(arrow_map(items.select("block", "text"), work, "block bigint, shingles array<bigint>"))
+    own = scratch(sets.select("block", F.explode("shingles").alias("shingle")).groupBy("block", "shingle").agg(F.count("*").alias("n")))
+    often = own.groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1")
+    return sets.where("size(shingles) > 0").count(), scratch(own.drop("n").join(often, "shingle"))
+
+
 def indexes(benchmark: DataFrame):
-    """The benchmark in blocks of about BLOCK_WORDS words, one after another."""
+    """The benchmark in blocks of about BLOCK_WORDS words, one after another.
+
+    Shingles weigh by the items of all blocks, so the blocks' number changes no similarity.
+    """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = items.where("text is not null")
     words = items.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first()["n"] or 0
     blocks = words // BLOCK_WORDS + 1
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    total, often = _frequencies(items) if blocks > 1 else (None, None)  # one block knows all items
     for block in range(blocks):
-        rows = items.where(part == block).orderBy("item_id", "text").collect()
-        yield Index([(r["item_id"], r["text"].encode()) for r in rows])
+        rows = items.where(F.col("block") == block).orderBy("item_id", "text").collect()
+        counts = None if often is None else {
+            r["shingle"] % (1 << 64): r["n"] for r in often.where(F.col("block") == block).collect()}
+        yield Index([(r["item_id"], r["text"].encode()) for r in rows], total, counts)
 
 
 SCHEMA = "doc_id bigint, item_id bigint, similarity double, start_word bigint, n_words bigint"
