@@ -219,3 +219,14 @@ def test_blocks_of_the_benchmark_change_no_similarity(spark, monkeypatch):
     found = sorted(tuple(r) for r in decontaminate.contaminated(frame(spark, docs), bench).collect())
     assert [x[:2] + x[3:] for x in found] == [x[:2] + x[3:] for x in whole] and len(whole) >= 20
     assert [x[2] for x in found] == pytest.approx([x[2] for x in whole], abs=1e-12)
+
+
+def test_rows_before_a_text_do_not_matter():
+    draw = random.Random(8)
+    words = [f"v{i}" for i in range(300)]
+    items = [[draw.choice(words) for _ in range(draw.randrange(20, 60))] for _ in range(30)]
+    index = decontaminate.Index([(i, " ".join(x).encode()) for i, x in enumerate(items)])
+    docs = [" ".join([*(draw.choice(words) for _ in range(i % 9)), *noisy(draw, item, 0.15)]).encode() for i, item in enumerate(items * 8)]
+    alone = [index.batch([x], 0.2)[0] for x in docs]
+    assert index.batch(docs, 0.2) == alone and sum(map(bool, alone)) > 50
+    assert all(index.batch([b" ".join([b"x"] * k), *docs], 0.2)[1:] == alone for k in range(1, 17))

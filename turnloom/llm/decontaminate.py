@@ -65,7 +65,19 @@ def offsets_of(n_words: int, size: int) -> np.ndarray:
 
 def fingerprints(sums: np.ndarray, size: int, step: int) -> np.ndarray:
     """SimHash of each window of `size` words, every `step` words: majority of each bit."""
-    counts = sums[:, size::step] - sums[:, : sums.shape[1] - size : step]
+    return majority(sums[:, size::step] - sums[:, : sums.shape[1] - size : step], size)
+
+
+def windows_of(starts: np.ndarray, size: int) -> np.ndarray:
+    """First words of the windows, every step from each text's first word, that lie inside a text."""
+    step = step_of(size)
+    counts = np.maximum(0, (np.diff(starts) - size) // step + 1)
+    firsts = np.cumsum(counts) - counts
+    return np.repeat(starts[:-1], counts) + step * (np.arange(counts.sum()) - np.repeat(firsts, counts))
+
+
+def majority(counts: np.ndarray, size: int) -> np.ndarray:
+    """One number of 64 bits of each window's counts."""
     lanes = np.ascontiguousarray(counts.T).view(np.uint8)
     return np.packbits(lanes > size // 2, axis=1, bitorder="little").view(np.uint64).ravel()
 
@@ -159,20 +171,24 @@ class Index:
             prints, owners, places = (np.concatenate(x) for x in zip(*parts))
             self.classes[size] = (Blocks(prints), owners, places)
 
-    def candidates(self, hashes: np.ndarray) -> np.ndarray:
-        """Rows (window, item number, place where the item would start), of windows near an item's."""
+    def candidates(self, hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Rows (window, item number, place where the item would start), of windows near an item's.
+
+        The texts stand in a row; each has its own grid of windows from its first word on.
+        """
         found = [np.empty((0, 3), np.int64)]
         most = max(self.classes, default=0)
+        grids = {size: windows_of(starts, size) for size in self.classes}
         for at in range(0, len(hashes) if most else 0, _PIECE):
-            piece = hashes[at : at + _PIECE + most - 1]
-            sums = bit_sums(piece)
+            sums = bit_sums(hashes[at : at + _PIECE + most - 1])
             for size, (blocks, owners, places) in self.classes.items():
-                step = step_of(size)
-                shift = -at % step
-                if len(piece) - shift < size:
+                lo, hi = np.searchsorted(grids[size], [at, at + _PIECE])
+                window = grids[size][lo:hi]
+                if not len(window):
                     continue
-                query, value = blocks.near(fingerprints(sums[:, shift:], size, step))
-                window = at + shift + query * step
+                inside = window - at
+                query, value = blocks.near(majority(sums[:, inside + size] - sums[:, inside], size))
+                window = window[query]
                 found.append(np.stack([window, owners[value], window - places[value]], axis=1))
         return np.concatenate(found)
 
@@ -209,7 +225,7 @@ class Index:
     def batch(self, raws: list[bytes], least: float) -> list[dict[int, tuple[float, int]]]:
         """Items that each text holds; the texts are fingerprinted in one row."""
         _, hashes, starts = split_batch([raw.lower() for raw in raws])
-        rows = self.candidates(hashes)
+        rows = self.candidates(hashes, starts)
         text = np.searchsorted(starts, rows[:, 0], "right") - 1
         rows = np.unique(np.stack([text, rows[:, 1], rows[:, 2] - starts[text]], axis=1), axis=0)
         out: list[dict[int, tuple[float, int]]] = [{} for _ in raws]
