@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.llm import (
-    chat_format, decontaminate, html_extract, license_scan, line_dedup, ngram_join, quality_classifier, quality_rules, sentencepiece_codec,
-    substring_dedup)
-from turnloom.llm.sql import CHAT_SQL, JACCARD_SQL, LINE_SQL, SUBSTRING_SQL
+    chat_format, decontaminate, html_extract, license_scan, line_dedup, merkle_manifest, ngram_join, quality_classifier,
+    quality_rules, sentencepiece_codec, substring_dedup)
+from turnloom.llm.sql import CHAT_SQL, JACCARD_SQL, LINE_SQL, MERKLE_SQL, SUBSTRING_SQL
 
 #: Places of the tokenizer model; the first one that is set or installed is taken.
 MODEL_SETTING = "TURNLOOM_PIECE_MODEL"
@@ -83,6 +83,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sentencepiece": op2_sentencepiece,
@@ -94,7 +99,9 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_chat_format": op9_chat_format,
     "op10_line_dedup": op10_line_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 CHECKS: dict[str, str] = {
-    "op3_substring_dedup": SUBSTRING_SQL, "op7_ngram_join": JACCARD_SQL, "op9_chat_format": CHAT_SQL, "op10_line_dedup": LINE_SQL}
+    "op3_substring_dedup": SUBSTRING_SQL, "op7_ngram_join": JACCARD_SQL, "op9_chat_format": CHAT_SQL, "op10_line_dedup": LINE_SQL,
+    "op13_merkle_manifest": MERKLE_SQL}

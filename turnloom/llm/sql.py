@@ -122,3 +122,73 @@ found AS (SELECT node, min(other) AS component FROM reached GROUP BY node)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id
 FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN found ON node = d.doc_id
 """
+
+#: Unsigned crc32 of an integer's decimal digits, bit by bit.
+CRC_SQL = """xor(4294967295, list_reduce(
+  list_prepend(4294967295::BIGINT, list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+    lambda x, i: xor(x >> 1, (x & 1) * 3988292384))))"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({value} AS VARCHAR)) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(x) for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _tree(name: str, leaves: str) -> str:
+    return f"""
+{name} AS (
+  SELECT tree, 0 AS level, place, digest, total FROM {leaves}
+  UNION ALL
+  SELECT tree, level + 1, place // 8, sha256(string_agg(digest, '' ORDER BY place)), (total + 7) // 8
+  FROM {name} WHERE total > 1 GROUP BY tree, level, place // 8, total)"""
+
+
+def _runs(name: str, nodes: str) -> str:
+    """Siblings before and after each node of its run."""
+    return f"""
+{name} AS (
+  SELECT tree, level, place,
+    coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+    coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM {nodes} WHERE total > 1 WINDOW w AS (PARTITION BY tree, level, place // 8 ORDER BY place))"""
+
+
+MERKLE_SQL = f"""
+WITH RECURSIVE given AS (
+  SELECT doc_id, coalesce('v' || lang, 'n') AS tree, {_leaf('text')} AS digest,
+    CASE WHEN {CRC_SQL.format('doc_id')} % 3 = 0
+      THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS struck
+  FROM documents),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest) - 1 AS place,
+    count(*) OVER (PARTITION BY tree) AS total FROM given),{_tree('nodes', 'leaves')},
+tops AS (
+  SELECT '' AS tree, tree AS name, row_number() OVER (ORDER BY tree) - 1 AS place, digest, count(*) OVER () AS total
+  FROM nodes WHERE total = 1),{_tree('uppers', 'tops')},{_runs('runs', 'nodes')},{_runs('upper_runs', 'uppers')},
+folded AS (
+  SELECT doc_id, l.tree, l.place AS leaf_place, 0 AS step, l.place AS at, coalesce(struck, digest) AS digest, '' AS proof, false AS over
+  FROM leaves l
+  UNION ALL
+  SELECT f.doc_id, f.tree, f.leaf_place, CASE WHEN r.tree IS NULL AND NOT f.over THEN 0 ELSE f.step + 1 END,
+    CASE WHEN r.tree IS NOT NULL THEN f.at // 8 WHEN NOT f.over THEN t.place ELSE f.at // 8 END,
+    CASE WHEN r.tree IS NOT NULL THEN sha256(r.before || f.digest || r.after) WHEN NOT f.over THEN f.digest
+      ELSE sha256(u.before || f.digest || u.after) END,
+    CASE WHEN r.tree IS NOT NULL THEN f.proof || r.before || r.after WHEN NOT f.over THEN f.proof
+      ELSE f.proof || u.before || u.after END,
+    r.tree IS NULL
+  FROM folded f
+  LEFT JOIN runs r ON NOT f.over AND r.tree = f.tree AND r.level = f.step AND r.place = f.at
+  LEFT JOIN tops t ON t.name = f.tree
+  LEFT JOIN upper_runs u ON f.over AND u.level = f.step AND u.place = f.at
+  WHERE r.tree IS NOT NULL OR NOT f.over OR u.tree IS NOT NULL),
+ends AS (
+  SELECT tree, leaf_place, arg_max(digest, step) AS digest, arg_max(proof, step) AS proof
+  FROM folded WHERE over GROUP BY tree, leaf_place)
+SELECT l.doc_id, l.digest AS leaf, t.digest AS subroot, (SELECT digest FROM uppers WHERE total = 1) AS root,
+  sha256(e.proof) AS proof_sha256, e.digest AS folded_root, e.digest = (SELECT digest FROM uppers WHERE total = 1) AS verified
+FROM leaves l JOIN tops t ON t.name = l.tree JOIN ends e ON e.tree = l.tree AND e.leaf_place = l.place
+"""
