@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from turnloom.llm import (
     chat_format, decontaminate, html_extract, license_scan, line_dedup, merkle_manifest, ngram_join, quality_classifier,
-    quality_rules, sentencepiece_codec, substring_dedup)
+    quality_rules, sentencepiece_codec, substring_dedup, toxicity, whitening)
 from turnloom.llm.sql import CHAT_SQL, JACCARD_SQL, LINE_SQL, MERKLE_SQL, SUBSTRING_SQL
 
 #: Places of the tokenizer model; the first one that is set or installed is taken.
@@ -83,6 +83,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.scored(documents, toxicity.train_from(documents, table(spark, sf_dir, "labels")))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.manifest(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
@@ -99,6 +108,8 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_chat_format": op9_chat_format,
     "op10_line_dedup": op10_line_dedup,
+    "op11_whitening": op11_whitening,
+    "op12_toxicity": op12_toxicity,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
