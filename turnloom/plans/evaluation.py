@@ -25,12 +25,10 @@ def prepare_choice_data(
     have its digest; with ``landed_anew``, freezing the data again must give the same manifest.
     """
     digests = files.file_digests(spark, data_path)
-    data = files.read_json_document(spark, data_path, schemas.CHOICE_DATA)
-    items = choice.explode_items(data)
+    source, items = files.read_choice_items(spark, data_path)
     rebuilt = choice.freeze_manifest(items.filter(F.col("subject").isin(*subjects)), shots)
     header_path = f"{manifest_path}/header.json"
     if not files.exists(spark, manifest_path):
-        source = data.select("dataset", "revision").first()
         header = {
             "dataset": source["dataset"], "revision": source["revision"], "split": choice.TEST,
             "shots": shots, "data_sha256": digests.first()["sha256"]}

@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 from turnloom import schemas
 from turnloom.functions.text import is_blank
 from turnloom.operators.validate import guard
+from turnloom.session import settle
+from turnloom.sources.json_elements import json_elements, outlines
 
 _PIECE = 8 << 20
 SOURCE_ORDER = ("source_file", "source_block", "source_row")
@@ -24,17 +26,46 @@ SOURCE_ORDER = ("source_file", "source_block", "source_row")
 def read_episodes(spark: SparkSession, path: str) -> DataFrame:
     """Episodes of JSON array documents; ``episode_id`` goes on from file to file, by file name.
 
-    A document is one JSON value, so it is read in one task; :func:`read_episode_lines` splits.
+    A document of any size is read by many tasks; one that is not an array of objects fails the read.
     """
-    documents = spark.read.text(path, wholetext=True).select(
-        F.from_json("value", T.ArrayType(schemas.EPISODE), {"mode": "FAILFAST"}).alias("_all"),
-        F.col("_metadata.file_path").alias("_file"))
+    elements, gaps = json_elements(spark, path, 1)
+    outline = settle(guard(
+        outlines(gaps), F.col("outline").rlike(r'^\s*\[\s*("0:\d+")?\s*\]\s*$'),
+        F.concat(F.lit("not an array of objects: "), F.col("file"))))
+    count = F.coalesce(F.try_to_number(F.regexp_extract("outline", r":(\d+)", 1), F.lit("999999999999")).cast("long"), F.lit(0))
     # one row per file
-    earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = documents.select("_file", F.size("_all").cast("long").alias("_n")).withColumn(
-        "_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    return documents.join(offsets, "_file").select("_offset", F.posexplode("_all").alias("_place", "_e")).select(
-        (F.col("_offset") + F.col("_place")).alias("episode_id"), "_e.*")
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = settle(outline.select("file", F.coalesce(F.sum(count).over(earlier), F.lit(0)).alias("_offset")))
+    return elements.join(offsets, "file").select(
+        (F.col("_offset") + F.col("element")).alias("episode_id"),
+        F.from_json("value", schemas.EPISODE, {"mode": "FAILFAST"}).alias("_e")).select("episode_id", "_e.*")
+
+
+def read_choice_items(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
+    """Settings and item frame of one choice-data document, whose questions are read by many tasks.
+
+    What is left without the questions must fit the driver: a few texts per subject.
+    """
+    elements, gaps = json_elements(spark, path, 4)
+    found = outlines(gaps).limit(2).collect()
+    if len(found) != 1:
+        raise ValueError(f"{path} must be one document")
+    document = json.loads(found[0]["outline"])
+    runs = []
+    for subject in document["subjects"]:
+        for split in ("dev", "test"):
+            for run in subject.get(split) or []:
+                first, last = map(int, run.split(":"))
+                runs.append((subject["subject"], split, first, last))
+    schema = "subject string, split string, _first long, _last long"
+    placed = elements.join(
+        F.broadcast(spark.createDataFrame(runs, schema)),  # two rows a subject
+        (F.col("element") >= F.col("_first")) & (F.col("element") < F.col("_last")))
+    items = placed.select(
+        "subject", "split", (F.col("element") - F.col("_first")).cast("int").alias("idx"),
+        F.from_json("value", schemas.QUESTION, {"mode": "FAILFAST"}).alias("_q"))
+    header = {name: value for name, value in document.items() if name != "subjects"}
+    return header, items.select("subject", "split", "idx", "_q.question", "_q.choices", "_q.answer")
 
 
 def read_episode_lines(spark: SparkSession, path: str) -> DataFrame:
