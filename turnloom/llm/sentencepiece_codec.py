@@ -5,8 +5,8 @@ merges (BPE, ordered by score) and byte fallback are rebuilt from it. Batches ar
 library's threads, and all that is encoded is compared with the sentencepiece library.
 
 Where no piece goes on after a word's end, texts are cut there, which changes no id in either
-library; the words of a batch that the worker has not met lately are encoded, and compared,
-together, so a text of any length is encoded in small steps. Other models encode and compare whole
+library; the words of a batch that the worker does not remember are encoded, and compared, together.
+What it remembers, over all its tasks, is bounded in bytes. Other models encode and compare whole
 texts.
 
 Defined cases: a null text has no ids and decodes to the empty text; rows with equal ids are
@@ -20,6 +20,7 @@ import hashlib
 import os
 import re
 import struct
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import accumulate, chain
 
@@ -30,8 +31,9 @@ from pyspark.sql import DataFrame
 from turnloom.llm.common import arrow_map, texts
 
 MARKER = "▁"
-#: Words that a worker remembers with their ids, and rows that it encodes together.
-REMEMBERED, TOGETHER = 1 << 15, 32
+#: Bytes of words with their ids that a worker remembers in each of two halves, and what it encodes together.
+REMEMBERED_BYTES, TOGETHER, TOGETHER_CHARS = 96 << 20, 256, 1 << 20
+_ENTRY = 180  # bytes of a remembered word besides its characters and ids
 # Message numbers of the public model format.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -158,6 +160,7 @@ class Codec:
         self.words = re.compile(f"\n|{MARKER}*[^{MARKER}\n]+|{MARKER}+")
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = 0  # bytes of the newer half, about
         self.unlike: set[str] = set()
         self.bytes = [self._shown(piece, kind) for piece, _, kind in self.model.pieces]
         self.source = sentencepiece.SentencePieceProcessor(model_proto=data)
@@ -180,12 +183,12 @@ class Codec:
 
     def learn(self, words: set[str]) -> None:
         """Encode the words that are not remembered, all together."""
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
+        if self.held > REMEMBERED_BYTES:
+            self.known, self.older, self.held = {}, self.known, 0
         fresh = []
         for word in words - self.known.keys():
             if word in self.older:
-                self.known[word] = self.older[word]
+                self._keep(word, self.older[word])
             else:
                 fresh.append(word)
         # after a line end, which ends words, the source library gives a word's ids in any text
@@ -194,7 +197,11 @@ class Codec:
             ids = x.ids
             if y != self.opening + ids:
                 self.unlike.add(word)
-            self.known[word] = struct.pack(f"<{len(ids)}i", *ids)
+            self._keep(word, struct.pack(f"<{len(ids)}i", *ids))
+
+    def _keep(self, word: str, ids: bytes) -> None:
+        self.known[word] = ids
+        self.held += _ENTRY + (len(word) if word.isascii() else 4 * len(word)) + len(ids)
 
     def encode(self, batch: list[str]) -> list[tuple[bytes, bool]]:
         """Packed ids of each text, and whether they are the source library's."""
@@ -240,8 +247,21 @@ _READY: dict[str, Codec] = {}
 
 
 def _forget() -> None:
-    """A task's end: the next one rebuilds its codec in a fraction of a second."""
-    _READY.clear()
+    """A task's end: the codec stays for the worker's next task, the older half of its words goes."""
+    for codec in _READY.values():
+        codec.older = {}
+
+
+def _slices(given: list[str]) -> Iterator[list[str]]:
+    """Texts in turn, few or short enough to be encoded together; a longer one alone."""
+    first, size = 0, 0
+    for i, text in enumerate(given):
+        if i > first and (i - first == TOGETHER or size + len(text) > TOGETHER_CHARS):
+            yield given[first:i]
+            first, size = i, 0
+        size += len(text)
+    if first < len(given):
+        yield given[first:]
 
 
 def encoded(documents: DataFrame, model_path: str, threads: int = 2, with_ids: bool = True) -> DataFrame:
@@ -261,7 +281,7 @@ def encoded(documents: DataFrame, model_path: str, threads: int = 2, with_ids: b
     def work(batch: pa.RecordBatch) -> dict:
         codec = _codec(model_path, threads)
         given = [x or "" for x in batch.column("text").to_pylist()]
-        rows = [row for at in range(0, len(given), TOGETHER) for row in some(codec, given[at : at + TOGETHER])]
+        rows = [row for part in _slices(given) for row in some(codec, part)]
         names = ("n_tokens", "ids_sha256", "parity", "round_trip", "decoded_chars")
         out = {"doc_id": batch.column("doc_id")} | {name: [row[i] for row in rows] for i, name in enumerate(names)}
         if with_ids:
