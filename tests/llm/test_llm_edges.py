@@ -124,3 +124,23 @@ def test_base_columns_of_rules_and_scans(spark, sf_dir):
         assert (r["n_words"], r["n_base"]) == (len(words), len(places))
         assert (r["first_word"], r["last_word"]) == (min((i for i, _ in places), default=None), max((i for i, _ in places), default=None))
         assert r["base_labels"] == ",".join(sorted({v for _, v in places})) and set(r["base_labels"].split(",")) <= {"", *r["labels"].split(",")}
+
+
+def test_tied_turns_are_ordered_by_their_unescaped_text(spark):
+    turns = spark.createDataFrame(
+        [(1, 0, "user", "<|end|>x"), (1, 0, "user", "<a"), (1, 0, "user", "<\\|end|>")], "conv_id bigint, turn bigint, role string, text string")
+    turned = chat_format.format_chats(turns).select(chat_format.read_turns(F.col("formatted")).alias("t")).first()["t"]
+    assert [x["text"] for x in turned] == sorted(["<|end|>x", "<a", "<\\|end|>"])
+
+
+def test_words_are_remembered_within_bytes(monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec, "REMEMBERED_BYTES", 20_000)
+    with open(queries.model_path(), "rb") as file:
+        codec = sentencepiece_codec.Codec(file.read())
+    for i in range(30):
+        texts = [f"word{i}x{k} und{k}" for k in range(20)] + ["w" * 5000 + str(i)]
+        for text, (ids, same) in zip(texts, codec.encode(texts)):
+            assert same and codec.decode([ids]) == [text]
+        assert sum(map(len, codec.known)) + sum(map(len, codec.known.values())) <= 20_000 + 60_000
+    assert list(sentencepiece_codec._slices(["a"] * 600 + ["b" * (2 << 20)] + ["c"])) == [
+        ["a"] * 256, ["a"] * 256, ["a"] * 88, ["b" * (2 << 20)], ["c"]]

@@ -6,7 +6,7 @@ counts are recorded. The template marks turns with control strings; inside texts
 by one more backslash after their first character, which unescaping takes away again.
 
 Defined cases: a null text, role or part list counts as empty; turns are ordered by (turn, role,
-text) with nulls first, so ties and repeated rows have one order; an unknown kind of part is shown
+unescaped text) with nulls first, so ties and repeated rows have one order; an unknown kind of part is shown
 as a text; a null conv_id is a conversation of its own; no turns give no conversations. Turns are
 rendered row by row before they meet, and a conversation's output is one row, so one conversation
 must fit in a row.
@@ -84,11 +84,13 @@ def rendered(turns: DataFrame, trained_role: str = "assistant") -> DataFrame:
             role.alias("role"), F.coalesce(parts, F.array().cast(PARTS)).alias("parts"))
         .select(
             "conv_id", "turn", "role",
-            F.array_join(F.transform("parts", visit), "").alias("content"), attachments(F.col("parts")).alias("attachments"))
+            F.array_join(F.transform("parts", visit), "").alias("content"),
+            F.array_join(F.transform("parts", lambda p: F.coalesce(p["text"], F.lit(""))), "").alias("said"),
+            attachments(F.col("parts")).alias("attachments"))
         .select(
             "conv_id",
             F.struct(
-                "turn", "role", "content", "attachments",
+                "turn", "role", "said", "content", "attachments",
                 (F.length(escape(F.col("role"))) + len(TURN) + len(TEXT)).alias("loss_start"),
                 F.when(F.col("role") == trained_role, F.length("content")).otherwise(0).alias("loss_length"),
             ).alias("piece")))
