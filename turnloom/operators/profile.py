@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from turnloom import fixed
 from turnloom.functions import text
-from turnloom.operators.ordered import weighted_positions
-from turnloom.session import settle
+from turnloom.operators.selection import order_statistics
 
 
 def _point_name(p: float) -> str:
@@ -21,25 +20,12 @@ def truncated_index_profile(
     rows: DataFrame, keys: Sequence[str], value: Column,
     points: Sequence[float] = fixed.PROFILE_POINTS,
 ) -> DataFrame:
-    """Per group: rows, min, max and ``sorted[int(n * p)]`` for every point.
-
-    Works on the histogram of values, so a group of any size contributes one row
-    per distinct value.
-    """
-    counts = rows.groupBy(*keys, value.alias("_value")).agg(F.count(F.lit(1)).alias("_count"))
-    placed = weighted_positions(counts, keys, "_value", "_count")
-    # one row per group, settled so that a hot group's side of the join may be split
-    sizes = settle(counts.groupBy(*keys).agg(F.sum("_count").alias("_n")))
-    sized = placed.join(sizes, list(keys)) if keys else placed.withColumn("_n", sizes.scalar())
-
-    def at(p: float) -> Column:
-        wanted = (F.col("_n").cast("double") * F.lit(float(p))).cast("long")
-        here = (F.col("before") <= wanted) & (wanted < F.col("before") + F.col("_count"))
-        return F.max(F.when(here, F.col("_value"))).alias(_point_name(p))
-
-    return sized.groupBy(*keys).agg(
-        F.sum("_count").alias("rows"), F.min("_value").alias("min"),
-        *[at(p) for p in points], F.max("_value").alias("max"))
+    """Per group: rows, min, max and ``sorted[int(n * p)]`` of a whole number, for every point."""
+    count = F.col("_rows").cast("double")
+    profiled = order_statistics(rows, keys, value, {_point_name(p): (count * F.lit(float(p))).cast("long") for p in points})
+    kind = rows.select(value.alias("v")).schema["v"].dataType
+    names = ("min", "max", *map(_point_name, points))
+    return profiled.withColumns({name: F.col(name).cast(kind) for name in names})
 
 
 def message_counts(rows: DataFrame, keys: Sequence[str], messages: str = "messages") -> DataFrame:
