@@ -2,7 +2,8 @@
 
 ``portable`` draws come from labelled digests: any engine with md5 repeats them,
 and so does a task that is run again. ``multinomial`` draws the distribution of
-counts instead, for strata and cluster tables of any size. ``exact`` draws are
+counts instead, for strata and cluster tables of any size. ``poisson`` weighs
+clusters in one pass over rows, without a cluster table. ``exact`` draws are
 those of one NumPy generator, for reproducing published runs; its raw words are
 made in chunks by many tasks.
 """
@@ -10,11 +11,13 @@ made in chunks by many tasks.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,7 @@ from turnloom.operators.validate import guard
 from turnloom.session import settle
 
 _STEP = 4096
+_MOST_STRATA = 1 << 16  # rows of a broadcast table of strata
 RANGE_SLOTS = 1 << 16  # clusters that one task draws from
 CHUNK = 1 << 20  # half-words of the generator that one task row stands for
 
@@ -127,6 +131,51 @@ def cluster_estimates_multinomial(
         draw_share, "sample long, total double, members double"))
 
 
+def cluster_estimates_poisson(
+    rows: DataFrame, cluster: Column, difference: Column, samples: int = fixed.BOOTSTRAP_SAMPLES,
+    seed: int = fixed.SEED,
+) -> DataFrame:
+    """``sample, estimate`` of resampling whole clusters, in one pass over rows.
+
+    In each sample a cluster counts as often as a Poisson variable of mean 1 says, which a digest of
+    cluster and sample settles. So rows of a cluster agree without ever meeting: each task adds up two
+    sums per sample, and only these are shuffled. There is no cluster table. The number of drawn
+    clusters varies around their number, as the statistic is a ratio of sums.
+    """
+    keyed = rows.where(difference.isNotNull()).select(
+        F.xxhash64(F.lit(seed), cluster).alias("cluster"), difference.cast("double").alias("difference"))
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, members = np.zeros(samples), np.zeros(samples)
+        for batch in batches:
+            found, place = np.unique(batch.column("cluster").to_numpy(), return_inverse=True)
+            sums = np.bincount(place, weights=batch.column("difference").to_numpy(), minlength=len(found))
+            counts = np.bincount(place, minlength=len(found)).astype(float)
+            for at in range(0, len(found), _CLUSTERS):
+                part = slice(at, at + _CLUSTERS)
+                weights = poisson_weights(found[part], samples)
+                total += sums[part] @ weights
+                members += counts[part] @ weights
+        yield pa.RecordBatch.from_pydict({
+            "sample": pa.array(np.arange(samples), pa.int64()), "total": pa.array(total), "members": pa.array(members)})
+
+    return _ratio(keyed.mapInArrow(add_up, "sample long, total double, members double"))
+
+
+_CLUSTERS = 256  # whose weights are made together
+#: Where a uniform 32-bit number stops to mean 0, 1, 2 ... of a Poisson variable of mean 1.
+_STEPS = np.cumsum([np.exp(-1.0) / math.factorial(k) for k in range(12)]) * 2.0**32
+
+
+def poisson_weights(clusters: np.ndarray, samples: int) -> np.ndarray:
+    """Weight of each cluster, named by a digest, in each sample."""
+    with np.errstate(over="ignore"):
+        x = clusters.astype(np.int64).view(np.uint64)[:, None] + np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.searchsorted(_STEPS, (x >> np.uint64(32)).astype(float), "right").astype(float)
+
+
 def cluster_estimates_exact(
     totals: DataFrame, samples: int = fixed.BOOTSTRAP_SAMPLES, seed: int = fixed.SEED,
 ) -> DataFrame:
@@ -148,9 +197,10 @@ def stratum_counts(rows: DataFrame, stratum: str, difference: str) -> DataFrame:
 
 
 def _per_sample(counts: DataFrame, samples: int) -> DataFrame:
-    """One row per stratum and sample, spread over all tasks."""
-    return counts.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).repartition(
-        _tasks(counts.sparkSession), "stratum", "sample")
+    """One row per stratum and sample, spread over all tasks: every task meets the table of strata."""
+    spark = counts.sparkSession
+    drawn = spark.range(0, samples, 1, min(samples, _tasks(spark))).select(F.col("id").cast("int").alias("sample"))
+    return drawn.crossJoin(F.broadcast(counts) if counts.count() <= _MOST_STRATA else counts)
 
 
 def _mean_of_sums(sums: DataFrame, counts: DataFrame) -> DataFrame:
@@ -186,23 +236,18 @@ def stratified_estimates_multinomial(
 ) -> DataFrame:
     """The same distribution from one count draw per stratum and sample.
 
-    Work is samples x strata however many rows the strata hold.
+    Work is samples x strata however many rows the strata hold. A stratum draws all its samples at
+    once, from a generator of its own.
     """
-    counts = settle(counts)
+    def draw_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, n, low, mid in zip(batch["stratum"], batch["members"], batch["minus"], batch["zero"]):
+                drawn = _generator(seed, key).multinomial(n, [low / n, mid / n, (n - low - mid) / n], samples)
+                yield pd.DataFrame({"sample": np.arange(samples), "_sum": drawn[:, 2] - drawn[:, 0], "_members": n})
 
-    @F.pandas_udf("long")
-    def drawn_sum(sample: pd.Series, label: pd.Series, members: pd.Series,
-                  minus: pd.Series, zero: pd.Series) -> pd.Series:
-        def one(s: int, key: str, n: int, low: int, mid: int) -> int:
-            rng = _generator(seed, s, key)
-            low_drawn, _, high_drawn = rng.multinomial(n, [low / n, mid / n, (n - low - mid) / n])
-            return high_drawn - low_drawn
-        return pd.Series(map(one, sample, label, members, minus, zero), dtype="int64")
-
-    sums = _per_sample(counts, samples).select("sample", drawn_sum(
-        F.col("sample"), F.col("stratum").cast("string"), "members", "minus", "zero",
-    ).alias("_sum"))
-    return _mean_of_sums(sums, counts)
+    named = counts.select(F.col("stratum").cast("string").alias("stratum"), "members", "minus", "zero")
+    sums = named.mapInPandas(draw_all, "sample long, _sum long, _members long")
+    return sums.groupBy("sample").agg((F.sum("_sum") / F.sum("_members")).alias("estimate"))
 
 
 def stratified_estimates_exact(

@@ -6,13 +6,16 @@ frame an operator needs is derived from whole tables here.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.functions import text
 from turnloom.operators import choice, pairs, similarity
 from turnloom.operators.ordered import look_back
-from turnloom.session import settle
+from turnloom.session import checkpoint_dir, settle
+from turnloom.sources import sinks
 
 CONST_SCENE = "0"
 SHORT_SCENES = "turn div 3"
@@ -102,6 +105,25 @@ def link_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).alias("html"))
 
 
+def array_documents(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of JSON array documents of conversations as episodes, about 2,000 in each."""
+    lines = F.struct(
+        F.col("turn").alias("_turn"), F.col("role").alias("speaker"), "text", F.lit(0).alias("scene"))
+    episodes = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(lines)).alias("lines"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/arrays-{uuid.uuid4().hex}"
+    shown = episodes.select("conv_id", F.struct(
+        F.col("conv_id").cast("string").alias("title"), F.concat(F.lit("/"), F.col("conv_id").cast("string")).alias("url"),
+        F.transform("lines", lambda x: x.dropFields("_turn")).alias("lines")).alias("episode"))
+    sinks.write_json_arrays(shown.select("conv_id", "episode.*"), path, ["conv_id"], 4 + episodes.count() // 2000)
+    return path
+
+
+def benchmark_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of eight letters or more of the benchmark, as a table of phrases."""
+    words = F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("phrase")
+    return table(spark, sf_dir, "benchmark").select(words).where("length(phrase) >= 8").distinct()
+
+
 # --- tokens ---
 
 def word_lengths(value: Column) -> Column:

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from turnloom import fixed
 from turnloom.functions import arrays, text
-from turnloom.functions.hashing import seeded_key, sha256, text_key
+from turnloom.functions.hashing import sha256, text_key
 from turnloom.operators import (
-    bootstrap, choice, ordered, pairs, profile, report, resume, similarity, split, transcript, validate,
+    batching, bootstrap, choice, ordered, pairs, phrases, profile, report, resume, similarity, split, transcript, validate,
 )
 from turnloom.plans import bindings as b
 from turnloom.plans import sql_parts as sql
+from turnloom.sources import files
 from turnloom.sources import pages as page_source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -407,6 +408,72 @@ def phrase_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         b.table(spark, sf_dir, "documents"), F.col("text"), b.PHRASES).withColumns(_rounded("percent"))
 
 
+_WORDS = """
+words AS (
+  SELECT DISTINCT phrase FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS phrase FROM benchmark)
+  WHERE length(phrase) >= 8),
+met AS (SELECT doc_id, phrase FROM documents JOIN words ON contains(lower(text), phrase))"""
+
+
+@query(f"WITH {_WORDS} SELECT phrase, count(*) AS rows FROM met GROUP BY phrase")
+def phrase_table_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.table_hits(b.table(spark, sf_dir, "documents"), F.col("text"), b.benchmark_words(spark, sf_dir))
+
+
+@query(f"""
+WITH {_WORDS}
+SELECT lang, count(phrase) AS hits, count(DISTINCT doc_id) FILTER (phrase IS NOT NULL) AS rows_with_hit,
+       count(DISTINCT doc_id) AS rows,
+       round(100.0::DOUBLE * count(DISTINCT doc_id) FILTER (phrase IS NOT NULL) / count(DISTINCT doc_id), 6) AS percent
+FROM documents LEFT JOIN met USING (doc_id) GROUP BY lang""")
+def phrase_table_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.table_summary(
+        b.table(spark, sf_dir, "documents"), F.col("text"), b.benchmark_words(spark, sf_dir), ["lang"],
+    ).withColumns(_rounded("percent"))
+
+
+@query("""
+WITH t AS (SELECT source, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE -1 END * (n_chars * 1000003000 + doc_id) AS v FROM documents),
+s AS (SELECT source, list_sort(list(v)) AS s FROM t GROUP BY source)
+SELECT source, len(s) AS rows, s[1] AS min,
+       s[CAST(floor(len(s) * 0.25::DOUBLE) AS BIGINT) + 1] AS p25,
+       s[CAST(floor(len(s) * 0.5::DOUBLE) AS BIGINT) + 1] AS p50,
+       s[CAST(floor(len(s) * 0.75::DOUBLE) AS BIGINT) + 1] AS p75, s[-1] AS max FROM s""")
+def wide_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order statistics of numbers too wide for one digit."""
+    value = F.expr("(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE -1 END) * (n_chars * 1000003000 + doc_id)")
+    return profile.truncated_index_profile(b.table(spark, sf_dir, "documents"), ["source"], value)
+
+
+@query("""
+WITH t AS (SELECT doc_id, greatest(n_chars, 1) AS one, n_chars FROM documents),
+u AS (SELECT *, 1::BIGINT << greatest(0, length(bin(one - 1)) - 4) AS unit FROM t),
+c AS (SELECT doc_id, n_chars, (one + unit - 1) // unit * unit AS padded FROM u),
+p AS (SELECT *, row_number() OVER (PARTITION BY padded ORDER BY doc_id) - 1 AS place FROM c),
+b AS (SELECT *, place // greatest(1, 65536 // padded) AS batch FROM p),
+s AS (SELECT padded, batch, count(*) AS n, sum(n_chars) AS tokens, max(n_chars) AS longest FROM b GROUP BY padded, batch)
+SELECT padded, sum(n)::BIGINT AS rows, count(*) AS batches, sum(tokens)::BIGINT AS tokens, sum(n * longest)::BIGINT AS padded_tokens
+FROM s GROUP BY padded""")
+def token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in batches of 65,536 padded characters at most."""
+    rows = b.table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return batching.batch_report(batching.token_batches(rows, F.col("n_chars"), "doc_id", 1 << 16), "n_chars")
+
+
+@query("""
+WITH e AS (
+  SELECT conv_id, count(*) AS lines, md5(string_agg(role || ':' || coalesce(text, ''), chr(10) ORDER BY turn, role, text)) AS said
+  FROM conversations GROUP BY conv_id)
+SELECT row_number() OVER (ORDER BY conv_id) - 1 AS episode_id, conv_id::VARCHAR AS title, '/' || conv_id AS url, lines, said FROM e""")
+def json_array_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as JSON array documents and read back by byte ranges."""
+    episodes = files.read_episodes(spark, b.array_documents(spark, sf_dir))
+    said = F.transform("lines", lambda x: F.concat(x["speaker"], F.lit(":"), F.coalesce(x["text"], F.lit(""))))
+    return episodes.select(
+        "episode_id", "title", "url", F.size("lines").cast("long").alias("lines"),
+        F.md5(F.array_join(said, "\n").cast("binary")).alias("said"))
+
+
 # --- training rows ---
 
 @query(f"""
@@ -714,6 +781,14 @@ def stratified_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bootstrap.interval(bootstrap.stratified_estimates(counts)).withColumns(_rounded("low", "high"))
 
 
+def _fit(both: DataFrame) -> DataFrame:
+    """Whether drawn mean ``m`` and spread ``s`` are within five of their standard errors of the wanted ones."""
+    return both.select(
+        "samples", F.round("wanted_mean", 6).alias("wanted_mean"), F.round("wanted_spread", 6).alias("wanted_spread"),
+        (F.abs(F.col("m") - F.col("wanted_mean")) < 5 * F.col("wanted_spread") / F.sqrt("samples")).alias("mean_fits"),
+        (F.abs(F.col("s") / F.col("wanted_spread") - 1) < 5 / F.sqrt(2 * F.col("samples"))).alias("spread_fits"))
+
+
 @query(f"""
 WITH {sql.GRADED},
 strata AS (
@@ -728,14 +803,31 @@ def stratified_bootstrap_multinomial(spark: SparkSession, sf_dir: str) -> DataFr
     mean = (n - F.col("minus") - F.col("zero") - F.col("minus")) / n
     variance = (n - F.col("zero")) / n - mean * mean
     wanted = counts.agg(
-        (F.sum(n * mean) / F.sum(n)).alias("mean"), (F.sqrt(F.sum(n * variance)) / F.sum(n)).alias("spread"))
+        (F.sum(n * mean) / F.sum(n)).alias("wanted_mean"), (F.sqrt(F.sum(n * variance)) / F.sum(n)).alias("wanted_spread"))
     drawn = bootstrap.stratified_estimates_multinomial(counts).agg(
         F.count(F.lit(1)).alias("samples"), F.avg("estimate").alias("m"), F.stddev_pop("estimate").alias("s"))
-    both = drawn.withColumns({"wanted_mean": wanted.select("mean").scalar(), "wanted_spread": wanted.select("spread").scalar()})
-    return both.select(
-        "samples", F.round("wanted_mean", 6).alias("wanted_mean"), F.round("wanted_spread", 6).alias("wanted_spread"),
-        (F.abs(F.col("m") - F.col("wanted_mean")) < 5 * F.col("wanted_spread") / F.sqrt("samples")).alias("mean_fits"),
-        (F.abs(F.col("s") / F.col("wanted_spread") - 1) < 5 / F.sqrt(2 * F.col("samples"))).alias("spread_fits"))
+    return _fit(drawn.crossJoin(F.broadcast(wanted)))  # one row each
+
+
+@query(f"""
+WITH {sql.GRADED.replace('SELECT d.lang', 'SELECT d.doc_id % 499 AS cluster, d.lang')},
+clusters AS (SELECT cluster, sum(sft_right - base_right) AS t, count(*) AS m FROM graded GROUP BY cluster),
+whole AS (SELECT sum(t) / sum(m) AS r, sum(m) AS n FROM clusters)
+SELECT {fixed.BOOTSTRAP_SAMPLES}::BIGINT AS samples, round(max(r), 6) AS wanted_mean,
+       round(sqrt(sum((t - r * m) * (t - r * m))) / max(n), 6) AS wanted_spread, true AS mean_fits, true AS spread_fits
+FROM clusters, whole""")
+def cluster_bootstrap_poisson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and spread of one-pass estimates next to those that follow from the clusters."""
+    rows = b.graded_documents(spark, sf_dir).withColumn("cluster", F.col("doc_id") % 499)
+    totals = rows.groupBy("cluster").agg(F.sum("difference").alias("t"), F.count(F.lit(1)).alias("m"))
+    sums = totals.agg(
+        F.sum("t").alias("t"), F.sum("m").alias("m"), F.sum(F.col("t") * F.col("t")).alias("tt"),
+        F.sum(F.col("t") * F.col("m")).alias("tm"), F.sum(F.col("m") * F.col("m")).alias("mm"))
+    r = F.col("t") / F.col("m")
+    wanted = sums.select(r.alias("wanted_mean"), (F.sqrt(F.col("tt") - 2 * r * F.col("tm") + r * r * F.col("mm")) / F.col("m")).alias("wanted_spread"))
+    drawn = bootstrap.cluster_estimates_poisson(rows, F.col("cluster"), F.col("difference")).agg(
+        F.count(F.lit(1)).alias("samples"), F.avg("estimate").alias("m"), F.stddev_pop("estimate").alias("s"))
+    return _fit(drawn.crossJoin(F.broadcast(wanted)))  # one row each
 
 
 # --- resume, checksums, samples ---
@@ -772,8 +864,7 @@ def checksum_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, source FROM documents ORDER BY md5('0:' || doc_id), doc_id LIMIT 10")
 def spot_check_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return b.table(spark, sf_dir, "documents").select("doc_id", "source").orderBy(
-        seeded_key(fixed.SEED, F.col("doc_id")), "doc_id").limit(10)
+    return resume.spot_check(b.table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", 10)
 
 
 # --- plot frames ---

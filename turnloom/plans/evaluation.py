@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom import fixed, schemas
 from turnloom.functions import arrays
-from turnloom.operators import bootstrap, choice, ordered, resume, similarity, validate
+from turnloom.operators import batching, bootstrap, choice, ordered, resume, similarity, validate
 from turnloom.session import settle
 from turnloom.sources import files, sinks
 
@@ -58,29 +59,40 @@ def require_same_manifest(rebuilt: DataFrame, frozen: DataFrame) -> None:
 
 def apply_model(
     rows: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str,
-    batch_size: int,
+    batch_size: int, lengths: str | None = None, token_budget: int | None = None,
 ) -> DataFrame:
     """Run a caller's model over rows in batches; it is loaded once per task.
 
-    ``load`` returns a function from a batch of rows to a batch of results. A
+    ``load`` returns a function from a batch of rows to a batch of results. With ``token_budget``, rows
+    of about equal length (column ``lengths``) go together, as many as fit the budget when all are padded
+    to the longest, ``batch_size`` at most; results come back in the order of the rows. A
     model that must fit a context window checks it with
     :func:`turnloom.operators.similarity.fits_context` beforehand.
     """
     if batch_size < 1:
         raise ValueError("Batch size must be positive")
+    if token_budget is not None and (token_budget < 1 or lengths is None):
+        raise ValueError("a token budget must be positive and needs a column of lengths")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
         for batch in batches:
-            for start in range(0, len(batch), batch_size):
-                yield model(batch.iloc[start:start + batch_size])
+            if token_budget is None:
+                for start in range(0, len(batch), batch_size):
+                    yield model(batch.iloc[start:start + batch_size])
+            elif len(batch):
+                packed = batching.pack(batch[lengths].to_numpy(), token_budget, batch_size)
+                found = pd.concat([model(batch.iloc[places]) for places in packed], ignore_index=True)
+                if len(found) != len(batch):
+                    raise ValueError("a model gives one result per row")
+                yield found.iloc[np.argsort(np.concatenate(packed), kind="stable")]
 
     return rows.mapInPandas(run, schema)
 
 
 def run_in_steps(
     inputs: DataFrame, out: str, settings: dict, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]],
-    schema: str, batch_size: int, rows_per_step: int,
+    schema: str, batch_size: int, rows_per_step: int, lengths: str | None = None, token_budget: int | None = None,
 ) -> DataFrame:
     """Run a model over inputs with a dense ``index``, resuming where an earlier run stopped.
 
@@ -104,7 +116,7 @@ def run_in_steps(
             spark, f"{out}/inputs", lambda new: spread.write.partitionBy("_step").parquet(new))
         for step in range(-(-(total - saved) // rows_per_step)):
             rows = spark.read.schema(inputs.schema).parquet(f"{out}/inputs/_step={step}")
-            apply_model(rows, load, schema, batch_size).write.mode("append").json(results_path)
+            apply_model(rows, load, schema, batch_size, lengths, token_budget).write.mode("append").json(results_path)
     return results()
 
 
@@ -201,23 +213,28 @@ def similarity_metrics(
     rows: DataFrame, encoder_limit: int, samples: int = fixed.BOOTSTRAP_SAMPLES,
     seed: int = fixed.SEED, mode: str = "multinomial",
 ) -> dict:
-    """Metrics document of scored generation rows; ``mode``: multinomial, portable or exact.
+    """Metrics document of scored generation rows; ``mode``: multinomial, poisson, portable or exact.
 
     ``rows``: ``index, episode, reference_tokens`` and per model the generation
     struct, ``<model>_cosine`` and ``<model>_encoder_tokens``, plus ``difference``.
     """
-    totals = settle(similarity.cluster_totals(rows, "episode"))
-    estimates = {
-        "multinomial": bootstrap.cluster_estimates_multinomial, "portable": bootstrap.cluster_estimates,
-        "exact": bootstrap.cluster_estimates_exact}[mode]
-    bounds = bootstrap.interval(estimates(totals, samples, seed)).first()
+    if mode == "poisson":
+        drawn = bootstrap.cluster_estimates_poisson(rows, F.col("episode"), F.col("difference"), samples, seed)
+        episodes = rows.select("episode").distinct().count()
+    else:
+        totals = settle(similarity.cluster_totals(rows, "episode"))
+        estimates = {
+            "multinomial": bootstrap.cluster_estimates_multinomial, "portable": bootstrap.cluster_estimates,
+            "exact": bootstrap.cluster_estimates_exact}[mode]
+        drawn, episodes = estimates(totals, samples, seed), totals.count()
+    bounds = bootstrap.interval(drawn).first()
     paired = similarity.paired_summary(rows).first()
     models = {
         r["model"]: {k: v for k, v in r.asDict().items() if k != "model"}
         for r in similarity.model_metrics(similarity.long_form(rows, ["index"]), encoder_limit).collect()
     }
     return {
-        "examples": paired["examples"], "episodes": totals.count(), **models,
+        "examples": paired["examples"], "episodes": episodes, **models,
         "mean_paired_difference": paired["mean_paired_difference"],
         "paired_difference_episode_bootstrap_95_ci": [bounds["low"], bounds["high"]],
         "fraction_sft_higher": paired["fraction_sft_higher"],

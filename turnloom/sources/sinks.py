@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,3 +108,21 @@ def write_json_document(spark: SparkSession, path: str, value: dict) -> None:
     options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
     jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(
         fs.makeQualified(partial), fs.makeQualified(target), options)
+
+
+def write_json_arrays(rows: DataFrame, path: str, order: Sequence[str], arrays: int) -> None:
+    """Write rows as JSON objects, in order, into files that hold one JSON array each.
+
+    Rows are dealt by ranges of the order, so the files' names sort as their rows do.
+    """
+    def bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        said = "["
+        for batch in batches:
+            for value in batch.column("value").to_pylist():
+                yield pa.RecordBatch.from_pydict({"value": [said + value]})
+                said = ","
+        yield pa.RecordBatch.from_pydict({"value": ["]" if said == "," else "[]"]})
+
+    shown = rows.repartitionByRange(arrays, *order).sortWithinPartitions(*order).select(
+        F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    shown.mapInArrow(bracketed, "value string").write.text(path)
