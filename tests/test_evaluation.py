@@ -452,3 +452,29 @@ def test_replies_from_data_to_metrics(spark, tmp_path):
 def test_accuracy_gain(spark):
     row = report.accuracy_gain(spark.createDataFrame([(0.016393, -0.014344, 0.045082)], "difference double, low double, high double")).first()
     assert row["caption"] == "SFT minus base: +1.64 points\n95% CI [-1.43, +4.51]"
+
+
+def test_poisson_weights_are_those_of_a_poisson_variable():
+    weights = bootstrap.poisson_weights(np.arange(400) * 7919 - 1000, 3000)
+    assert weights.mean() == pytest.approx(1, abs=0.01) and weights.var() == pytest.approx(1, abs=0.02)
+    assert abs(np.corrcoef(weights[0], weights[1])[0, 1]) < 0.1 and abs(np.corrcoef(weights[:, 0], weights[:, 1])[0, 1]) < 0.2
+
+
+def test_one_pass_resampling_does_not_depend_on_how_rows_are_dealt(spark):
+    draw = np.random.default_rng(3)
+    rows = [(f"c{int(c)}", float(d)) for c, d in zip(draw.integers(0, 300, 4000), draw.normal(0.2, 1, 4000))] + [("c1", None)]
+    table = spark.createDataFrame(rows, "cluster string, difference double")
+    args = (F.col("cluster"), F.col("difference"), 500)
+    one = {r["sample"]: r["estimate"] for r in bootstrap.cluster_estimates_poisson(table.repartition(1), *args).collect()}
+    many = {r["sample"]: r["estimate"] for r in bootstrap.cluster_estimates_poisson(table.repartition(7, "difference"), *args).collect()}
+    assert one.keys() == many.keys() == set(range(500))
+    assert all(one[k] == pytest.approx(many[k], rel=1e-9) for k in one)
+    totals = {}
+    for c, d in rows[:-1]:
+        t, m = totals.get(c, (0, 0))
+        totals[c] = t + d, m + 1
+    ratio = sum(t for t, _ in totals.values()) / 4000
+    spread = sum((t - ratio * m) ** 2 for t, m in totals.values()) ** 0.5 / 4000
+    values = np.array(list(one.values()))
+    assert values.mean() == pytest.approx(ratio, abs=5 * spread / 500**0.5) and values.std() == pytest.approx(spread, rel=0.2)
+    assert bootstrap.cluster_estimates_poisson(table.limit(0), *args).where("estimate is not null").isEmpty()

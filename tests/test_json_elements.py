@@ -26,7 +26,7 @@ def value(draw, deep=0):
     return {text(draw): value(draw, deep + 1) for _ in range(draw.randrange(4))}
 
 
-@pytest.fixture(params=[40, 1000])
+@pytest.fixture(params=[150, 2000])
 def small_ranges(spark, request):
     names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
     old = [spark.conf.get(x) for x in names]

@@ -28,7 +28,7 @@ from turnloom.operators.validate import guard
 from turnloom.session import settle
 
 _STEP = 4096
-_MOST_STRATA = 1 << 16  # rows of a broadcast table of strata
+_MOST_STRATA = 1 << 12  # strata that travel as one array
 RANGE_SLOTS = 1 << 16  # clusters that one task draws from
 CHUNK = 1 << 20  # half-words of the generator that one task row stands for
 
@@ -197,10 +197,14 @@ def stratum_counts(rows: DataFrame, stratum: str, difference: str) -> DataFrame:
 
 
 def _per_sample(counts: DataFrame, samples: int) -> DataFrame:
-    """One row per stratum and sample, spread over all tasks: every task meets the table of strata."""
+    """One row per stratum and sample, made where the sample is: strata are few, and travel as one array."""
     spark = counts.sparkSession
+    if counts.count() > _MOST_STRATA:
+        return counts.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).repartition(
+            _tasks(spark), "stratum", "sample")
     drawn = spark.range(0, samples, 1, min(samples, _tasks(spark))).select(F.col("id").cast("int").alias("sample"))
-    return drawn.crossJoin(F.broadcast(counts) if counts.count() <= _MOST_STRATA else counts)
+    strata = counts.agg(F.collect_list(F.struct(*counts.columns)).alias("all")).scalar()
+    return drawn.withColumn("_s", F.explode(strata)).select("sample", "_s.*")
 
 
 def _mean_of_sums(sums: DataFrame, counts: DataFrame) -> DataFrame:

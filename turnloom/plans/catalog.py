@@ -781,8 +781,9 @@ def stratified_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bootstrap.interval(bootstrap.stratified_estimates(counts)).withColumns(_rounded("low", "high"))
 
 
-def _fit(both: DataFrame) -> DataFrame:
+def _fit(drawn: DataFrame, wanted: DataFrame) -> DataFrame:
     """Whether drawn mean ``m`` and spread ``s`` are within five of their standard errors of the wanted ones."""
+    both = drawn.withColumns({name: wanted.select(name).scalar() for name in ("wanted_mean", "wanted_spread")})
     return both.select(
         "samples", F.round("wanted_mean", 6).alias("wanted_mean"), F.round("wanted_spread", 6).alias("wanted_spread"),
         (F.abs(F.col("m") - F.col("wanted_mean")) < 5 * F.col("wanted_spread") / F.sqrt("samples")).alias("mean_fits"),
@@ -806,7 +807,7 @@ def stratified_bootstrap_multinomial(spark: SparkSession, sf_dir: str) -> DataFr
         (F.sum(n * mean) / F.sum(n)).alias("wanted_mean"), (F.sqrt(F.sum(n * variance)) / F.sum(n)).alias("wanted_spread"))
     drawn = bootstrap.stratified_estimates_multinomial(counts).agg(
         F.count(F.lit(1)).alias("samples"), F.avg("estimate").alias("m"), F.stddev_pop("estimate").alias("s"))
-    return _fit(drawn.crossJoin(F.broadcast(wanted)))  # one row each
+    return _fit(drawn, wanted)
 
 
 @query(f"""
@@ -827,7 +828,7 @@ def cluster_bootstrap_poisson(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = sums.select(r.alias("wanted_mean"), (F.sqrt(F.col("tt") - 2 * r * F.col("tm") + r * r * F.col("mm")) / F.col("m")).alias("wanted_spread"))
     drawn = bootstrap.cluster_estimates_poisson(rows, F.col("cluster"), F.col("difference")).agg(
         F.count(F.lit(1)).alias("samples"), F.avg("estimate").alias("m"), F.stddev_pop("estimate").alias("s"))
-    return _fit(drawn.crossJoin(F.broadcast(wanted)))  # one row each
+    return _fit(drawn, wanted)
 
 
 # --- resume, checksums, samples ---

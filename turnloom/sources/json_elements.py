@@ -135,7 +135,9 @@ def _states(pieces: DataFrame, level: int) -> DataFrame:
         ((F.col("block") == F.col("last")) & (F.col("total") == -1)).alias("ends"))
 
 
-_CUT = "file string, kind string, element long, block long, place long, value string"
+#: Fragments and texts outside have a column of their own, so that parsing values, which Spark may do
+#: before it looks at the kind, never meets them.
+_CUT = "file string, kind string, element long, block long, place long, value string, other string"
 
 
 def _marked(rows: Iterator[tuple]) -> Iterator[tuple[tuple, bool]]:
@@ -190,9 +192,12 @@ def _cut(level: int):
 
 
 def _cut_batch(found: list[tuple]) -> pa.RecordBatch:
-    kinds = {"file": pa.string(), "kind": pa.string(), "element": pa.int64(), "block": pa.int64(), "place": pa.int64(), "value": pa.string()}
+    kinds = {
+        "file": pa.string(), "kind": pa.string(), "element": pa.int64(), "block": pa.int64(), "place": pa.int64(),
+        "value": pa.string(), "other": pa.string()}
+    rows = [(*row[:5], *((row[5], None) if row[1] == "whole" else (None, row[5]))) for row in found]
     return pa.RecordBatch.from_pydict({
-        name: pa.array(values, kind) for (name, kind), values in zip(kinds.items(), zip(*found))})
+        name: pa.array(values, kind) for (name, kind), values in zip(kinds.items(), zip(*rows))})
 
 
 def json_elements(spark: SparkSession, path: str, level: int) -> tuple[DataFrame, DataFrame]:
@@ -211,9 +216,9 @@ def json_elements(spark: SparkSession, path: str, level: int) -> tuple[DataFrame
     known = guard(known, F.col("depth").isNotNull(), "the byte ranges of a document changed between two reads")
     cut = settle(known.select("value", "file", "block", "inside", "depth", "first", "ends").mapInArrow(_cut(level), _CUT))
     across = cut.where("kind = 'part'").groupBy("file", "element").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "value"))), lambda x: x["value"]), "").alias("value"))
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "other"))), lambda x: x["other"]), "").alias("value"))
     elements = cut.where("kind = 'whole'").select("file", "element", "value").unionByName(across)
-    return elements, cut.where("kind = 'gap'").drop("kind")
+    return elements, cut.where("kind = 'gap'").select("file", "element", "block", "place", F.col("other").alias("value"))
 
 
 def _outline(file: str, gaps: list[tuple]) -> str:
