@@ -230,3 +230,54 @@ def test_rows_before_a_text_do_not_matter():
     alone = [index.batch([x], 0.2)[0] for x in docs]
     assert index.batch(docs, 0.2) == alone and sum(map(bool, alone)) > 50
     assert all(index.batch([b" ".join([b"x"] * k), *docs], 0.2)[1:] == alone for k in range(1, 17))
+
+
+def near_miss(count, words=150, changed=3, seed=1):
+    """Texts whose similarity lies just below the threshold, and a few chains of similar ones."""
+    draw = random.Random(seed)
+    base = [f"w{i}" for i in range(words)]
+    out = []
+    for i in range(count):
+        text = list(base)
+        for at in draw.sample(range(words // 5), changed):
+            text[5 * at] = f"x{i}y{at}"
+        out.append(" ".join(text))
+    return out
+
+
+@pytest.mark.parametrize("count", [100, 400])
+def test_texts_just_below_the_threshold_make_no_pairs(spark, count, monkeypatch):
+    made = []
+    kept = ngram_join._joining
+
+    def watched(documents, apart, *rest):
+        links = kept(documents, apart, *rest)
+        made.append((apart.count(), apart.select("node").distinct().count(), links.count()))
+        return links
+
+    monkeypatch.setattr(ngram_join, "_joining", watched)
+    given = near_miss(count)
+    given += [given[0].replace("w149", "z1"), given[0].replace("w149", "z1").replace("w148", "z2"), given[3]]
+    docs = spark.createDataFrame(list(enumerate(given)), "doc_id bigint, text string").repartition(4)
+    found = {r["doc_id"]: r["component_id"] for r in ngram_join.joined(docs).collect()}
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in given]
+    tops = list(range(len(given)))
+    for i in range(len(given)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((tops[i], tops[j]))
+                tops = [a if x == b else x for x in tops]
+    assert found == dict(enumerate(tops))
+    for rows, nodes, links in made:
+        leads = 8  # frequent shingles with different holders, whatever the number of texts
+        assert rows <= leads * nodes * (nodes // ngram_join.BLOCK + 1) and links < leads * nodes
+
+
+def test_matrices_and_forests():
+    draw = np.random.default_rng(2)
+    sets = [np.sort(draw.choice(9000, 4500, replace=False)).astype(np.uint64) for _ in range(7)]
+    assert (ngram_join.count_matrix(sets[:3], sets[3:]) == [[len(np.intersect1d(a, b)) for b in sets[3:]] for a in sets[:3]]).all()
+    assert ngram_join.count_matrix([], sets).shape == (0, 7)
+    rows = np.array([(i, i, 0, 1) for i in range(30)], ngram_join._HELD)
+    links = ngram_join.forest(rows, rows, ~np.eye(30, dtype=bool))
+    assert len(links) == 29 and {x for e in links for x in e} == set(range(30))

@@ -6,13 +6,15 @@
    Rarest shingles are dealt into buckets; those that the sketch shows to be hot into several, whose
    leaders meet again. Few holders of a shingle are all paired; of many, each is paired with the
    one that has fewest rare shingles of its own, which is next to what the others are copies of.
-   Holders that are still in different components after step 5 meet in blocks of bounded size and
-   are paired if they may be similar. A pair is dropped if the rarest shingles that it shares and
-   all of either set beyond those compared could not reach the threshold.
+   A pair is dropped if the rarest shingles that it shares and all of either set beyond those
+   compared could not reach the threshold.
 4. The order is cut into fragments of equal weight. Each candidate pair's overlap is counted per
    fragment, in groups of a bounded number of partners, and summed per pair: the counts are exact.
    The rare fragments come first; a pair goes on to the others only if it can still be similar.
-5. Linked classes are joined into components.
+5. Linked classes are joined into components. Holders of a shingle that are still in different ones
+   meet in blocks of bounded size: those that may be similar send their fragments, each pair of blocks
+   and fragment gives one matrix of partial overlaps, the matrices are summed per pair of blocks, and of
+   the links found there only as many leave as join components.
 
 Any order gives the same links; the sketch only decides how few candidates there are.
 
@@ -359,18 +361,7 @@ def may_be_similar(rows: list[tuple], others: list[tuple], percent: int) -> np.n
     """Which of the (size, rarest shingles) rows may reach the threshold with which of the others."""
     sizes, more = (np.array([x[0] for x in side], np.int64) for side in (rows, others))
     sets, more_sets = ([x[1] for x in side] for side in (rows, others))
-    values = np.concatenate([*sets, *more_sets])
-    owner = np.repeat(np.arange(len(sets) + len(more_sets)), [len(x) for x in [*sets, *more_sets]])
-    known, column, often = np.unique(values, return_inverse=True, return_counts=True)
-    place = np.cumsum(often > 1) - 1
-    kept = often[column] > 1
-    owner, column = owner[kept], place[column[kept]]
-    shared = np.zeros((len(sets), len(more_sets)), np.float32)
-    for at in range(0, int((often > 1).sum()), 4096):
-        mine = (column >= at) & (column < at + 4096)
-        has = np.zeros((len(sets) + len(more_sets), 4096), np.float32)
-        has[owner[mine], column[mine] - at] = 1
-        shared += has[: len(sets)] @ has[len(sets) :].T
+    shared = count_matrix(sets, more_sets)
     last, more_last = (np.array([x[-1] for x in side], np.uint64) for side in (sets, more_sets))
     # how many of each set's rarest shingles are not beyond the other's last one
     seen = np.stack([np.searchsorted(x, more_last, "right") for x in sets])
@@ -380,10 +371,14 @@ def may_be_similar(rows: list[tuple], others: list[tuple], percent: int) -> np.n
         shared + rest >= needed(sizes[:, None], more[None, :], percent))
 
 
+_APART = "lead bigint, one int, two int, block int, node bigint, component bigint"
+
+
 def _still_apart(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of holders of one leader's shingles, in different components, that may be similar.
+    """Holders of one leader's shingles that may be similar to one of another component, by pair of blocks.
 
-    members: lead, node, component. Every two blocks of a lead's holders meet in one group.
+    members: lead, node, component. Every two blocks of a lead's holders meet in one group, which
+    returns holders, not pairs of them.
     """
     sizes = scratch(members.groupBy("lead").agg((F.count("*") / BLOCK + 1).cast("int").alias("blocks")))
     spread = (
@@ -400,16 +395,111 @@ def _still_apart(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         names = ("block", "node", "component", "n", "rarest")
         found = list(zip(*(table.column(x).to_pylist() for x in names)))
         sides = [[x for x in found if x[0] == block] for block in (one, two)]
-        if not sides[0] or not sides[1]:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        good = may_be_similar(*([(x[3], np.frombuffer(x[4], "<u8")) for x in side] for side in sides), percent)
-        nodes, groups = ([np.array([x[k] for x in side], np.int64) for side in sides] for k in (1, 2))
-        good &= groups[0][:, None] != groups[1][None, :]
-        a, b = np.nonzero(good)
-        a, b = nodes[0][a], nodes[1][b]
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+        kept = set()
+        if sides[0] and sides[1]:
+            good = may_be_similar(*([(x[3], np.frombuffer(x[4], "<u8")) for x in side] for side in sides), percent)
+            groups = [np.array([x[2] for x in side], np.int64) for side in sides]
+            good &= groups[0][:, None] != groups[1][None, :]
+            for side, some in zip(sides, (good.any(1), good.any(0))):
+                kept |= {x[:3] for x, met in zip(side, some) if met}
+        rows = [(key[0].as_py(), one, two, *x) for x in sorted(kept)]
+        columns = [x.split() for x in _APART.split(", ")]
+        return pa.table({
+            name: pa.array([row[i] for row in rows], pa.int64() if kind == "bigint" else pa.int32()) for i, (name, kind) in enumerate(columns)})
+
+    return rows.groupBy("lead", "one", "two").applyInArrow(work, _APART)
+
+
+_HELD = np.dtype([("node", "<i8"), ("component", "<i8"), ("digest", "<i8"), ("n", "<i8")])
+
+
+def count_matrix(rows: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """How many keys each of the sorted sets shares with each of the others."""
+    shared = np.zeros((len(rows), len(others)), np.float32)
+    values = np.concatenate([*rows, *others]) if rows or others else np.empty(0, np.uint64)
+    owner = np.repeat(np.arange(len(rows) + len(others)), [len(x) for x in [*rows, *others]])
+    _, column, often = np.unique(values, return_inverse=True, return_counts=True)
+    place = np.cumsum(often > 1) - 1
+    kept = often[column] > 1
+    owner, column = owner[kept], place[column[kept]]
+    for at in range(0, int((often > 1).sum()), 4096):
+        mine = (column >= at) & (column < at + 4096)
+        has = np.zeros((len(rows) + len(others), 4096), np.float32)
+        has[owner[mine], column[mine] - at] = 1
+        shared += has[: len(rows)] @ has[len(rows) :].T
+    return shared.astype(np.int32)
+
+
+def forest(rows: np.ndarray, others: np.ndarray, links: np.ndarray) -> list[tuple[int, int]]:
+    """Of the links, as few as join the same components: less than there are rows and others."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := above.get(x, x)) != x:
+            above[x] = x = above.get(y, y)
+        return x
+
+    out = []
+    for i, j in np.argwhere(links).tolist():
+        a, b = top(int(rows["component"][i])), top(int(others["component"][j]))
+        if a != b:
+            above[max(a, b)] = min(a, b)
+            out.append((int(rows["node"][i]), int(others["node"][j])))
+    return out
+
+
+def _joining(documents: DataFrame, apart: DataFrame, order: Broadcast, percent: int, width: int) -> DataFrame:
+    """Links (a, b) that join components of holders which are still apart.
+
+    Each pair of blocks and fragment gives one matrix of partial overlaps, packed; matrices are summed
+    per pair of blocks, where the threshold is applied: pairs of texts never become rows, and of their
+    links only a spanning forest leaves.
+    """
+    targets = scratch(apart.groupBy("node").agg(
+        F.collect_list(F.struct("lead", "one", "two", "block", "component")).alias("to")))  # as many as its lead has blocks
+    rows = _among(texts(documents), targets.select(F.col("node").alias("doc_id")))
+    rows = rows.join(targets.hint("merge"), F.col("doc_id") == F.col("node")).select("doc_id", "text", "to")
+    schema = "lead bigint, one int, two int, fragment int, block int, component bigint, node bigint, digest bigint, n bigint, keys binary"
+
+    def cut(batch: pa.RecordBatch) -> dict:
+        sets = [order.value.keys(x) for x in shingle_hashes(raw_texts(batch.column("text")), width)]
+        found = {x.split()[0]: [] for x in schema.split(", ")}
+        for doc_id, to, keys in zip(batch.column("doc_id").to_pylist(), batch.column("to").to_pylist(), sets):
+            digest = int(np.frombuffer(hashlib.blake2b(keys.tobytes(), digest_size=8).digest(), "<i8")[0])
+            ends = [0, *np.searchsorted(keys, order.value.pivots).tolist(), len(keys)]
+            for fragment in range(FRAGMENTS if len(keys) else 0):
+                packed = keys[ends[fragment] : ends[fragment + 1]].tobytes()
+                for x in to:
+                    row = (x["lead"], x["one"], x["two"], fragment, x["block"], x["component"], doc_id, digest, len(keys), packed)
+                    for name, value in zip(found, row):
+                        found[name].append(value)
+        return found
+
+    def multiply(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        names = ("block", "node", "component", "digest", "n", "keys")
+        # a set counts once however many rows have it
+        found = sorted({x[:2] + x[3:4]: x for x in zip(*(table.column(x).to_pylist() for x in names))}.values())
+        sides = [[x for x in found if x[0] == key[i].as_py()] for i in (1, 2)]
+        counts = count_matrix(*([np.frombuffer(x[5], "<u8") for x in side] for side in sides))
+        held = [np.array([x[1:5] for x in side], np.int64).reshape(-1, 4).tobytes() for side in sides]
+        return pa.table({
+            "lead": [key[0].as_py()], "one": pa.array([key[1].as_py()], pa.int32()), "two": pa.array([key[2].as_py()], pa.int32()),
+            "rows": held[:1], "others": held[1:], "counts": [zlib.compress(counts.astype("<i4").tobytes(), 1)]})
+
+    def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        rows, others = (np.frombuffer(table.column(x)[0].as_py(), _HELD) for x in ("rows", "others"))
+        shared = sum(np.frombuffer(zlib.decompress(x.as_py()), "<i4").astype(np.int64) for x in table.column("counts"))
+        shared = np.reshape(shared, (len(rows), len(others)))
+        links = (100 + percent) * shared >= percent * (rows["n"][:, None] + others["n"][None, :])
+        links &= rows["component"][:, None] != others["component"][None, :]
+        found = forest(rows, others, links)
+        give_back()
+        return pa.table({k: pa.array([x[i] for x in found], pa.int64()) for i, k in enumerate("ab")})
 
-    return rows.groupBy("lead", "one", "two").applyInArrow(work, "a bigint, b bigint").where("a < b").distinct()
+    counted = arrow_map(rows, cut, schema, together=32).groupBy("lead", "one", "two", "fragment").applyInArrow(
+        multiply, "lead bigint, one int, two int, rows binary, others binary, counts binary")
+    return counted.groupBy("lead", "one", "two").applyInArrow(add, "a bigint, b bigint").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def joined(documents: DataFrame, percent: int = 75, width: int = WIDTH) -> DataFrame:
@@ -454,10 +544,9 @@ def joined(documents: DataFrame, percent: int = 75, width: int = WIDTH) -> DataF
         F.min(F.struct(F.xxhash64("node"), "node")).alias("lead"))
     open_keys = scratch(open_keys.where("x < y").select("key", F.col("lead.node").alias("lead")))
     members = scratch(many.join(open_keys, "key").select("lead", "node", "component").distinct())
-    rest = _still_apart(members, sets, percent).join(pairs, ["a", "b"], "left_anti")
-    rest = scratch(rest)
-    if not rest.isEmpty():
-        groups = scratch(components(links.unionAll(_overlaps(documents, rest, order, percent, width))))
+    apart = scratch(_still_apart(members, sets, percent))
+    if not apart.isEmpty():
+        groups = scratch(components(links.unionAll(scratch(_joining(documents, apart, order, percent, width)))))
 
     found = classes.join(groups, F.col("rep") == F.col("node"), "left")
     found = found.select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
