@@ -73,7 +73,7 @@ def test_join_on_edges(edge):
 def test_lines_on_edges(edge):
     found = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["n_runs"]) for r in line_dedup.report(edge).where("doc_id is not null").collect()}
     assert found[1] == (0, 0, 0) and found[2] == (1, 0, 0) and found[4] == (3000, 0, 0)
-    assert found[5] == (3000, 3000, 1) and found[6] == (4, 0, 0)
+    assert found[5] == (3000, 3000, 1) and found[6] == (4, 0, 0) and found[7][1] == 0 and found[8] == (1, 1, 1)
     left = line_dedup.dedup_lines(edge)
     assert left.where("doc_id = 5").count() == 0 and left.where("doc_id is null and text is not null").count() == 1
     assert left.where("copy = 'u' and removed = 'z'").count() == left.count()

@@ -51,14 +51,22 @@ def test_quality_keeps_what_the_labels_call_good(stages):
 def test_lines_of_the_earliest_text_stay(stages):
     before, after = stages["line_dedup"]
     docs = {r["doc_id"]: r["text"] for r in before.collect()}
+    counts = {i: [len(x.encode().split()) for x in t.split("\n")] for i, t in docs.items()}
+    runs = {}
+    for i, text in docs.items():
+        lines, n = text.split("\n"), counts[i]
+        spans = {(0, len(lines))} if sum(n) else set()
+        for k in range(len(lines)):
+            spans |= {(k, next((e for e in range(k + 1, len(lines) + 1) if sum(n[k:e]) >= 50), None))}
+            spans |= {(next((s for s in range(k, -1, -1) if sum(n[s : k + 1]) >= 50), None), k + 1)}
+        runs[i] = {(a, b): tuple(lines[a:b]) for a, b in spans if a is not None and b is not None}
     first, wanted = {}, {}
-    for i in sorted(docs):
-        lines = docs[i].split("\n")
-        for k in range(len(lines) - 2):
-            first.setdefault(tuple(lines[k : k + 3]), (i, k))
+    for i in sorted(runs):
+        for (a, b), run in sorted(runs[i].items()):
+            first.setdefault(run, (i, a))
     for i, text in docs.items():
+        gone = {k for (a, b), run in runs[i].items() if first[run] < (i, a) for k in range(a, b)}
         lines = text.split("\n")
-        gone = {k + j for k in range(len(lines) - 2) if first[tuple(lines[k : k + 3])] < (i, k) for j in range(3)}
         if len(gone) < len(lines):
             wanted[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
     assert {r["doc_id"]: r["text"] for r in after.collect()} == wanted

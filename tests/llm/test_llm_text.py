@@ -122,34 +122,51 @@ def test_substrings_of_thirteen_words(spark, texts):
     assert found == wanted and any(x[1] for x in wanted.values())
 
 
-def test_later_copies_of_line_runs_go(spark):
-    draw = random.Random(9)
-    pool = [f"line {i}" for i in range(12)] + [""]
-    docs = ["\n".join(draw.choice(pool) for _ in range(draw.randrange(1, 25))) for _ in range(60)]
-    docs += [docs[3], docs[3] + "\nmore"]
-    places = {}
-    for i, text in enumerate(docs):
-        lines = text.split("\n")
-        for k in range(len(lines) - 2):
-            places.setdefault(tuple(lines[k : k + 3]), (i, k))
-    longest, kept = {}, {}
-    seen = {}
-    for i, text in enumerate(docs):
-        lines = text.split("\n")
-        gone = {k + j for k in range(len(lines) - 2) if places[tuple(lines[k : k + 3])] < (i, k) for j in range(3)}
-        kept[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone) if len(gone) < len(lines) else None
-        longest[i] = 0
+def without_later_runs(docs, min_words):
+    """Kept lines and removed maximal runs of each text, from the longest common run at every two places."""
+    split = {i: t.split("\n") for i, t in docs.items()}
+    words = {i: [len(x.encode().split()) for x in lines] for i, lines in split.items()}
+    places = [(i, k) for i in sorted(split) for k in range(len(split[i]))]
+    out = {}
+    for i, lines in split.items():
+        gone = set()
         for k in range(len(lines)):
-            size = 3
-            while k + size <= len(lines):
-                run = tuple(lines[k : k + size])
-                if run in seen:
-                    longest[i] = max(longest[i], size)
-                seen.setdefault(run, (i, k))
-                size *= 2
-    table = frame(spark, docs)
-    assert {r[0]: r[1] for r in line_dedup.dedup_lines(table).collect()} == {k: v for k, v in kept.items() if v is not None}
-    assert {r["doc_id"]: r["longest_run"] for r in line_dedup.report(table).collect()} == longest
+            for j, m in places:
+                n = 0
+                while (j, m) < (i, k) and k + n < len(lines) and m + n < len(split[j]) and lines[k + n] == split[j][m + n]:
+                    n += 1
+                whole = k == m == 0 and n == len(lines) == len(split[j]) and sum(words[i]) > 0
+                if n and (sum(words[i][k : k + n]) >= min_words or whole):
+                    gone.update(range(k, k + n))
+        runs = "".join("x" if k in gone else " " for k in range(len(lines))).split()
+        out[i] = ([x for k, x in enumerate(lines) if k not in gone], [len(r) for r in runs])
+    return out
+
+
+@pytest.mark.parametrize("min_words", [1, 4, 9, 50])
+def test_later_copies_of_line_runs_go(spark, min_words):
+    draw = random.Random(min_words)
+    pool = [" ".join(f"w{i}" for _ in range(draw.choice([1, 1, 2, 3, 7, 60]))) for i in range(14)] + ["", " "]
+    docs = ["\n".join(draw.choice(pool) for _ in range(draw.randrange(1, 14))) for _ in range(25)]
+    docs += [docs[3], docs[3] + "\nmore", "head\n" + docs[7] + "\n" + docs[7], "a", "a", "", "", "a\nb"]
+    wanted = without_later_runs(dict(enumerate(docs)), min_words)
+    table = frame(spark, docs).repartition(3)
+    left = {r[0]: r[1] for r in line_dedup.dedup_lines(table, min_words).collect()}
+    assert left == {i: "\n".join(kept) for i, (kept, runs) in wanted.items() if kept}
+    found = {r["doc_id"]: (r["n_removed"], r["n_runs"], r["longest_run"]) for r in line_dedup.report(table, min_words).collect()}
+    assert found == {i: (sum(runs), len(runs), max(runs, default=0)) for i, (_, runs) in wanted.items()}
+
+
+def test_runs_are_told_by_words_and_reported_whole(spark):
+    said = [" ".join(f"w{i}x{k}" for k in range(12)) for i in range(200)]
+    five, long = "\n".join(said[:5]), " ".join(f"v{k}" for k in range(51))
+    short = "\n".join(f"one{i}" for i in range(70))
+    docs = [
+        "top\n" + five + "\nend", "other\n" + five + "\nlast", long + "\nx", "y\n" + long, "\n\n\n\nq", "\n\n\n\nr", "z\nz2",
+        short + "\n1", "2\n" + short, "z\nz2", "\n".join(said[20:24]) + "\na", "b\n" + "\n".join(said[20:24])]
+    found = {r["doc_id"]: (r["n_removed"], r["n_runs"], r["longest_run"]) for r in line_dedup.report(frame(spark, docs)).collect()}
+    gone = {1: (5, 1, 5), 3: (1, 1, 1), 8: (70, 1, 70), 9: (2, 1, 2)}
+    assert found == {i: gone.get(i, (0, 0, 0)) for i in range(12)}
 
 
 def test_line_dedup_stays_in_the_jvm(spark):

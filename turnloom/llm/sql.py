@@ -27,58 +27,41 @@ FROM chats
 """
 
 
-def _line_sql(min_lines: int, levels: int) -> str:
-    """Names of runs of min_lines lines, then doubled, each with its earliest place."""
-    ahead = " || ".join(
-        f"lead(name, {i}) OVER w" if i else "name" for i in range(min_lines))
-    parts = [f"""
-texts AS (SELECT doc_id, coalesce(text, '') AS text, text IS NULL AS no_text FROM documents),
-split_lines AS (SELECT doc_id, no_text, string_split(text, chr(10)) AS words FROM texts),
+WORD = r"[^\x20\x09-\x0D]+"
+
+#: Runs of lines with 50 words, or whole texts: from each line on and up to each line the shortest such
+#: run, told by its text; all but the earliest place of a run lose its lines.
+LINE_SQL = f"""
+WITH texts AS (SELECT doc_id, string_split(text, chr(10)) AS said FROM documents),
+counted AS (
+  SELECT doc_id, said, unnest(range(len(said))) AS line,
+    unnest(list_transform(said, lambda x: len(regexp_extract_all(x, '{WORD}')))) AS words FROM texts),
 lines AS (
-  SELECT doc_id, unnest(range(len(words))) AS line, unnest(words) AS words FROM split_lines WHERE NOT no_text),
-named AS (SELECT doc_id, line, md5(words) AS name FROM lines),
-names_0 AS (
-  SELECT doc_id, line, md5({ahead}) AS name FROM named WINDOW w AS (PARTITION BY doc_id ORDER BY line))"""]
-    for k in range(levels):
-        if k:
-            step = min_lines << (k - 1)
-            parts.append(f"""
-names_{k} AS (
-  SELECT a.doc_id, a.line, md5(a.name || b.name) AS name
-  FROM shared_{k - 1} a JOIN shared_{k - 1} b ON a.doc_id = b.doc_id AND b.line = a.line + {step})""")
-        parts.append(f"""
-shared_{k} AS (
-  SELECT * FROM (
-    SELECT *, count(*) OVER (PARTITION BY name) AS members,
-      row_number() OVER (PARTITION BY name ORDER BY doc_id, line) AS place
-    FROM names_{k} WHERE name IS NOT NULL) WHERE members > 1)""")
-    longest = " UNION ALL ".join(
-        f"SELECT doc_id, {min_lines << k} AS run FROM shared_{k} WHERE place > 1" for k in range(levels))
-    parts.append(f"""
-longest AS (SELECT doc_id, max(run) AS longest_run FROM ({longest}) GROUP BY doc_id),
-removed AS (
-  SELECT DISTINCT doc_id, unnest(range(line, line + {min_lines})) AS line FROM shared_0 WHERE place > 1),
-judged AS (
-  SELECT l.doc_id, l.line, l.words, r.line IS NOT NULL AS gone,
-    lag(r.line) OVER (PARTITION BY l.doc_id ORDER BY l.line) IS NOT NULL AS gone_before
-  FROM lines l LEFT JOIN removed r USING (doc_id, line)),
-found AS (
-  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
-    count(*) FILTER (gone AND NOT gone_before) AS n_runs,
-    coalesce(string_agg(words, chr(10) ORDER BY line) FILTER (NOT gone), '') AS kept
-  FROM judged GROUP BY doc_id)""")
-    return "WITH " + ",".join(parts) + """
-SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
-  coalesce(n_runs, 0) AS n_runs, CAST(coalesce(longest_run, 0) AS BIGINT) AS longest_run,
-  sha256(coalesce(kept, '')) AS kept_sha256
-FROM documents d LEFT JOIN found USING (doc_id) LEFT JOIN longest USING (doc_id)
+  SELECT doc_id, said, line, words, sum(words) OVER (PARTITION BY doc_id ORDER BY line) AS upto FROM counted),
+spans AS (
+  SELECT a.doc_id, a.line AS a, min(b.line) AS b FROM lines a JOIN lines b
+    ON a.doc_id = b.doc_id AND b.line >= a.line AND b.upto - a.upto + a.words >= 50 GROUP BY ALL
+  UNION
+  SELECT a.doc_id, max(a.line) AS a, b.line AS b FROM lines a JOIN lines b
+    ON a.doc_id = b.doc_id AND b.line >= a.line AND b.upto - a.upto + a.words >= 50 GROUP BY a.doc_id, b.line
+  UNION
+  SELECT doc_id, 0, max(line) FROM lines GROUP BY doc_id HAVING sum(words) > 0),
+runs AS (
+  SELECT s.doc_id, a, b, md5(array_to_string(said[a + 1 : b + 1], chr(10))) AS name FROM spans s JOIN texts t USING (doc_id)),
+later AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name, b - a ORDER BY doc_id, a) AS place FROM runs) WHERE place > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS line FROM later),
+islands AS (SELECT doc_id, line, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS run FROM gone),
+sizes AS (SELECT doc_id, run, count(*) AS n FROM islands GROUP BY doc_id, run),
+totals AS (SELECT doc_id, sum(n)::BIGINT AS n_removed, count(*) AS n_runs, max(n) AS longest_run FROM sizes GROUP BY doc_id),
+kept AS (
+  SELECT l.doc_id, string_agg(l.said[l.line + 1], chr(10) ORDER BY l.line) AS kept
+  FROM lines l ANTI JOIN gone g ON g.doc_id = l.doc_id AND g.line = l.line GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(len(string_split(text, chr(10))), 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+  coalesce(n_runs, 0) AS n_runs, coalesce(longest_run, 0) AS longest_run, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN totals USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-
-LINE_SQL = _line_sql(3, 9)
-
-WORD = r"[^\x20\x09-\x0D]+"
-
 SUBSTRING_SQL = f"""
 WITH split_texts AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words FROM documents),
