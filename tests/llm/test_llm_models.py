@@ -11,6 +11,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from pages_by_hand import PAGES as BY_HAND
+from pages_by_hand import marked
 from turnloom.llm import chat_format, html_extract, license_scan, quality_classifier, quality_rules, queries
 from turnloom.llm import sentencepiece_codec as codec
 
@@ -127,6 +129,19 @@ def test_trained_labeller_reads_renamed_pages(spark, sf_dir):
 
 # --- licence automaton ---
 
+def test_pages_marked_by_hand(spark):
+    """Labels that do not come from the rule that taught the labeller: tables, lists, sections, words on body."""
+    labeller = html_extract.train_from(queries.table(spark, "/root/testdata/sf0.1", "pages"))
+    wanted = hit = extra = 0
+    for page, inside in map(marked, BY_HAND):
+        found = html_extract.blocks(page)
+        kept = labeller.scores(html_extract.vectors([found]), np.array([len(found)])) >= 0.5
+        wanted += len(inside)
+        hit += sum(b.text in inside for b, k in zip(found, kept) if k)
+        extra += sum(b.text not in inside for b, k in zip(found, kept) if k)
+    assert hit >= 0.97 * wanted and extra <= 2
+
+
 def test_matching_statistics_equal_brute_force():
     draw = random.Random(3)
     bodies = [[draw.randrange(4) for _ in range(30)] for _ in range(3)]

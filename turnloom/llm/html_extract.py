@@ -30,11 +30,12 @@ from pyspark.sql import functions as F
 
 from turnloom.llm.common import arrow_map, lowest, small_batches
 
-PATH_SLOTS, WORD_SLOTS, SHARES, HIDDEN = 64, 32, 8, 12
+PATH_SLOTS, WORD_SLOTS, SHARES, HIDDEN = 128, 32, 8, 16
 INPUTS = PATH_SLOTS + WORD_SLOTS + SHARES
 #: The labeller learns from at most this many pages, those with the smallest digests, each of at
 #: most SAMPLE_CHARS characters.
 SAMPLE_PAGES, SAMPLE_CHARS = 240, 50_000
+COPIES = 6  # of each page, with other elements and sides
 
 # Element names by the way they are read.
 INLINE = frozenset(
@@ -48,12 +49,15 @@ RAW = frozenset("script style textarea title iframe".split())
 ASIDE = frozenset("svg template noscript object select datalist optgroup option".split())
 #: Elements that end an open drawing or choice, which cannot hold them.
 BREAKS = frozenset("article blockquote div dl dt dd h1 h2 h3 h4 h5 h6 li main ol p pre section table ul".split())
-SIDE = frozenset("nav header footer aside form menu dialog button fieldset figure".split())
+SIDE = frozenset("nav header footer aside form menu dialog button fieldset".split())
 SIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies "
     "copyright disqus footer form header login masthead menu modal nav navbar navigation newsletter notice "
     "notification pagination popup promo related reply replies share sharing sidebar signup social sponsor sponsored "
     "subscribe tags toolbar widget".split())
+FIRM = frozenset(
+    "nav footer aside dialog menu related promo sponsor sponsored ad ads advert adverts advertisement comments replies "
+    "newsletter cookie cookies consent popup modal widget".split())
 MAIN_WORDS = frozenset("article content entry main post story text body-text".split())
 
 _TAG = re.compile(
@@ -168,13 +172,29 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
+def elements_of(path: tuple[str, ...]) -> list[tuple[str, set[str]]]:
+    """Name and words of each element of a path, innermost first; the page's own words do not count."""
+    found: list[tuple[str, set[str]]] = []
+    for word in path:
+        if word[0] == "<":
+            found.append((word[1:], set()))
+        elif found and found[-1][0] not in ("html", "body"):
+            found[-1][1].add(word)
+    return found[::-1]
+
+
 def told(path: tuple[str, ...]) -> float:
-    """What the elements say: 1 main text, 0 not, 0.5 nothing."""
-    names = {x[1:] for x in path if x[0] == "<"}
-    words = {x for x in path if x[0] != "<"}
-    if names & SIDE or words & SIDE_WORDS or "head" in names:
-        return 0.0
-    return 1.0 if names & {"article", "main"} or words & MAIN_WORDS else 0.5
+    """What the elements say: 1 main text, 0 not, 0.5 nothing.
+
+    The nearest element that says anything decides; main text does not stand inside FIRM sides, though.
+    """
+    around = elements_of(path)
+    for i, (name, words) in enumerate(around):
+        if name in SIDE or words & SIDE_WORDS or name == "head":
+            return 0.0
+        if name in ("article", "main") or words & MAIN_WORDS:
+            return 0.0 if any(x in FIRM or y & FIRM for x, y in around[i + 1 :]) else 1.0
+    return 0.5
 
 
 def vectors(pages: list[list[Block]]) -> np.ndarray:
@@ -188,7 +208,7 @@ def vectors(pages: list[list[Block]]) -> np.ndarray:
         for depth, word in enumerate(reversed(block.path)):
             slots.append(zlib.crc32(word.encode()) % PATH_SLOTS)
             owners.append(i)
-            if depth < 3:  # the nearest elements count twice
+            if depth < 4:  # the nearest elements count twice
                 slots.append(zlib.crc32(b"near " + word.encode()) % PATH_SLOTS)
                 owners.append(i)
     np.add.at(out, (owners, slots), 1)
@@ -311,12 +331,12 @@ class Labeller:
             grads[3 * part + 2] = flat.sum(0)
         return grads
 
-    def train(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 14, rate: float = 0.02,
+    def train(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 9, rate: float = 0.02,
               batch: int = 32) -> Labeller:
         """Adam over batches of pages in a fixed random order; labels of 0.5 are left out."""
         draw = np.random.default_rng(5)
         first, second = ([np.zeros_like(p) for p in self.parts] for _ in range(2))
-        step = 0
+        step, last = 0, epochs * -(-len(pages) // batch)
         for _ in range(epochs):
             order = draw.permutation(len(pages))
             for at in range(0, len(order), batch):
@@ -332,7 +352,7 @@ class Labeller:
                     g = np.clip(g, -1, 1)
                     m += 0.1 * (g - m)
                     v += 0.001 * (g**2 - v)
-                    p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+                    p -= rate * (1 - 0.9 * step / last) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         return self
 
 
@@ -340,6 +360,23 @@ _ADDED = (
     ("div", "cookie notice", "We use cookies"), ("aside", "", "Most read"), ("div", "sidebar", "Related"),
     ("form", "", "Your e-mail Send"), ("section", "comments", "Great post, thanks for sharing"),
     ("div", "c{n}", "Sign in"), ("header", "", "Home"))
+#: What an article may hold besides paragraphs, as paths, and whether such blocks are often short.
+_INSIDE = (
+    (("<ul", "<li"), True), (("<ul", "<li"), True), (("<ol", "<li"), True), (("<table", "<tr", "<td"), True), (("<table", "<tr", "<th"), True),
+    (("<table", "<tbody", "<tr", "<td"), True), (("<dl", "<dt"), True), (("<dl", "<dd"), False), (("<section", "<h2"), True),
+    (("<section", "<h3"), True), (("<section", "<p"), False), (("<h2",), True), (("<h4",), True), (("<blockquote", "<p"), False),
+    (("<pre",), False), (("<figure", "<figcaption"), True), (("<div", "<p"), False), (("<div", "box", "<ul", "<li"), True))
+#: Whole sides: the element and its words, and the paths of the blocks that it holds.
+_SIDES = (
+    (("<div", "sidebar"), (("<h3",), ("<ul", "<li"), ("<ul", "<li"), ("<ul", "<li"))),
+    (("<aside",), (("<h2",), ("<p",), ("<p",))), (("<div", "related"), (("<h4",), ("<a",), ("<p",))),
+    (("<section", "comments"), (("<h3",), ("<div", "comment", "<p"), ("<div", "comment", "<p"), ("<div", "comment", "<p"))),
+    (("<ol", "comment", "list"), (("<li", "<p"), ("<li", "<p"))), (("<footer",), (("<p",), ("<ul", "<li"), ("<ul", "<li"))),
+    (("<div", "footer"), (("<table", "<tr", "<td"), ("<table", "<tr", "<td"))), (("<nav",), (("<ul", "<li"),) * 5),
+    (("<div", "menu"), (("<ul", "<li"),) * 4), (("<form",), (("<dl", "<dt"), ("<dl", "<dd"), ("<p",))),
+    (("<div", "widget"), (("<h3",), ("<table", "<tr", "<td"), ("<p",))), (("<div", "cookie", "notice"), (("<p",), ("<p",))))
+_PAGE_WORDS = (
+    (), (), ("home", "page"), ("has", "sidebar", "comments", "open"), ("single", "post", "logged"), ("no", "js", "menu", "closed"))
 _RENAMED = ("div content", "div post", "main ", "div c{n}", "section entry", "div x{n}", "article ")
 
 
@@ -351,7 +388,26 @@ def varied(page: list[Block], draw: np.random.Generator) -> tuple[list[Block], n
         element, _, word = choice.replace("{n}", str(draw.integers(10))).partition(" ")
         names[old] = (f"<{element}", *_PART.findall(word))
     labels = [told(b.path) for b in page]
-    out = [Block(b.text, tuple(y for x in b.path for y in names.get(x, (x,))), b.linked) for b in page]
+    words = _PAGE_WORDS[int(draw.integers(len(_PAGE_WORDS)))]
+    wrap = (("<div", f"c{int(draw.integers(10))}"), ("<div", "wrap"), ("<div", "layout"), ())[int(draw.integers(4))]
+    opened = {"<body": ("<body", *words, *wrap)} | names
+    main_words = [b.text.split() for b, y in zip(page, labels) if y == 1]
+    out, going = [], 0
+    for b, y in zip(page, labels):
+        text, path = b.text, tuple(w for x in b.path for w in opened.get(x, (x,)))
+        if y == 1 and path[-1] == "<h1" and draw.random() < 0.4:  # an article need not begin with a title
+            path = (*path[:-1], *((("<h2",), ("<section", "<h2"), ("<p",), ("<div", "<h3"))[int(draw.integers(4))]))
+            text = " ".join(text.split()[: int(draw.integers(1, 9))])
+        elif y == 1 and path[-1] == "<p":
+            if not going and draw.random() < 0.25:  # a list or table goes on for some blocks
+                inside, short = _INSIDE[int(draw.integers(len(_INSIDE)))]
+                going = int(draw.integers(1, 6))
+            if going:
+                going -= 1
+                path = (*path[:-1], *inside)
+                if short and draw.random() < 0.8:
+                    text = " ".join(text.split()[: int(draw.integers(1, 9))])
+        out.append(Block(text, path, min(b.linked, len(text))))
     texts = [b.text for b, y in zip(page, labels) if y == 1] or [""]
     for _ in range(int(draw.integers(0, 4))):
         element, word, text = _ADDED[int(draw.integers(len(_ADDED)))]
@@ -364,6 +420,21 @@ def varied(page: list[Block], draw: np.random.Generator) -> tuple[list[Block], n
             path = (*path, "<p")
         out.insert(place, Block(text, path, len(text) * int(draw.integers(2))))
         labels.insert(place, 0.0)
+    for _ in range(int(draw.integers(1, 4))):  # sides with words like the article's, beside or inside it
+        element, leaves = _SIDES[int(draw.integers(len(_SIDES)))]
+        if draw.random() < 0.4:
+            element = (str(draw.choice(["<div", "<section", "<ul"])), str(draw.choice(sorted(SIDE_WORDS))))
+        main = [k for k, y in enumerate(labels) if y == 1]
+        place = int(draw.choice([0, len(out), *([main[0], main[-1] + 1, *main[:3]] if main else [])]))
+        within = place < len(out) and place and labels[place] == labels[place - 1] == 1
+        around = out[place].path[: next((i for i, x in enumerate(out[place].path) if i and x == "<p"), 3)] if within else ("<html", "<body", *words, *wrap)
+        side = []
+        for leaf in leaves:
+            said = main_words[int(draw.integers(len(main_words)))] if main_words else ["Home"]
+            text = " ".join(said[: int(draw.integers(1, 30))])
+            side.append(Block(text, (*around, *element, *leaf), len(text) * int(draw.random() < 0.6)))
+        out[place:place] = side
+        labels[place:place] = [0.0] * len(side)
     return out, np.array(labels)
 
 
@@ -379,7 +450,7 @@ def train_from(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Labeller |
     taught = []
     for page in known:
         taught.append((vectors([page]), np.array([told(b.path) for b in page])))
-        for _ in range(2):
+        for _ in range(COPIES):
             copy, labels = varied(page, draw)
             taught.append((vectors([copy]), labels))
     return Labeller().train(taught)
