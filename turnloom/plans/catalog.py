@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnloom import fixed
@@ -450,14 +450,14 @@ WITH t AS (SELECT doc_id, greatest(n_chars, 1) AS one, n_chars FROM documents),
 u AS (SELECT *, 1::BIGINT << greatest(0, length(bin(one - 1)) - 4) AS unit FROM t),
 c AS (SELECT doc_id, n_chars, (one + unit - 1) // unit * unit AS padded FROM u),
 p AS (SELECT *, row_number() OVER (PARTITION BY padded ORDER BY doc_id) - 1 AS place FROM c),
-b AS (SELECT *, place // greatest(1, 65536 // padded) AS batch FROM p),
-s AS (SELECT padded, batch, count(*) AS n, sum(n_chars) AS tokens, max(n_chars) AS longest FROM b GROUP BY padded, batch)
-SELECT padded, sum(n)::BIGINT AS rows, count(*) AS batches, sum(tokens)::BIGINT AS tokens, sum(n * longest)::BIGINT AS padded_tokens
-FROM s GROUP BY padded""")
+b AS (SELECT *, place // greatest(1, 65536 // padded) AS batch FROM p)
+SELECT doc_id, padded, batch, max(n_chars) OVER (PARTITION BY padded, batch) AS longest FROM b""")
 def token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in batches of 65,536 padded characters at most."""
+    """Documents in batches of 65,536 padded characters at most, with each batch's longest."""
     rows = b.table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    return batching.batch_report(batching.token_batches(rows, F.col("n_chars"), "doc_id", 1 << 16), "n_chars")
+    batched = batching.token_batches(rows, F.col("n_chars"), "doc_id", 1 << 16)
+    longest = F.max("n_chars").over(Window.partitionBy("padded", "batch"))
+    return batched.select("doc_id", "padded", "batch", longest.alias("longest"))
 
 
 @query("""

@@ -70,7 +70,7 @@ def apply_model(
     :func:`turnloom.operators.similarity.fits_context` beforehand.
     """
     if batch_size < 1:
-        raise ValueError("Batch size must be positive")
+        raise ValueError("a batch needs room for one row")
     if token_budget is not None and (token_budget < 1 or lengths is None):
         raise ValueError("a token budget must be positive and needs a column of lengths")
 
