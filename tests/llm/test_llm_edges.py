@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import zlib
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from turnloom.llm import (
     chat_format, decontaminate, html_extract, license_scan, line_dedup, ngram_join, quality_classifier,
     quality_rules, queries, sentencepiece_codec, substring_dedup)
+from turnloom.llm.sql import CRC_SQL
 
 LONG = "\n".join(f"line {i} of a very long text with words" for i in range(3000))
 ROWS = [
@@ -114,6 +117,11 @@ def test_base_columns_of_rules_and_scans(spark, sf_dir):
         often = {x for x in runs if runs.count(x) > 1} if len(runs) < 400 else None
         assert r["n_words"] == len(words) and r["word_chars"] == sum(len(w.decode()) for w in words)
         assert r["n_symbols"] == sum(c in "#*$%&|<>" for c in docs[r["doc_id"]])
+        seen, copies = set(), 0
+        for line in filter(lambda x: x.encode().split(), docs[r["doc_id"]].split("\n")):
+            copies += line in seen
+            seen.add(line)
+        assert r["n_dup_lines"] == copies
         if often is not None:
             inside = {i + k for i, x in enumerate(runs) if x in often for k in range(3)}
             assert r["n_repeat_words"] == len(inside)
@@ -126,6 +134,17 @@ def test_base_columns_of_rules_and_scans(spark, sf_dir):
         assert r["base_labels"] == ",".join(sorted({v for _, v in places})) and set(r["base_labels"].split(",")) <= {"", *r["labels"].split(",")}
 
 
+def test_held_out_rows_and_predictions_of_the_classifiers(spark, sf_dir):
+    base = duckdb.connect()
+    base.execute(f"create view documents as from read_parquet('{sf_dir}/documents.parquet')")
+    crc = dict(base.execute(f"select doc_id, {CRC_SQL.format('doc_id')} from documents").fetchall())
+    assert all(zlib.crc32(str(k).encode()) == v for k, v in crc.items())
+    for name, parts, rest, least in (("op5_quality_classifier", 5, 0, 0.3), ("op12_toxicity", 3, 1, 0.7)):
+        rows = queries.QUERIES[name](spark, sf_dir).collect()
+        assert {r["doc_id"]: r["held_out"] for r in rows} == {k: v % parts == rest for k, v in crc.items()}
+        assert all(r["predicted"] == int(r["score"] >= least) for r in rows)
+
+
 def test_tied_turns_are_ordered_by_their_unescaped_text(spark):
     turns = spark.createDataFrame(
         [(1, 0, "user", "<|end|>x"), (1, 0, "user", "<a"), (1, 0, "user", "<\\|end|>")], "conv_id bigint, turn bigint, role string, text string")
