@@ -103,3 +103,15 @@ def test_successful_parse_writes_all_episodes(spark, tmp_path):
     array = tmp_path / "raw.json"
     array.write_text(json.dumps([{"title": r["title"], "url": r["url"], "lines": [l.asDict() for l in r["lines"]]} for r in back]))
     assert {r["title"] for r in files.read_episodes(spark, str(array)).collect()} == {"Series 1 Episode 0", "Series 1 Episode 1"}
+
+
+def test_the_table_function_gives_the_rows_of_both_readers(spark):
+    rows = [(1, '<div class="post-entry"><p>a <i>b</i> c<p>d</div><a href="/x">t <b>u</b></a><a>none</a><a href="">e</a>'), (2, None), (3, ""), (4, "<p>out")]
+    table = spark.createDataFrame(rows, "id int, html string")
+    pages.register_functions(spark)
+    for kind, reader in (("a", pages.anchors), ("p", pages.paragraphs)):
+        found = spark.sql(f"SELECT id, e.* FROM {{t}}, LATERAL page_elements(html, '{kind}') e", t=table)
+        wanted = reader(table, ["id"])
+        assert found.columns == wanted.columns and {tuple(r) for r in found.collect()} == {tuple(r) for r in wanted.collect()}
+    with pytest.raises(Exception, match="knows the kinds"):
+        spark.sql("SELECT * FROM page_elements('x', 'q')").collect()

@@ -82,3 +82,10 @@ def test_schemas_match_what_is_built(spark, sf_dir):
 
 def test_pages_number_their_lines_without_a_shuffle(spark, sf_dir):
     assert exchanges(plan_of(QUERIES["html_dialogue"](spark, sf_dir))) == []
+
+
+def test_every_outcome_of_the_pair_rules_occurs(spark):
+    found = {r["reason"]: r["rows"] for r in QUERIES["drop_reasons_all"](spark, "/root/testdata/sf0.01").collect()}
+    assert found.keys() == {
+        "kept", "duplicate", "target_too_short", "target_too_long", "target_junk", "target_needs_visual", "no_context",
+        "prev_is_assistant", "prompt_too_short"} and all(found.values())

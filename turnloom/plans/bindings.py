@@ -6,6 +6,7 @@ frame an operator needs is derived from whole tables here.
 
 from __future__ import annotations
 
+import dataclasses
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +45,21 @@ def conversation_lines(spark: SparkSession, sf_dir: str, scene: str = CONST_SCEN
         F.expr(scene).cast("int").alias("scene"))
 
 
+#: Turns that get another role or text, so that every rule meets lines that break it; Spark and check SQL share it.
+ALTERED_ROLE = "CASE WHEN conv_id % 5 = 0 AND turn % 4 = 2 THEN 'assistant' ELSE role END"
+ALTERED_TEXT = """CASE (conv_id * 7 + turn) % 13 WHEN 3 THEN 'Oh' WHEN 5 THEN concat('Look at this one ', text)
+  WHEN 7 THEN 'It is said again and again' WHEN 8 THEN 'It is said again and again' WHEN 9 THEN ' ' ELSE text END"""
+ALL_RULES = dataclasses.replace(PAIR_RULES, min_target_words=1)
+
+
+def altered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judged lines of conversations in which some turns are altered."""
+    lines = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("episode_id"), F.col("conv_id").cast("string").alias("title"), F.col("turn").alias("line"),
+        F.expr(ALTERED_ROLE).alias("speaker"), F.expr(ALTERED_TEXT).alias("text"), F.expr(SHORT_SCENES).cast("int").alias("scene"))
+    return pairs.candidates(pairs.attach_context(lines, ALL_RULES), ALL_RULES)
+
+
 def judged_lines(spark: SparkSession, sf_dir: str, scene: str = CONST_SCENE) -> DataFrame:
     lines = conversation_lines(spark, sf_dir, scene)
     return pairs.candidates(pairs.attach_context(lines, PAIR_RULES), PAIR_RULES)

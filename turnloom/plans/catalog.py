@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,10 +12,11 @@ from turnloom import fixed
 from turnloom.functions import arrays, text
 from turnloom.functions.hashing import sha256, text_key
 from turnloom.operators import (
-    batching, bootstrap, choice, ordered, pairs, phrases, profile, report, resume, similarity, split, transcript, validate,
+    batching, bootstrap, choice, digest_tree, ordered, pairs, phrases, profile, report, resume, similarity, split, transcript, validate,
 )
 from turnloom.plans import bindings as b
 from turnloom.plans import sql_parts as sql
+from turnloom.session import checkpoint_dir
 from turnloom.sources import files
 from turnloom.sources import pages as page_source
 
@@ -95,6 +97,15 @@ def page_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_source.anchors(b.table(spark, sf_dir, "pages"), ["page_id"])
 
 
+@query(CHECKS["page_anchors"])
+def page_anchors_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as SQL text, by a table function called for each page."""
+    page_source.register_functions(spark)
+    return spark.sql(
+        "SELECT page_id, place, href, text FROM {pages}, LATERAL page_elements(html, 'a')",
+        pages=b.table(spark, sf_dir, "pages"))
+
+
 @query(f"""
 SELECT page_id, 'series 1 Episode ' || page_id || ' Part' AS title, {sql.canonical('url')} AS url FROM pages
 QUALIFY row_number() OVER (PARTITION BY {sql.canonical('url')} ORDER BY page_id) = 1""")
@@ -245,6 +256,18 @@ def drop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.drop_reasons(b.judged_lines(spark, sf_dir, b.SHORT_SCENES))
 
 
+@query(f"""
+WITH altered AS (SELECT conv_id, turn, {b.ALTERED_ROLE} AS role, {b.ALTERED_TEXT} AS text FROM conversations),
+{sql.judged('turn // 3', 'altered', b.ALL_RULES)},
+r AS (SELECT coalesce(reason, 'kept') AS reason, count(*) AS rows,
+             count(DISTINCT CASE WHEN reason IS NULL THEN lower(txt) END) AS uniq FROM judged GROUP BY 1)
+SELECT reason, CASE WHEN reason = 'kept' THEN uniq ELSE rows END AS rows FROM r
+UNION ALL SELECT 'duplicate', rows - uniq FROM r WHERE reason = 'kept' AND rows > uniq""")
+def drop_reasons_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every outcome of the pair rules."""
+    return pairs.drop_reasons(b.altered_lines(spark, sf_dir))
+
+
 @query("""
 SELECT doc_id, source, md5(text) AS text_md5 FROM documents
 QUALIFY row_number() OVER (PARTITION BY lower(text) ORDER BY doc_id) = 1""")
@@ -863,6 +886,17 @@ def checksum_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resume.compare_checksums(digests(F.col("text")), digests(text.clean(F.col("text"))))
 
 
+@query(CHECKS["checksum_compare"])
+def digest_tree_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from two saved digest trees, of which only differing buckets are read."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/trees-{uuid.uuid4().hex}"
+    documents = b.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    depth = digest_tree.depth_for(documents.count())
+    for side, value in (("left", F.col("text")), ("right", text.clean(F.col("text")))):
+        digest_tree.save_tree(documents.select("path", sha256(value).alias("sha256")), f"{folder}/{side}", depth)
+    return digest_tree.compare_trees(spark, f"{folder}/left", f"{folder}/right")
+
+
 @query("SELECT doc_id, source FROM documents ORDER BY md5('0:' || doc_id), doc_id LIMIT 10")
 def spot_check_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resume.spot_check(b.table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", 10)

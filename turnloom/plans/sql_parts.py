@@ -1,6 +1,7 @@
 """Pieces of the check SQL that several queries share (DuckDB dialect)."""
 
 from turnloom import fixed
+from turnloom.operators.pairs import PairRules
 from turnloom.plans.bindings import PAIR_RULES as R
 
 CLEAN = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
@@ -29,14 +30,14 @@ def draw(digest: str, position: str, bound: str) -> str:
     return f"(('0x' || substr({digest}, 1 + 8 * {position}, 8))::BIGINT % {bound})"
 
 
-def judged(scene: str) -> str:
-    """CTEs up to the judged candidate lines."""
+def judged(scene: str, source: str = "conversations", R: PairRules = R) -> str:
+    """CTEs up to the judged candidate lines of a table like the conversations."""
     junk = "|".join(fixed.JUNK_WORDS)
     pointing = "|".join(fixed.POINTING_PHRASES)
     return f"""
     lines AS (
       SELECT conv_id, turn, CAST({scene} AS INTEGER) AS scene, lower(role) = '{R.target}' AS is_target,
-             {clean('text')} AS txt FROM conversations),
+             {clean('text')} AS txt FROM {source}),
     counted AS (SELECT *, {words('txt')} AS words FROM lines),
     looked AS (
       SELECT *, list(struct_pack(r := is_target, w := words, t := txt)) OVER (

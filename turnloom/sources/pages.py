@@ -13,8 +13,10 @@ from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from turnloom import fixed
 
@@ -205,3 +207,34 @@ def anchors(pages: DataFrame, keys: Sequence[str], html: str = "html") -> DataFr
     """``keys, place, href, text`` of every anchor with a target."""
     found = _extract(pages, keys, html, "a", False, {"href": "href", "full": "text"})
     return found.filter("href is not null")
+
+
+# --- in SQL ---
+
+_FIELDS = {
+    "a": {"href": lambda parser, x: x.href, "text": ElementTexts.full},
+    "p": {"full_text": ElementTexts.full, "plain_text": ElementTexts.plain},
+}
+
+
+class PageElements:
+    """``page_elements(html, kind)``: the rows of :func:`anchors` (kind 'a') or :func:`paragraphs` ('p')."""
+
+    @staticmethod
+    def analyze(html: AnalyzeArgument, kind: AnalyzeArgument) -> AnalyzeResult:
+        if not kind.isConstantExpression or kind.value not in _FIELDS:
+            raise ValueError(f"page_elements knows the kinds {sorted(_FIELDS)}")
+        fields = [T.StructField(name, T.StringType()) for name in _FIELDS[kind.value]]
+        return AnalyzeResult(T.StructType([T.StructField("place", T.IntegerType()), *fields]))
+
+    def eval(self, html: str, kind: str) -> Iterator[tuple]:
+        parser = ElementTexts(kind)
+        elements = parser.read(html or "")
+        for place, element in enumerate(parser.in_container() if kind == "p" else elements):
+            if kind == "p" or element.href is not None:
+                yield (place, *(read(parser, element) for read in _FIELDS[kind].values()))
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Make ``page_elements`` known to SQL: ``SELECT ... FROM pages, LATERAL page_elements(html, 'a')``."""
+    spark.udtf.register("page_elements", F.udtf(PageElements, useArrow=True))
