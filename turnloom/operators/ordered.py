@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnloom.functions.arrays import suffix
 from turnloom.functions.hashing import seeded_key
@@ -23,6 +24,7 @@ BLOCK = 4096
 _PREFIX_HEX = 4  # 16**4 ranges of a uniformly spread digest
 _RANGE_ROWS = 1 << 18  # distinct values that one range holds, about
 _FEWEST_RANGES = 64
+_LEADING = 8  # bits of a first digit that one range spans
 
 
 # --- consecutive positions ---
@@ -115,6 +117,25 @@ def position_gaps(rows: DataFrame, keys: Sequence[str], position: str) -> DataFr
     )
 
 
+# --- leading digits of whole numbers ---
+
+_BITS = 16
+
+
+def open_bits(value: Column) -> Column:
+    """How many low bits the first digit leaves open."""
+    plus = F.when(value < 0, -(value + 1)).otherwise(value)
+    return F.greatest(F.lit(0), F.length(F.bin(plus)) - (_BITS + 1))
+
+
+def first_digit(value: Column) -> Column:
+    """A bucket number that grows with a whole number; at most 2**23 different ones."""
+    plus = F.when(value < 0, -(value + 1)).otherwise(value)
+    left = open_bits(value)
+    code = left.cast("long") * (1 << _BITS) + F.call_function("shiftright", plus, left)
+    return F.when(value < 0, -code - 1).otherwise(code)
+
+
 # --- first row per key ---
 
 def first_per_key(rows: DataFrame, key: Column, order: Sequence[str]) -> DataFrame:
@@ -183,16 +204,20 @@ def value_rank(values: DataFrame, column: str, name: str) -> DataFrame:
 def weighted_positions(counts: DataFrame, keys: Sequence[str], value: str, count: str) -> DataFrame:
     """Add ``before``: how many counted rows of the group sort below each distinct value.
 
-    ``counts`` holds one row per group and distinct numeric value. Values are cut
-    into ranges at approximate quantiles, which only balance the work; the
-    positions are exact wherever the cuts fall.
+    ``counts`` holds one row per group and distinct numeric value. Whole numbers are cut into ranges by
+    their leading digits, of which there are a bounded number, others at approximate quantiles, which only
+    balance the work; the positions are exact wherever the cuts fall.
     """
-    counts = settle(counts)
-    ranged = _value_ranges(counts, value)
+    if isinstance(counts.schema[value].dataType, T.IntegralType):
+        ranged = counts.withColumn("_range", F.call_function(
+            "shiftright", first_digit(F.col(value).cast("long")), F.lit(_LEADING)))
+    else:
+        counts = settle(counts)
+        ranged = _value_ranges(counts, value)
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(
         Window.unboundedPreceding, -1)
-    # One row per group and range: without keys, a 2**18th of the distinct values meets in one task.
+    # one row per group and range: a 2**18th of the distinct values, or 2**15 leading digits, meet in one task
     offsets = (
         ranged.groupBy(*keys, "_range").agg(F.sum(count).alias("_count"))
         .withColumn("_offset", F.coalesce(F.sum("_count").over(earlier), F.lit(0)))

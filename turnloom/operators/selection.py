@@ -12,26 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnloom.operators.ordered import first_digit, open_bits
 from turnloom.session import settle
 
-_BITS = 16
 _NEXT = 24
 
 
-def _magnitude(value: Column) -> Column:
-    """How many low bits the first digit leaves open."""
-    plus = F.when(value < 0, -(value + 1)).otherwise(value)
-    return F.greatest(F.lit(0), F.length(F.bin(plus)) - (_BITS + 1))
-
-
-def first_digit(value: Column) -> Column:
-    """A bucket number that grows with the value; at most 2**23 different ones."""
-    plus = F.when(value < 0, -(value + 1)).otherwise(value)
-    open_ = _magnitude(value)
-    code = open_.cast("long") * (1 << _BITS) + F.call_function("shiftright", plus, open_)
-    return F.when(value < 0, -code - 1).otherwise(code)
-
-
 def _placed(counts: DataFrame, keys: Sequence[str], digit: str) -> DataFrame:
     """Add how many rows of the group stand in buckets before; buckets are bounded in number."""
     before = Window.partitionBy(*keys).orderBy(digit).rowsBetween(Window.unboundedPreceding, -1)
@@ -77,7 +63,7 @@ def order_statistics(
 def _refined(rows: DataFrame, wanted: DataFrame, inner: list[str]) -> DataFrame:
     """Values of ranks whose first digit holds several: two more scans over these buckets only."""
     wanted = settle(wanted.select(*inner, "point", "_digit", "rank"))
-    value, open_ = F.col("_value"), _magnitude(F.col("_value"))
+    value, open_ = F.col("_value"), open_bits(F.col("_value"))
     buckets = wanted.select(*inner, "_digit").distinct()
     some = _join(rows, buckets, [*inner, "_digit"])
     second = F.call_function("shiftright", value, F.greatest(F.lit(0), open_ - _NEXT))
