@@ -120,4 +120,4 @@ def test_everything_left_is_encoded(stages):
 
 def test_registered():
     assert {"pipeline", *queries.QUERIES} <= set(__spark_entry__.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
